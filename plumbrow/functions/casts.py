@@ -3,18 +3,22 @@
 ``strict``  a value that is not wholly a finite number (or a time) becomes NULL.
 ``compat``  a text gives its leading number, and 0 if it has none, as loosely typed stores do.
 
-No function here can fail a job: ANSI mode is on by default and a plain cast would throw on junk.
+Each function takes an SQL expression and returns one, so a profile of many columns reaches Spark
+as one piece of text. None of them can fail a job: ANSI mode is on by default and a plain cast
+would throw on junk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import types as T
 
 STRICT, COMPAT = "strict", "compat"
 _MODES = (STRICT, COMPAT)
 
 _REAL_PREFIX = r"^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)"
 _INT_PREFIX = r"^\s*([+-]?[0-9]+)"
+_MINUS = r"^\s*-[0-9.]"
+_INF = "double('infinity')"
 
 
 def check_mode(mode: str) -> str:
@@ -23,6 +27,16 @@ def check_mode(mode: str) -> str:
     return mode
 
 
+def quote(name: str) -> str:
+    """A column name as an SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def is_text(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.StringType, T.VarcharType, T.CharType))
 
@@ -31,81 +45,93 @@ def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
 
+def _is_float(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.FloatType, T.DoubleType))
+
+
 def is_temporal(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
-def _finite(x: Column) -> Column:
-    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+def _head(c: str, pattern: str, to: str) -> str:
+    number = f"try_cast(regexp_extract({c}, {literal(pattern)}, 1) AS {to})"
+    return f"CASE WHEN {c} IS NOT NULL THEN coalesce({number}, CAST(0 AS {to})) END"
 
 
-def to_double(c: Column, dtype: T.DataType, mode: str = STRICT) -> Column | None:
-    """``c`` as a double, or None (no column) for a type that holds no numbers."""
+def to_double(c: str, dtype: T.DataType, mode: str = STRICT) -> str | None:
+    """``c`` as a double, or None for a type that holds no numbers."""
     check_mode(mode)
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return _finite(c.cast("double"))
-    if is_numeric(dtype):
-        return c.cast("double")
-    if not is_text(dtype):
-        return None
-    if mode == STRICT:
-        return _finite(c.try_cast("double"))
-    head = F.regexp_extract(c, _REAL_PREFIX, 1).try_cast("double")
-    return F.when(c.isNotNull(), F.coalesce(head, F.lit(0.0)))
+    if is_text(dtype) and mode == COMPAT:
+        return _head(c, _REAL_PREFIX, "double")
+    if is_text(dtype) or _is_float(dtype):
+        x = f"try_cast({c} AS double)"
+        return f"CASE WHEN abs({x}) < {_INF} THEN {x} END"
+    return f"CAST({c} AS double)" if is_numeric(dtype) else None
 
 
-def to_int(c: Column, dtype: T.DataType, mode: str = STRICT) -> Column | None:
+def to_int(c: str, dtype: T.DataType, mode: str = STRICT) -> str | None:
     """``c`` as a 32-bit integer, cut towards zero; out of range gives NULL."""
     check_mode(mode)
     if is_text(dtype) and mode == COMPAT:
-        head = F.regexp_extract(c, _INT_PREFIX, 1).try_cast("bigint")
-        return F.when(c.isNotNull(), F.coalesce(head, F.lit(0))).try_cast("int")
-    if is_numeric(dtype) and not isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return c.try_cast("int")
+        return f"try_cast({_head(c, _INT_PREFIX, 'bigint')} AS int)"
+    if is_numeric(dtype) and not _is_float(dtype):
+        return f"try_cast({c} AS int)"
     x = to_double(c, dtype, mode)
-    return None if x is None else x.try_cast("int")
+    return x and f"try_cast({x} AS int)"
 
 
-def negative_part(c: Column, dtype: T.DataType, mode: str = STRICT) -> Column | None:
+def negative_part(c: str, dtype: T.DataType, mode: str = STRICT) -> str | None:
     """The value of ``c`` where it is a negative number, else NULL.
 
-    A text can only be negative if it starts with a minus sign, so the parse is skipped for all others.
+    A negative text starts with a minus sign or with blanks, and all of these sort before a point:
+    one comparison of bytes settles nearly every other text. Parsing a text that is no number is
+    dear, so the few left must look like a number first.
     """
-    x = to_double(c, dtype, mode)
-    if x is None:
-        return None
+    check_mode(mode)
     if is_text(dtype):
-        x = F.when(F.startswith(F.ltrim(c), F.lit("-")), x)
-    return F.when(x < 0, x)
+        x = to_double(c, dtype, mode) if mode == COMPAT else f"try_cast({c} AS double)"
+        value = f"CASE WHEN {x} < 0 AND {x} > -{_INF} THEN {x} END"
+        # One CASE inside the other: shared parts of an AND may be computed for every row.
+        return f"CASE WHEN {c} < '.' THEN CASE WHEN {c} RLIKE {literal(_MINUS)} THEN {value} END END"
+    if _is_float(dtype):
+        return f"CASE WHEN {c} < 0 AND {c} > -{_INF} THEN CAST({c} AS double) END"
+    return f"CASE WHEN {c} < 0 THEN CAST({c} AS double) END" if is_numeric(dtype) else None
 
 
-def to_timestamp(c: Column, dtype: T.DataType) -> Column | None:
+def to_timestamp(c: str, dtype: T.DataType) -> str | None:
     """``c`` as a timestamp in the session time zone; text that is no time gives NULL."""
     if is_temporal(dtype):
-        return c.cast("timestamp")
-    if is_text(dtype):
-        return c.try_cast("timestamp")
-    return None
+        return f"CAST({c} AS timestamp)"
+    return f"try_cast({c} AS timestamp)" if is_text(dtype) else None
 
 
-def to_day(c: Column, dtype: T.DataType) -> Column | None:
+def to_day(c: str, dtype: T.DataType) -> str | None:
     """``c`` as a date."""
-    if is_temporal(dtype):
-        return c.cast("date")
-    if is_text(dtype):
-        return c.try_cast("timestamp").cast("date")
-    return None
+    t = f"CAST({c} AS date)" if is_temporal(dtype) else to_timestamp(c, dtype)
+    return t if t is None or is_temporal(dtype) else f"CAST({t} AS date)"
 
 
-def to_epoch_ms(c: Column, dtype: T.DataType) -> Column | None:
+def to_epoch_ms(c: str, dtype: T.DataType) -> str | None:
     """Epoch milliseconds. A number above 1e11 already is in milliseconds, any other is in seconds."""
     if is_numeric(dtype):
-        x = c.cast("double")
-        return F.when(x > 1e11, x).otherwise(x * 1000).try_cast("bigint")
+        x = f"CAST({c} AS double)"
+        return f"try_cast(CASE WHEN {x} > 1e11 THEN {x} ELSE {x} * 1000 END AS bigint)"
     t = to_timestamp(c, dtype)
-    return None if t is None else F.unix_millis(t)
+    return t and f"unix_millis({t})"
+
+
+def is_later(a: str, ta: T.DataType, b: str, tb: T.DataType) -> str:
+    """Whether time ``a`` lies after time ``b``. If either is a plain date, days are compared."""
+    days = f"{to_day(a, ta)} > {to_day(b, tb)}"
+    if isinstance(ta, T.DateType) or isinstance(tb, T.DateType):
+        return days
+    if is_temporal(ta) and ta == tb:
+        return f"{a} > {b}"
+    times = f"{to_timestamp(a, ta)} > {to_timestamp(b, tb)}"
+    short = " OR ".join(f"length(trim({c})) <= 10" for c, t in ((a, ta), (b, tb)) if is_text(t))
+    return f"CASE WHEN {short} THEN {days} ELSE {times} END" if short else times
 
 
-def seconds_between(start: Column, end: Column) -> Column:
+def seconds_between(start: str, end: str) -> str:
     """``end`` - ``start`` of two timestamps, in seconds with fractions."""
-    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1_000_000.0)
+    return f"(unix_micros({end}) - unix_micros({start})) / 1000000D"

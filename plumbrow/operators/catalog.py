@@ -53,13 +53,13 @@ def build_registry(tables: DataFrame, platform: str = "sqlite", env: str = "PROD
     last = F.struct(*([F.col(c) for c in extra] or [F.lit(None).cast("string").alias("instance")]))
     order = F.col("instance") if "instance" in extra else F.lit(0)
     named = tables.filter(~F.lower("table").like(SYSTEM_TABLES)).select(
-        dataset_urn(F.col("domain"), F.col("table"), platform, env).alias("urn"),
-        "domain", "table", last.alias("last"), order.alias("rank"),
+        "domain", "table", last.alias("last"), order.alias("rank")
     )
+    urn = dataset_urn(F.col("domain"), F.col("table"), platform, env)
     return (
-        named.groupBy("urn", "domain", "table")
+        named.groupBy("domain", "table")
         .agg(F.max_by("last", "rank").alias("last"), F.count(F.lit(1)).alias("copies"))
-        .select("urn", "domain", "table", F.lit(AVAILABLE).alias("status"), "copies", "last.*")
+        .select(urn.alias("urn"), "domain", "table", F.lit(AVAILABLE).alias("status"), "copies", "last.*")
     )
 
 
@@ -152,15 +152,16 @@ def attach_metadata(registry: DataFrame, assignments: DataFrame) -> DataFrame:
     ``kind`` is ``tag``, ``term`` or ``owner``; of several owners the one with the highest position
     stands. The lists hold distinct values, so they are no longer than the tag and term vocabulary.
     """
-    known = registry.select("urn", "table").join(assignments, "table")
 
     def values(kind: str) -> Column:
         return F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col("value"))))
 
     owner = F.max(F.when(F.col("kind") == "owner", F.struct("position", "value")))
-    return known.groupBy("urn").agg(
+    # Grouped before the join: both need the rows of a table together, so one shuffle serves both.
+    listed = assignments.groupBy("table").agg(
         values("tag").alias("tags"), values("term").alias("terms"), owner["value"].alias("owner")
     )
+    return registry.select("urn", "table").join(listed, "table").select("urn", "tags", "terms", "owner")
 
 
 def unknown_assignments(registry: DataFrame, assignments: DataFrame) -> DataFrame:

@@ -38,10 +38,8 @@ def last_event_ts(
     A column that holds no time, or none at all, gives NULL.
     """
     time_col = time_col or time_column(df)
-    ms = None
-    if time_col:
-        ms = casts.to_epoch_ms(F.col(f"`{time_col}`"), df.schema[time_col].dataType)
-    last = F.max(ms if ms is not None else F.lit(None).cast("bigint")).alias("last_ts_ms")
+    ms = time_col and casts.to_epoch_ms(casts.quote(time_col), df.schema[time_col].dataType)
+    last = F.max(F.expr(ms or "CAST(NULL AS bigint)")).alias("last_ts_ms")
     grouped = df.groupBy(F.col(by).alias("dataset")) if by else df.groupBy()
     out = grouped.agg(last)
     if not by:
@@ -87,7 +85,7 @@ def freshness(
 
 
 def _last_day(df: DataFrame, day_col: str) -> Column:
-    return F.max(casts.to_day(F.col(day_col), df.schema[day_col].dataType))
+    return F.max(F.expr(casts.to_day(casts.quote(day_col), df.schema[day_col].dataType)))
 
 
 def stage_lag(stages: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
@@ -115,7 +113,7 @@ def missing_days(df: DataFrame, day_col: str, calendar: DataFrame | None = None)
 
     Days are made distinct in each task before anything is shuffled.
     """
-    day = casts.to_day(F.col(day_col), df.schema[day_col].dataType)
+    day = F.expr(casts.to_day(casts.quote(day_col), df.schema[day_col].dataType))
     present = df.select(day.alias("day")).filter("day is not null").distinct()
     if calendar is None:
         span = present.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).filter("lo is not null")

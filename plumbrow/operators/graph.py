@@ -2,54 +2,90 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbrow.operators.lineage import graph_nodes
+from plumbrow.operators.lineage import numbered
 from plumbrow.sources.shared import cut
 
 
-def _paths_below(sources: DataFrame, edges: DataFrame) -> list[DataFrame]:
-    """Breadth-first levels ``s, v, sigma``: nodes at distance d from s and shortest paths to them."""
-    levels = [cut(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("sigma")), "paths")]
+# Rows that one task should make when a level steps down its edges.
+ROWS_PER_TASK = 500_000
+
+
+class _Level(NamedTuple):
+    """``s, v, sigma``: nodes at one distance from s and the number of shortest paths to them."""
+
+    df: DataFrame
+    rows: int
+
+
+class _Graph(NamedTuple):
+    edges: DataFrame
+    fanout: float  # mean number of edges out of a node that has any
+
+    def below(self, level: _Level, *columns: str) -> DataFrame:
+        """``level`` joined with its edges. A level is far smaller than what it leads to, so it is
+        first spread evenly, hubs included, over as many tasks as the result needs."""
+        df = level.df.select(*columns)
+        most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = min(most, math.ceil(level.rows * self.fanout / ROWS_PER_TASK))
+        if tasks > 1:
+            df = df.repartition(tasks, "s", "v")
+        return df.join(self.edges, F.col("v") == F.col("src"))
+
+
+def _written(df: DataFrame) -> _Level:
+    df = cut(df, "paths")
+    return _Level(df, df.count())
+
+
+def _paths_below(sources: DataFrame, graph: _Graph) -> list[_Level]:
+    """Breadth-first levels, the sources themselves first."""
+    levels = [_written(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")))]
     while True:
         step = (
-            levels[-1]
-            .join(edges, F.col("v") == F.col("src"))
+            graph.below(levels[-1], "s", "v", "sigma")
             .groupBy("s", F.col("dst").alias("v"))
             .agg(F.sum("sigma").alias("sigma"))
         )
-        seen = reduce(DataFrame.union, levels).select("s", "v")
-        level = cut(step.join(seen, ["s", "v"], "left_anti").select("s", "v", "sigma"), "paths")
-        if level.isEmpty():
+        seen = reduce(DataFrame.union, [x.df.select("s", "v") for x in levels])
+        level = _written(step.join(seen, ["s", "v"], "left_anti").select("s", "v", "sigma"))
+        if not level.rows:
             return levels
         levels.append(level)
 
 
-def _dependencies(levels: list[DataFrame], edges: DataFrame) -> list[DataFrame]:
+def _dependencies(levels: list[_Level], graph: _Graph) -> list[DataFrame]:
     """From the deepest level up, ``v, delta``: how far the paths of all sources depend on v.
 
-    The coefficient of a node goes back along its edges and is summed per (s, v) in each task
-    before the shuffle, so the second join meets one row per pair.
+    Each level steps down its edges again, as on the way out, so only nodes that a source reached
+    are paired with their successors; going back up the edges would also meet every other
+    predecessor of a hub. The carried shares are summed per (s, v) in each task before the shuffle.
     """
     sums = []
     below = None
     for level in reversed(levels[1:]):
         if below is None:
-            known = level.withColumn("delta", F.lit(0.0))
+            known = level.df.withColumn("delta", F.lit(0.0))
         else:
-            back = (
-                below.join(edges, F.col("v") == F.col("dst"))
-                .groupBy("s", F.col("src").alias("v"))
+            carried = (
+                graph.below(level, "s", "v")
+                .select("s", "v", F.col("dst").alias("w"))
+                .join(below, ["s", "w"])
+                .groupBy("s", "v")
                 .agg(F.sum("coefficient").alias("carried"))
             )
-            known = level.join(back, ["s", "v"], "left").withColumn(
+            known = level.df.join(carried, ["s", "v"], "left").withColumn(
                 "delta", F.col("sigma") * F.coalesce("carried", F.lit(0.0))
             )
             known = cut(known.select("s", "v", "sigma", "delta"), "dependencies")
             sums.append(known.groupBy("v").agg(F.sum("delta").alias("delta")))
-        below = known.select("s", "v", ((F.lit(1.0) + F.col("delta")) / F.col("sigma")).alias("coefficient"))
+        share = (F.lit(1.0) + F.col("delta")) / F.col("sigma")
+        below = known.select("s", F.col("v").alias("w"), share.alias("coefficient"))
     return sums
 
 
@@ -63,22 +99,21 @@ def betweenness(nodes: DataFrame | None, edges: DataFrame, batches: int = 1) ->
     State is one row per (source, node below it), kept in written tables. ``batches`` runs the
     sources in that many groups, which divides the size of that state; the result is the same.
     """
-    edges = cut(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
-    nodes = cut(graph_nodes(nodes, edges), "nodes")
-    n = nodes.count()
-    sources = edges.select(F.col("src").alias("id")).distinct()
+    ids, links = numbered(nodes, edges)
+    n = ids.count()
+    sources = cut(links.select(F.col("src").alias("s")).distinct(), "sources")
+    graph = _Graph(links, links.count() / max(sources.count(), 1))
     sums: list[DataFrame] = []
     for b in range(batches):
         part = sources
         if batches > 1:
-            part = sources.filter(F.pmod(F.hash("id"), F.lit(batches)) == b)
-        sums += _dependencies(_paths_below(part, edges), edges)
-    out = nodes
+            part = sources.filter(F.pmod(F.hash("s"), F.lit(batches)) == b)
+        sums += _dependencies(_paths_below(part, graph), graph)
     if sums:
         total = reduce(DataFrame.union, sums).groupBy("v").agg(F.sum("delta").alias("total"))
-        out = nodes.join(total.withColumnRenamed("v", "id"), "id", "left")
+        out = ids.join(total.withColumnRenamed("v", "n"), "n", "left")
     else:
-        out = nodes.withColumn("total", F.lit(0.0))
+        out = ids.withColumn("total", F.lit(0.0))
     scale = 1.0 / ((n - 1.0) * (n - 2.0)) if n > 2 else 0.0
     plain = F.coalesce("total", F.lit(0.0))
     return out.select(

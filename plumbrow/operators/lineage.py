@@ -30,11 +30,12 @@ def fk_edges(
     children = registry.select(F.col("urn").alias("child"))
     parents = registry.select("table", F.col("urn").alias("parent"))
     pairs = keys.join(children, "child", "left_semi").join(parents, "table")
+    # Distinct as they are: a child meets a target once, and a parent has one table name.
     if direction == CHILD_TO_PARENT:
-        return pairs.select(F.col("child").alias("src"), F.col("parent").alias("dst")).distinct()
+        return pairs.select(F.col("child").alias("src"), F.col("parent").alias("dst"))
     if direction != UPSTREAM_TO_DOWNSTREAM:
         raise ValueError(f"unknown direction {direction!r}")
-    return pairs.select(F.col("parent").alias("src"), F.col("child").alias("dst")).distinct()
+    return pairs.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
 
 
 def _layered(registry: DataFrame) -> DataFrame:
@@ -121,6 +122,28 @@ def unknown_names(mapping: DataFrame, registry: DataFrame) -> DataFrame:
     return ends.distinct().join(registry.select("table"), "table", "left_anti")
 
 
+def graph_nodes(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``id``: the given nodes and all ends of edges."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    return (ends if nodes is None else nodes.select("id").union(ends)).distinct()
+
+
+def numbered(nodes: DataFrame | None, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, n`` and ``src, dst`` with numbers for names, without repeated edges and self-loops.
+
+    Dataset names are long texts, and iterative jobs shuffle them many times; numbers take 8 bytes.
+    They are written down before use, so a task that runs again cannot give out others.
+    """
+    edges = cut(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
+    ids = cut(graph_nodes(nodes, edges).withColumn("n", F.monotonically_increasing_id()), "nodes")
+    short = (
+        edges.join(ids.select(F.col("id").alias("src"), F.col("n").alias("s")), "src")
+        .join(ids.select(F.col("id").alias("dst"), F.col("n").alias("d")), "dst")
+        .select(F.col("s").alias("src"), F.col("d").alias("dst"))
+    )
+    return ids, cut(short, "edges")
+
+
 def downstream(edges: DataFrame, starts: DataFrame, hops: int | None = 1) -> DataFrame:
     """``start, node, distance``: what lies below each of ``starts(id)``.
 
@@ -129,33 +152,29 @@ def downstream(edges: DataFrame, starts: DataFrame, hops: int | None = 1) -> Dat
     the next round, so cycles end and a pair keeps its shortest distance. A start that a cycle
     leads back to is not below itself.
     """
-    edges = edges.select("src", "dst").filter("src <> dst").distinct()
-    ids = starts.select(F.col("id").alias("start")).distinct()
+    roots = starts.select(F.col("id").alias("start")).distinct()
     if hops == 1:
-        near = ids.join(edges, ids["start"] == edges["src"])
-        return near.select("start", F.col("dst").alias("node"), F.lit(1).alias("distance"))
-    edges = cut(edges, "edges")
-    levels = [cut(ids.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")), "reach")]
+        direct = edges.select("src", "dst").filter("src <> dst")
+        near = roots.join(direct, roots["start"] == direct["src"])
+        return near.select("start", F.col("dst").alias("node")).distinct().withColumn("distance", F.lit(1))
+    ids, links = numbered(None, edges)
+    first = ids.join(roots, ids["id"] == roots["start"]).select("n")
+    levels = [cut(first.select(F.col("n").alias("s"), F.col("n").alias("v")), "reach")]
     while hops is None or len(levels) <= hops:
-        step = (
-            levels[-1]
-            .join(edges, F.col("node") == F.col("src"))
-            .select("start", F.col("dst").alias("node"))
-            .distinct()
-        )
-        seen = reduce(DataFrame.union, levels).select("start", "node")
-        fresh = step.join(seen, ["start", "node"], "left_anti")
-        level = cut(fresh.withColumn("distance", F.lit(len(levels))), "reach")
+        step = levels[-1].join(links, F.col("v") == F.col("src")).select("s", F.col("dst").alias("v")).distinct()
+        seen = reduce(DataFrame.union, levels)
+        level = cut(step.join(seen, ["s", "v"], "left_anti"), "reach")
         if level.isEmpty():
             break
         levels.append(level)
-    return reduce(DataFrame.union, levels).filter("distance > 0")
-
-
-def graph_nodes(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """``id``: the given nodes and all ends of edges."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
-    return (ends if nodes is None else nodes.select("id").union(ends)).distinct()
+    found = [x.withColumn("distance", F.lit(d)) for d, x in enumerate(levels)]
+    return (
+        reduce(DataFrame.union, found)
+        .filter("distance > 0")
+        .join(ids.select(F.col("n").alias("s"), F.col("id").alias("start")), "s")
+        .join(ids.select(F.col("n").alias("v"), F.col("id").alias("node")), "v")
+        .select("start", "node", "distance")
+    )
 
 
 def node_roles(

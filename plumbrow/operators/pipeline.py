@@ -33,11 +33,16 @@ DROPOFF_CANDIDATES = (
 
 
 def _num(df: DataFrame, name: str, mode: str) -> Column:
-    return casts.to_double(F.col(name), df.schema[name].dataType, mode)
+    return F.expr(casts.to_double(casts.quote(name), df.schema[name].dataType, mode))
 
 
-def _time(df: DataFrame, name: str) -> Column:
-    return casts.to_timestamp(F.col(name), df.schema[name].dataType)
+def _seconds(df: DataFrame, start: str, end: str) -> Column:
+    a, b = (casts.to_timestamp(casts.quote(c), df.schema[c].dataType) for c in (start, end))
+    return F.expr(casts.seconds_between(a, b))
+
+
+def _day(df: DataFrame, name: str) -> Column:
+    return F.expr(casts.to_day(casts.quote(name), df.schema[name].dataType))
 
 
 def stage_clean(
@@ -49,7 +54,7 @@ def stage_clean(
 
 
 def mart_billing(df: DataFrame, mode: str = casts.STRICT) -> DataFrame:
-    days = casts.seconds_between(_time(df, "date_of_admission"), _time(df, "discharge_date")) / 86400.0
+    days = _seconds(df, "date_of_admission", "discharge_date") / 86400.0
     return df.select(
         "name", "hospital", "insurance_provider",
         F.col("admission_type_clean").alias("admission_type"),
@@ -63,7 +68,7 @@ def mart_billing(df: DataFrame, mode: str = casts.STRICT) -> DataFrame:
 def mart_demographics(df: DataFrame, mode: str = casts.STRICT) -> DataFrame:
     return df.select(
         "name",
-        casts.to_int(F.col("age"), df.schema["age"].dataType, mode).alias("age"),
+        F.expr(casts.to_int("age", df.schema["age"].dataType, mode)).alias("age"),
         F.col("gender_clean").alias("gender"),
         F.col("blood_type_clean").alias("blood_type"),
         F.col("condition_clean").alias("medical_condition"),
@@ -92,7 +97,7 @@ def stage_trips(
         raise ValueError(f"no pickup column; expected one of {list(pickup)}")
     minutes = F.lit(None).cast("double")
     if end is not None:
-        minutes = F.round(casts.seconds_between(_time(df, start), _time(df, end)) / 60.0, 1)
+        minutes = F.round(_seconds(df, start, end) / 60.0, 1)
     kept = df.filter(
         F.col(start).isNotNull()
         & (_num(df, "trip_distance", mode) > 0)
@@ -100,7 +105,7 @@ def stage_trips(
     )
     return kept.select(
         "*",
-        casts.to_day(F.col(start), df.schema[start].dataType).alias("trip_date"),
+        _day(df, start).alias("trip_date"),
         minutes.alias("trip_duration_min"),
         F.lit(status).alias("pipeline_status"),
     )
@@ -146,7 +151,7 @@ def stage_audit(stages: Sequence[tuple[str, DataFrame, str, str | None]]) -> Dat
     parts = []
     for stage, df, day, count_col in stages:
         empty = F.count_if(F.col(count_col) == 0) if count_col else F.lit(None).cast("bigint")
-        last = F.max(casts.to_day(F.col(day), df.schema[day].dataType))
+        last = F.max(_day(df, day))
         parts.append(
             df.agg(
                 F.count(F.lit(1)).alias("row_count"), last.alias("last_day"), empty.alias("empty_days")

@@ -123,12 +123,17 @@ def patient_rules(total: int) -> list[Rule]:
     ]
 
 
+def days_before_last(df: DataFrame, day_col: str, days: int = STALE_DAYS) -> Column:
+    """The day that lies ``days`` before the last one, as a value to compare with."""
+    return F.date_sub(df.agg(F.max(day_col)).scalar(), days)
+
+
 def cut_after(
     df: DataFrame, day_col: str, days: int = STALE_DAYS, reference: DataFrame | None = None
 ) -> DataFrame:
     """Drop the rows later than ``days`` before the last day (of ``reference``, by default ``df``)."""
-    last = (df if reference is None else reference).agg(F.max(day_col)).scalar()
-    return df.filter(F.col(day_col) <= F.date_sub(last, days))
+    cutoff = days_before_last(df if reference is None else reference, day_col, days)
+    return df.filter(F.col(day_col) <= cutoff)
 
 
 def zero_day(df: DataFrame, day_col: str, measures: Sequence[str], day: Column) -> DataFrame:
@@ -137,8 +142,3 @@ def zero_day(df: DataFrame, day_col: str, measures: Sequence[str], day: Column)
     hit = F.col(day_col) == day
     zero = {c: F.when(hit, F.lit(0).cast(types[c])).otherwise(F.col(c)).alias(c) for c in measures}
     return df.select(*[zero.get(c, F.col(c)) for c in df.columns])
-
-
-def empty_day_before(cut: DataFrame, day_col: str, days: int = EMPTY_DAY_BEFORE_CUT) -> Column:
-    """The day ``days`` before the last one of a table that has been cut off."""
-    return F.date_sub(cut.agg(F.max(day_col)).scalar(), days)

@@ -1,6 +1,7 @@
 """Defect profiles: missing values, negative numbers, values out of range, dates in the wrong order.
 
-All checks of a table are counted in one aggregate over one scan, whatever the number of columns.
+All checks of a table are counted in one aggregate over one scan. A table too wide for that is
+counted in several, each reading columns of its own, so every column is still read once.
 With ``by`` the same pass profiles many datasets held in one table: partial counts are formed in
 each task, so a dataset with a third of the rows is no bottleneck.
 
@@ -30,8 +31,8 @@ AGE_RANGE = (0, 120)
 
 # A text column counts as temporal if this share of its non-blank values can be read as a time.
 MIN_PARSEABLE = 0.95
-# Beyond about this many counters one aggregate no longer compiles; further checks get their own pass.
-MAX_COUNTERS = 400
+# Spark compiles a stage only up to 100 fields, so one aggregate gets no more counters than this.
+MAX_COUNTERS = 90
 
 FINDING = (
     "struct<column:string,column_2:string,issue:string,bad_rows:bigint,total_rows:bigint,"
@@ -41,32 +42,34 @@ FINDING = (
 
 @dataclass(frozen=True)
 class Check:
-    """One rule on one column (or pair): which rows break it, and what else to report."""
+    """One rule on one column (or pair), as SQL: which rows break it, and what else to report."""
 
     column: str
     issue: str
-    bad: Column
+    bad: str
     column_2: str | None = None
-    value: Column | None = None  # the smallest one is reported
+    value: str | None = None  # the smallest one is reported
     texts: tuple[str, ...] = ()  # text columns that have to prove temporal first
 
+    @property
+    def counters(self) -> int:
+        return 1 + (self.value is not None) + 2 * len(self.texts)
 
-def _ref(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
 
-
-def _fields(df: DataFrame, skip: Iterable[str] = ()) -> list[T.StructField]:
+def _fields(df: DataFrame, skip: Iterable[str | None] = ()) -> list[T.StructField]:
     skip = set(skip)
     return [f for f in df.schema.fields if f.name not in skip]
 
 
-def missing(field: T.StructField, blanks: Sequence[str] = BLANK_TEXTS) -> Column:
-    c = _ref(field.name)
-    return c.isNull() | c.isin(*blanks) if casts.is_text(field.dataType) else c.isNull()
-
-
 def null_checks(fields: Sequence[T.StructField], blanks: Sequence[str] = BLANK_TEXTS) -> list[Check]:
-    return [Check(f.name, NULL_OR_BLANK, missing(f, blanks)) for f in fields]
+    """Text can be missing in more ways than NULL; other types cannot."""
+    listed = ", ".join(casts.literal(b) for b in blanks)
+    out = []
+    for f in fields:
+        c = casts.quote(f.name)
+        blank = f" OR {c} IN ({listed})" if casts.is_text(f.dataType) else ""
+        out.append(Check(f.name, NULL_OR_BLANK, f"{c} IS NULL{blank}"))
+    return out
 
 
 def negative_checks(
@@ -77,9 +80,9 @@ def negative_checks(
     for f in fields:
         if declared and not casts.is_numeric(f.dataType):
             continue
-        x = casts.negative_part(_ref(f.name), f.dataType, mode)
+        x = casts.negative_part(casts.quote(f.name), f.dataType, mode)
         if x is not None:
-            out.append(Check(f.name, NEGATIVE, x.isNotNull(), value=x))
+            out.append(Check(f.name, NEGATIVE, f"({x}) IS NOT NULL", value=x))
     return out
 
 
@@ -95,41 +98,24 @@ def range_checks(
     types = {f.name: f.dataType for f in fields}
     out = []
     for name, (lo, hi) in ranges.items():
-        x = casts.to_double(_ref(name), types[name], mode)
+        x = casts.to_double(casts.quote(name), types[name], mode)
         if x is not None:
-            out.append(Check(name, INVALID_AGE, (x < lo) | (x > hi)))
+            out.append(Check(name, INVALID_AGE, f"({x}) < {lo} OR ({x}) > {hi}"))
     return out
 
 
-def _later(a: T.StructField, b: T.StructField) -> Column:
-    """Whether ``a`` lies after ``b``; if either is a plain date, days are compared."""
-    ca, cb = _ref(a.name), _ref(b.name)
-    if isinstance(a.dataType, T.DateType) or isinstance(b.dataType, T.DateType):
-        return casts.to_day(ca, a.dataType) > casts.to_day(cb, b.dataType)
-    ta, tb = casts.to_timestamp(ca, a.dataType), casts.to_timestamp(cb, b.dataType)
-    day_only = [
-        F.length(F.trim(c)) <= 10
-        for c, f in ((ca, a), (cb, b))
-        if casts.is_text(f.dataType)
-    ]
-    if not day_only:
-        return ta > tb
-    by_day = reduce(lambda x, y: x | y, day_only)
-    return F.when(by_day, ta.cast("date") > tb.cast("date")).otherwise(ta > tb)
-
-
-def _later_as_stored(a: T.StructField, b: T.StructField) -> Column | None:
+def _later_as_stored(a: T.StructField, b: T.StructField) -> str | None:
     """``compat``: numbers compare as numbers, all else as text, and any text lies after any number."""
-    ca, cb = _ref(a.name), _ref(b.name)
+    ca, cb = casts.quote(a.name), casts.quote(b.name)
     num_a, num_b = casts.is_numeric(a.dataType), casts.is_numeric(b.dataType)
     if num_a and num_b:
-        return ca > cb
+        return f"{ca} > {cb}"
     if num_a:
         return None
-    filled = ca.cast("string") != ""
+    ta, tb = f"CAST({ca} AS string)", f"CAST({cb} AS string)"
     if num_b:
-        return filled & cb.isNotNull()
-    return filled & (cb.cast("string") != "") & (ca.cast("string") > cb.cast("string"))
+        return f"{ta} <> '' AND {cb} IS NOT NULL"
+    return f"{ta} <> '' AND {tb} <> '' AND {ta} > {tb}"
 
 
 def date_columns(fields: Sequence[T.StructField], mode: str = casts.STRICT) -> list[T.StructField]:
@@ -158,7 +144,7 @@ def date_order_checks(
         if mode == casts.COMPAT:
             bad, texts = _later_as_stored(fa, fb), ()
         else:
-            bad = _later(fa, fb)
+            bad = casts.is_later(casts.quote(a), fa.dataType, casts.quote(b), fb.dataType)
             texts = tuple(f.name for f in (fa, fb) if casts.is_text(f.dataType))
         if bad is not None:
             out.append(Check(a, DATE_INVERSION, bad, column_2=b, texts=texts))
@@ -181,55 +167,62 @@ def all_checks(
     ]
 
 
-def _count(df: DataFrame, checks: Sequence[Check], by: str | None) -> DataFrame:
+def _passes(checks: Sequence[Check]) -> list[list[Check]]:
+    """Checks of the same column stay together, so two passes read different columns of the table."""
+    place = {c: i for i, c in enumerate(dict.fromkeys(c.column for c in checks))}
+    passes: list[list[Check]] = [[]]
+    room = MAX_COUNTERS
+    for c in sorted(checks, key=lambda c: place[c.column]):
+        if c.counters > room:
+            passes.append([])
+            room = MAX_COUNTERS
+        passes[-1].append(c)
+        room -= c.counters
+    return passes
+
+
+def _count(df: DataFrame, checks: Sequence[Check], name: str, by: str | None) -> DataFrame:
     """One aggregate for all ``checks``, then one row per check."""
-    aggs = [F.count(F.lit(1)).alias("total_rows")]
+    aggs = ["count(1) AS total_rows"]
+    texts = sorted({t for c in checks for t in c.texts})
     for i, c in enumerate(checks):
-        aggs.append(F.count_if(c.bad).alias(f"bad_{i}"))
+        aggs.append(f"count(CASE WHEN {c.bad} THEN 1 END) AS bad_{i}")
         if c.value is not None:
-            aggs.append(F.min(c.value).alias(f"min_{i}"))
-    texts = sorted({t for c in checks for t in c.texts})
+            aggs.append(f"min({c.value}) AS min_{i}")
     for j, t in enumerate(texts):
-        aggs.append(F.count_if(F.trim(_ref(t)) != "").alias(f"filled_{j}"))
-        aggs.append(F.count(_ref(t).try_cast("timestamp")).alias(f"parsed_{j}"))
-    counted = (df.groupBy(_ref(by).alias("dataset")) if by else df.groupBy()).agg(*aggs)
-
-    def finding(i: int, c: Check) -> Column:
-        bad = F.col(f"bad_{i}")
-        for t in c.texts:
-            j = texts.index(t)
-            temporal = F.col(f"parsed_{j}") >= F.col(f"filled_{j}") * MIN_PARSEABLE
-            bad = F.when(temporal, bad).otherwise(F.lit(0))
-        return F.struct(
-            F.lit(c.column).alias("column"),
-            F.lit(c.column_2).cast("string").alias("column_2"),
-            F.lit(c.issue).alias("issue"),
-            bad.cast("bigint").alias("bad_rows"),
-            F.col("total_rows"),
-            F.round(bad / F.col("total_rows") * 100.0, 2).alias("pct"),
-            (F.col(f"min_{i}") if c.value is not None else F.lit(None)).cast("double").alias("min_value"),
-        ).cast(FINDING)
-
-    rows = F.inline(F.array(*[finding(i, c) for i, c in enumerate(checks)]))
-    return counted.select(*(["dataset"] if by else []), rows).filter("bad_rows > 0")
+        aggs.append(f"count(CASE WHEN trim({casts.quote(t)}) <> '' THEN 1 END) AS filled_{j}")
+        aggs.append(f"count(try_cast({casts.quote(t)} AS timestamp)) AS parsed_{j}")
+    keys = [F.col(casts.quote(by)).alias("dataset")] if by else []
+    counted = df.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+
+    def finding(i: int, c: Check) -> str:
+        bad = f"bad_{i}"
+        if c.texts:
+            proven = " AND ".join(
+                f"parsed_{j} >= filled_{j} * {MIN_PARSEABLE}" for j in map(texts.index, c.texts)
+            )
+            bad = f"CASE WHEN {proven} THEN {bad} ELSE 0 END"
+        second = casts.literal(c.column_2) if c.column_2 else "CAST(NULL AS string)"
+        low = f"min_{i}" if c.value is not None else "CAST(NULL AS double)"
+        return f"{casts.literal(c.column)}, {second}, {casts.literal(c.issue)}, CAST({bad} AS bigint), {low}"
+
+    rows = ", ".join(finding(i, c) for i, c in enumerate(checks))
+    dataset = "dataset" if by else f"{casts.literal(name)} AS dataset"
+    stacked = counted.selectExpr(
+        dataset, "total_rows", f"stack({len(checks)}, {rows}) AS (column, column_2, issue, bad_rows, min_value)"
+    )
+    return stacked.filter("bad_rows > 0").selectExpr(
+        "dataset", "column", "column_2", "issue", "bad_rows", "total_rows",
+        "round(bad_rows / total_rows * 100D, 2) AS pct", "min_value",
+    )
 
 
 def count_checks(
     df: DataFrame, checks: Sequence[Check], name: str = "table", by: str | None = None
 ) -> DataFrame:
     """Count any list of checks over ``df``; an empty table has no findings."""
-    if not checks:
-        checks = [Check("", "none", F.lit(False))]
-    per_pass = MAX_COUNTERS // 2
-    parts = [
-        _count(df, checks[i : i + per_pass], by) for i in range(0, len(checks), per_pass)
-    ]
-    found = reduce(DataFrame.unionByName, parts)
-    if not by:
-        found = found.withColumn("dataset", F.lit(name))
-    return found.select(
-        "dataset", "column", "column_2", "issue", "bad_rows", "total_rows", "pct", "min_value"
-    )
+    checks = list(checks) or [Check("", "none", "false")]
+    return reduce(DataFrame.unionByName, [_count(df, p, name, by) for p in _passes(checks)])
 
 
 def null_profile(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
@@ -290,13 +283,12 @@ def profile(
 
 def defects(df: DataFrame, name: str = "table", mode: str = casts.STRICT) -> DataFrame:
     """One row per defect instead of counts: ``dataset, column, type``. A map over the rows, no shuffle."""
-    checks = all_checks(_fields(df), mode)
-    hits = [
-        F.when(c.bad, F.struct(F.lit(c.column).alias("column"), F.lit(c.issue).alias("type")))
-        for c in checks
-    ]
-    hit = F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull()))
-    return df.select(hit.alias("h")).select(F.lit(name).alias("dataset"), "h.column", "h.type")
+    hits = ", ".join(
+        f"CASE WHEN {c.bad} THEN struct({casts.literal(c.column)} AS column, {casts.literal(c.issue)} AS type) END"
+        for c in all_checks(_fields(df), mode)
+    )
+    found = df.selectExpr(f"explode(filter(array({hits}), h -> h IS NOT NULL)) AS h")
+    return found.selectExpr(f"{casts.literal(name)} AS dataset", "h.column", "h.type")
 
 
 # Labels for findings that lack a key.

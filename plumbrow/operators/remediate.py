@@ -8,9 +8,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbrow.functions import casts, names
+from plumbrow.functions.casts import quote as _quoted
 from plumbrow.operators.lineage import downstream
 from plumbrow.operators.profile import (
     AGE_KEYWORDS,
@@ -20,6 +21,7 @@ from plumbrow.operators.profile import (
     NEGATIVE,
     NULL_OR_BLANK,
 )
+from plumbrow.sources.shared import cut
 
 # The filler, the name parts of text columns, the states of a stage, report lines.
 FILLER = "UNKNOWN"
@@ -32,10 +34,6 @@ ZERO_LINE = "Replaced NULLs with 0 in column '%s'"
 DATE_LINE = "Corrected inverted date logic between '%s' and '%s'"
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _number(name: str, dtype: T.DataType) -> str:
     c = _quoted(name)
     return f"try_cast({c} AS double)" if casts.is_text(dtype) else c
@@ -62,24 +60,6 @@ def fill_sql(name: str, dtype: T.DataType) -> str | None:
     return None
 
 
-def _order_sql(a: T.StructField, b: T.StructField) -> str:
-    def as_time(f: T.StructField) -> str:
-        c = _quoted(f.name)
-        return f"try_cast({c} AS timestamp)" if casts.is_text(f.dataType) else c
-
-    def as_day(f: T.StructField) -> str:
-        return f"try_cast({as_time(f)} AS date)"
-
-    if isinstance(a.dataType, T.DateType) or isinstance(b.dataType, T.DateType):
-        return f"{as_day(a)} > {as_day(b)}"
-    texts = [f for f in (a, b) if casts.is_text(f.dataType)]
-    later = f"{as_time(a)} > {as_time(b)}"
-    if not texts:
-        return later
-    short = " OR ".join(f"length(trim({_quoted(f.name)})) <= 10" for f in texts)
-    return f"CASE WHEN {short} THEN {as_day(a)} > {as_day(b)} ELSE {later} END"
-
-
 def _replace(df: DataFrame, exprs: Mapping[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{exprs.get(c, _quoted(c))} AS {_quoted(c)}" for c in df.columns])
 
@@ -106,8 +86,8 @@ def fill_nulls(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def _swap_sql(df: DataFrame, c1: str, c2: str) -> dict[str, str]:
     t1, t2 = df.schema[c1].dataType, df.schema[c2].dataType
-    wrong = _order_sql(df.schema[c1], df.schema[c2])
     a, b = _quoted(c1), _quoted(c2)
+    wrong = casts.is_later(a, t1, b, t2)
 
     def moved(c: str, to: T.DataType, other: T.DataType) -> str:
         return c if to == other else f"CAST({c} AS {to.simpleString()})"
@@ -125,7 +105,7 @@ def swap_dates(df: DataFrame, c1: str, c2: str) -> DataFrame:
 
 def drop_invalid(df: DataFrame, amount: str) -> DataFrame:
     """Drop rows with a negative amount; rows without an amount stay."""
-    x = casts.to_double(F.col(_quoted(amount)), df.schema[amount].dataType)
+    x = F.expr(casts.to_double(_quoted(amount), df.schema[amount].dataType))
     return df.filter((x >= 0) | x.isNull())
 
 
@@ -207,12 +187,11 @@ def fix_report(anomalies: DataFrame) -> DataFrame:
 
     A column with a number defect has no line for its missing values, as in the cleaned table.
     """
+    null = F.col("issue") == NULL_OR_BLANK
     number = F.col("issue").isin(NEGATIVE, INVALID_AGE)
-    fixed = anomalies.filter(number).select("dataset", "column").distinct()
-    nulls = anomalies.filter(F.col("issue") == NULL_OR_BLANK).join(
-        fixed, ["dataset", "column"], "left_anti"
-    )
-    others = anomalies.filter(F.col("issue") != NULL_OR_BLANK)
+    # A window over the findings of one column, of which there are a handful.
+    fixed = F.max(number).over(Window.partitionBy("dataset", "column"))
+    kept = anomalies.withColumn("fixed", fixed).filter(~(null & F.col("fixed")))
     is_age = names.column_has(F.col("column"), AGE_KEYWORDS, names.TOKEN)
     is_text = names.column_has(F.col("column"), TEXT_KEYWORDS)
 
@@ -221,11 +200,10 @@ def fix_report(anomalies: DataFrame) -> DataFrame:
 
     text = (
         F.when(F.col("issue") == DATE_INVERSION, F.format_string(DATE_LINE, "column", "column_2"))
-        .when(F.col("issue") == NULL_OR_BLANK, F.when(is_text, line(TEXT_LINE)).otherwise(line(ZERO_LINE)))
+        .when(null, F.when(is_text, line(TEXT_LINE)).otherwise(line(ZERO_LINE)))
         .otherwise(F.when(is_age, line(AGE_LINE)).otherwise(line(NEGATIVE_LINE)))
     )
-    keep = ["dataset", "column", "column_2", "issue"]
-    return nulls.select(*keep).union(others.select(*keep)).select("dataset", text.alias("line")).distinct()
+    return kept.select("dataset", text.alias("line")).distinct()
 
 
 def circuit_breaker(
@@ -243,7 +221,9 @@ def circuit_breaker(
     through ``renames(dataset, column, source_column)`` where it has another name.
     A percentage at or below ``threshold_pct`` pauses nothing.
     """
-    bad = anomalies.filter(F.col("pct") > threshold_pct).select(
+    # Counted once: the findings are few, and the tables behind them are not.
+    anomalies = cut(anomalies.filter(F.col("pct") > threshold_pct), "anomalies")
+    bad = anomalies.select(
         F.col("dataset").alias("start"), F.inline(
             F.filter(
                 F.array(

@@ -394,10 +394,10 @@ def file_freshness(spark, sf):
 
 @query(
     f"""WITH {q.FRESHNESS} SELECT {q.STREAM_URN.format('user_id')} AS dataset, 'ts' AS time_col, last_ts_ms,
-    'column' AS source, round(hours_stale, 6) AS hours_stale, hours_stale > 24 AS is_stale FROM fresh"""
+    'column' AS source, hours_stale, hours_stale > 24 AS is_stale FROM fresh"""
 )
 def freshness_sla(spark, sf):
-    return _stream_freshness(spark, sf).withColumn("hours_stale", F.round("hours_stale", 6))
+    return _stream_freshness(spark, sf)
 
 
 def _stream_freshness(spark: SparkSession, sf: str) -> DataFrame:
@@ -411,7 +411,8 @@ def _trip_stages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Da
     staging = pipeline.stage_trips(raw)
     stale = plant.cut_after(staging, "trip_date")
     daily = plant.cut_after(pipeline.daily_summary(staging, ordered=False), "trip_date", reference=staging)
-    mart = plant.zero_day(daily, "trip_date", MEASURES, plant.empty_day_before(daily, "trip_date"))
+    empty = plant.days_before_last(staging, "trip_date", plant.STALE_DAYS + plant.EMPTY_DAY_BEFORE_CUT)
+    mart = plant.zero_day(daily, "trip_date", MEASURES, empty)
     return raw, stale, mart
 
 
@@ -572,11 +573,11 @@ def _risk_inputs(spark: SparkSession, sf: str, formula: str) -> DataFrame:
 
 @query(
     f"""WITH {q.SCORES} SELECT urn, array_to_string(pii_columns, ',') AS pii_columns, has_pii,
-    round(hours_stale, 6) AS hours_stale, centrality, risk_score, risk_score >= 0.65 AS is_high_risk FROM scores"""
+    hours_stale, centrality, risk_score, risk_score >= 0.65 AS is_high_risk FROM scores"""
 )
 def risk_score(spark, sf):
     return _risk_inputs(spark, sf, risk.STANDARD).select(
-        "urn", _joined("pii_columns"), "has_pii", F.round("hours_stale", 6).alias("hours_stale"),
+        "urn", _joined("pii_columns"), "has_pii", "hours_stale",
         "centrality", "risk_score", "is_high_risk",
     )
 
@@ -605,7 +606,7 @@ def risk_summary(spark, sf):
 
 
 @query(
-    f"""WITH {q.SCORES} SELECT 'freshness' AS kind, urn, CAST(round(hours_stale, 6) AS VARCHAR) IS NOT NULL AS listed,
+    f"""WITH {q.SCORES} SELECT 'freshness' AS kind, urn, hours_stale IS NOT NULL AS listed,
       CAST(NULL AS VARCHAR) AS pii_fields, risk_score FROM scores WHERE is_stale
     UNION ALL SELECT 'pii', urn, TRUE, array_to_string(pii_columns, ','), NULL FROM scores WHERE has_pii"""
 )

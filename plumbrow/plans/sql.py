@@ -104,7 +104,7 @@ stale_daily AS (SELECT trip_date, CASE WHEN hit THEN 0 ELSE trip_count END AS tr
     f"CASE WHEN hit THEN 0.0 ELSE {c} END AS {c}"
     for c in ("total_fare", "total_revenue", "avg_fare", "avg_distance", "avg_passengers", "avg_duration_min")
 ) + """
-  FROM (SELECT *, trip_date = (SELECT max(trip_date) FROM cut_daily) - 7 AS hit FROM cut_daily))"""
+  FROM (SELECT *, trip_date = (SELECT max(trip_date) FROM trips) - 10 AS hit FROM cut_daily))"""
 
 STREAM_URN = urn(kind_domain("{0}"), "'user_' || CAST({0} AS VARCHAR)")
 
