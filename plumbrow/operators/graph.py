@@ -38,25 +38,20 @@ class _Graph(NamedTuple):
         return df.join(self.edges, F.col("v") == F.col("src"))
 
 
-def _written(df: DataFrame) -> _Level:
-    df = cut(df, "paths")
-    return _Level(df, df.count())
-
-
-def _paths_below(sources: DataFrame, graph: _Graph) -> list[_Level]:
-    """Breadth-first levels, the sources themselves first."""
-    levels = [_written(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")))]
-    while True:
+def _paths_below(first: DataFrame, graph: _Graph) -> list[_Level]:
+    """Breadth-first levels. The first one is the edges themselves: one path of length 1 each."""
+    levels = [_Level(first, first.count())]
+    while levels[-1].rows:
         step = (
             graph.below(levels[-1], "s", "v", "sigma")
+            .filter("s <> dst")
             .groupBy("s", F.col("dst").alias("v"))
             .agg(F.sum("sigma").alias("sigma"))
         )
         seen = reduce(DataFrame.union, [x.df.select("s", "v") for x in levels])
-        level = _written(step.join(seen, ["s", "v"], "left_anti").select("s", "v", "sigma"))
-        if not level.rows:
-            return levels
-        levels.append(level)
+        level = cut(step.join(seen, ["s", "v"], "left_anti").select("s", "v", "sigma"), "paths")
+        levels.append(_Level(level, level.count()))
+    return levels[:-1]
 
 
 def _dependencies(levels: list[_Level], graph: _Graph) -> list[DataFrame]:
@@ -68,7 +63,7 @@ def _dependencies(levels: list[_Level], graph: _Graph) -> list[DataFrame]:
     """
     sums = []
     below = None
-    for level in reversed(levels[1:]):
+    for level in reversed(levels):
         if below is None:
             known = level.df.withColumn("delta", F.lit(0.0))
         else:
@@ -101,14 +96,14 @@ def betweenness(nodes: DataFrame | None, edges: DataFrame, batches: int = 1) ->
     """
     ids, links = numbered(nodes, edges)
     n = ids.count()
-    sources = cut(links.select(F.col("src").alias("s")).distinct(), "sources")
-    graph = _Graph(links, links.count() / max(sources.count(), 1))
+    size = links.agg(F.count(F.lit(1)), F.approx_count_distinct("src")).first()
+    graph = _Graph(links, size[0] / max(size[1], 1))
     sums: list[DataFrame] = []
     for b in range(batches):
-        part = sources
+        first = links.select(F.col("src").alias("s"), F.col("dst").alias("v"), F.lit(1.0).alias("sigma"))
         if batches > 1:
-            part = sources.filter(F.pmod(F.hash("s"), F.lit(batches)) == b)
-        sums += _dependencies(_paths_below(part, graph), graph)
+            first = first.filter(F.pmod(F.hash("s"), F.lit(batches)) == b)
+        sums += _dependencies(_paths_below(first, graph), graph)
     if sums:
         total = reduce(DataFrame.union, sums).groupBy("v").agg(F.sum("delta").alias("total"))
         out = ids.join(total.withColumnRenamed("v", "n"), "n", "left")

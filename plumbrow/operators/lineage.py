@@ -157,24 +157,17 @@ def downstream(edges: DataFrame, starts: DataFrame, hops: int | None = 1) -> Dat
         direct = edges.select("src", "dst").filter("src <> dst")
         near = roots.join(direct, roots["start"] == direct["src"])
         return near.select("start", F.col("dst").alias("node")).distinct().withColumn("distance", F.lit(1))
-    ids, links = numbered(None, edges)
-    first = ids.join(roots, ids["id"] == roots["start"]).select("n")
-    levels = [cut(first.select(F.col("n").alias("s"), F.col("n").alias("v")), "reach")]
+    links = cut(edges.select("src", "dst").filter("src <> dst"), "edges")
+    levels = [cut(roots.withColumn("node", F.col("start")), "reach")]
     while hops is None or len(levels) <= hops:
-        step = levels[-1].join(links, F.col("v") == F.col("src")).select("s", F.col("dst").alias("v")).distinct()
+        step = levels[-1].join(links, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
         seen = reduce(DataFrame.union, levels)
-        level = cut(step.join(seen, ["s", "v"], "left_anti"), "reach")
+        level = cut(step.distinct().join(seen, ["start", "node"], "left_anti"), "reach")
         if level.isEmpty():
             break
         levels.append(level)
     found = [x.withColumn("distance", F.lit(d)) for d, x in enumerate(levels)]
-    return (
-        reduce(DataFrame.union, found)
-        .filter("distance > 0")
-        .join(ids.select(F.col("n").alias("s"), F.col("id").alias("start")), "s")
-        .join(ids.select(F.col("n").alias("v"), F.col("id").alias("node")), "v")
-        .select("start", "node", "distance")
-    )
+    return reduce(DataFrame.union, found).filter("distance > 0")
 
 
 def node_roles(

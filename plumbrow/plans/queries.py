@@ -69,12 +69,12 @@ def raw_csv_scan(spark, sf):
     UNION ALL SELECT 'lineitem', least(count(*), 50000) FROM lineitem"""
 )
 def csv_capped_scan(spark, sf):
-    """Four files share the cap; ``region`` has another number of columns and is left out."""
+    """Four sources share the cap; ``region`` has another number of columns and is left out."""
 
     def written(name: str, key: str, *cols: str) -> str:
         path = new_path(spark, f"{name}-csv")
         df = src.table(spark, sf, name).select(F.lit(name).alias("source"), F.col(key).alias("key"), *cols)
-        df.coalesce(1).write.option("header", True).csv(path)
+        df.write.option("header", True).csv(path)
         return path
 
     paths = [
