@@ -69,6 +69,16 @@ def to_double(c: str, dtype: T.DataType, mode: str = STRICT) -> str | None:
     return f"CAST({c} AS double)" if is_numeric(dtype) else None
 
 
+def is_positive(c: str, dtype: T.DataType, mode: str = STRICT) -> str:
+    """Whether ``c`` is a finite number above 0; for a numeric column a test that a file scan can use."""
+    if _is_float(dtype):
+        return f"{c} > 0 AND {c} < {_INF}"
+    if is_numeric(dtype):
+        return f"{c} > 0"
+    x = to_double(c, dtype, mode)
+    return f"({x}) > 0" if x else "false"
+
+
 def to_int(c: str, dtype: T.DataType, mode: str = STRICT) -> str | None:
     """``c`` as a 32-bit integer, cut towards zero; out of range gives NULL."""
     check_mode(mode)

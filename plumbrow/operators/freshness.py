@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbrow.functions import casts, names
+from plumbrow.sources.shared import cut
 
 # Name parts that mark a time column, hours after which a dataset is stale.
 TIME_KEYWORDS = ("time", "date", "created", "updated", "pickup")
@@ -30,6 +31,14 @@ def _epoch_ms(as_of: str | datetime) -> int:
     return round(t.timestamp() * 1000)
 
 
+def _last_ms(df: DataFrame, time_col: str) -> str:
+    c, dtype = casts.quote(time_col), df.schema[time_col].dataType
+    if casts.is_temporal(dtype):  # one conversion of the result instead of one per row
+        return casts.to_epoch_ms(f"max({c})", dtype)
+    ms = casts.to_epoch_ms(c, dtype)
+    return f"max({ms})" if ms else "CAST(NULL AS bigint)"
+
+
 def last_event_ts(
     df: DataFrame, time_col: str | None = None, name: str = "table", by: str | None = None
 ) -> DataFrame:
@@ -38,8 +47,7 @@ def last_event_ts(
     A column that holds no time, or none at all, gives NULL.
     """
     time_col = time_col or time_column(df)
-    ms = time_col and casts.to_epoch_ms(casts.quote(time_col), df.schema[time_col].dataType)
-    last = F.max(F.expr(ms or "CAST(NULL AS bigint)")).alias("last_ts_ms")
+    last = F.expr(_last_ms(df, time_col) if time_col else "CAST(NULL AS bigint)").alias("last_ts_ms")
     grouped = df.groupBy(F.col(by).alias("dataset")) if by else df.groupBy()
     out = grouped.agg(last)
     if not by:
@@ -116,6 +124,7 @@ def missing_days(df: DataFrame, day_col: str, calendar: DataFrame | None = None)
     day = F.expr(casts.to_day(casts.quote(day_col), df.schema[day_col].dataType))
     present = df.select(day.alias("day")).filter("day is not null").distinct()
     if calendar is None:
+        present = cut(present, "days")  # read twice below, and tiny next to the table
         span = present.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).filter("lo is not null")
         calendar = span.select(F.explode(F.sequence("lo", "hi")).alias("day"))
     else:

@@ -39,15 +39,10 @@ def fk_edges(
 
 
 def _layered(registry: DataFrame) -> DataFrame:
-    """``domain, urn, layer`` (a position in LAYERS), by whole word of the table name."""
+    """``domain, urn, layers``: positions in LAYERS, by whole word of the table name."""
     words = F.split(F.lower("table"), "[^a-z0-9]+")
-    layer = F.explode(
-        F.filter(
-            F.array(*[F.when(F.array_contains(words, w), F.lit(i)) for i, w in enumerate(LAYERS)]),
-            lambda x: x.isNotNull(),
-        )
-    )
-    return registry.select("domain", "urn", layer.alias("layer"))
+    found = F.array(*[F.when(F.array_contains(words, w), F.lit(i)) for i, w in enumerate(LAYERS)])
+    return registry.select("domain", "urn", F.array_compact(found).alias("layers"))
 
 
 def layer_edges(registry: DataFrame) -> DataFrame:
@@ -58,9 +53,12 @@ def layer_edges(registry: DataFrame) -> DataFrame:
     domain has so many tables that the list cannot be written out.
     """
     nodes = _layered(registry)
-    src = nodes.select("domain", F.col("urn").alias("src"), (F.col("layer") + 1).alias("layer"))
-    dst = nodes.select("domain", F.col("urn").alias("dst"), "layer")
-    return src.join(dst, ["domain", "layer"]).filter("src <> dst").select("src", "dst").distinct()
+    src = nodes.selectExpr("domain", "urn AS src", "layers AS a", "explode(transform(layers, x -> x + 1)) AS layer")
+    dst = nodes.selectExpr("domain", "urn AS dst", "layers AS b", "explode(layers) AS layer")
+    # Tables of two layers may meet twice; the lower meeting counts, so no distinct is needed.
+    earlier = "exists(a, x -> x + 1 < layer AND array_contains(b, x + 1))"
+    pairs = src.join(dst, ["domain", "layer"]).filter(f"src <> dst AND NOT {earlier}")
+    return pairs.select("src", "dst")
 
 
 def layer_links(registry: DataFrame) -> DataFrame:
@@ -79,7 +77,8 @@ def layer_links(registry: DataFrame) -> DataFrame:
         F.when(layer < last, F.struct(F.col("urn").alias("src"), junction(layer + 1).alias("dst"))),
         F.when(layer > 0, F.struct(junction(layer).alias("src"), F.col("urn").alias("dst"))),
     )
-    links = _layered(registry).select(F.explode(ends).alias("e")).filter("e is not null")
+    nodes = _layered(registry).select("domain", "urn", F.explode("layers").alias("layer"))
+    links = nodes.select(F.explode(ends).alias("e")).filter("e is not null")
     return links.select("e.src", "e.dst")
 
 

@@ -98,11 +98,9 @@ def stage_trips(
     minutes = F.lit(None).cast("double")
     if end is not None:
         minutes = F.round(_seconds(df, start, end) / 60.0, 1)
-    kept = df.filter(
-        F.col(start).isNotNull()
-        & (_num(df, "trip_distance", mode) > 0)
-        & (_num(df, "fare_amount", mode) > 0)
-    )
+    kept = df.filter(F.col(start).isNotNull())
+    for c in ("trip_distance", "fare_amount"):
+        kept = kept.filter(casts.is_positive(c, df.schema[c].dataType, mode))
     return kept.select(
         "*",
         _day(df, start).alias("trip_date"),

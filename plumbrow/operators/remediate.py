@@ -105,8 +105,9 @@ def swap_dates(df: DataFrame, c1: str, c2: str) -> DataFrame:
 
 def drop_invalid(df: DataFrame, amount: str) -> DataFrame:
     """Drop rows with a negative amount; rows without an amount stay."""
-    x = F.expr(casts.to_double(_quoted(amount), df.schema[amount].dataType))
-    return df.filter((x >= 0) | x.isNull())
+    c, dtype = _quoted(amount), df.schema[amount].dataType
+    x = c if casts.is_numeric(dtype) else casts.to_double(c, dtype)
+    return df.filter(f"({x}) >= 0 OR ({x}) IS NULL")
 
 
 class Finding(NamedTuple):

@@ -9,6 +9,8 @@ entities   one dataset per region, nation, supplier, customer, part and order, w
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbrow.operators.catalog import build_registry, dataset_urn
@@ -218,25 +220,27 @@ def catalogue(spark: SparkSession, sf: str) -> DataFrame:
     return build_registry(catalogue_tables(spark, sf))
 
 
-def entity_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """``domain, table`` of every row of six tables."""
+# The six tables whose rows are datasets, and their keys.
+ENTITY_KEYS = {
+    "region": "r_regionkey",
+    "nation": "n_nationkey",
+    "supplier": "s_suppkey",
+    "customer": "c_custkey",
+    "part": "p_partkey",
+    "orders": "o_orderkey",
+}
 
-    def rows(name: str, key: str) -> DataFrame:
-        return table(spark, sf, name).select(F.lit(name), F.concat(F.lit(f"{name}_"), _text(key)))
 
-    out = rows("region", "r_regionkey")
-    for name, key in (
-        ("nation", "n_nationkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey"),
-        ("part", "p_partkey"), ("orders", "o_orderkey"),
-    ):
-        out = out.union(rows(name, key))
-    return out.toDF("domain", "table")
+def _entity_rows(df: DataFrame, name: str) -> DataFrame:
+    """``urn, domain, table`` of the rows of one table. Keys are unique, so there are no duplicates."""
+    label = F.concat(F.lit(f"{name}_"), _text(ENTITY_KEYS[name]))
+    return df.select(
+        dataset_urn(F.lit(name), label).alias("urn"), F.lit(name).alias("domain"), label.alias("table")
+    )
 
 
 def entities(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys are unique, so names are: no duplicates to resolve."""
-    t = entity_tables(spark, sf)
-    return t.select(dataset_urn(F.col("domain"), F.col("table")).alias("urn"), "domain", "table")
+    return reduce(DataFrame.union, [_entity_rows(table(spark, sf, n), n) for n in ENTITY_KEYS])
 
 
 def entity_fks(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,11 +277,9 @@ def declared_mapping(spark: SparkSession, sf: str) -> DataFrame:
 
 def registered_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Orders, parts, and the suppliers that are not in debt; the others were never registered."""
-    indebted = table(spark, sf, "supplier").filter("s_acctbal < 0").select(
-        F.concat(F.lit("supplier_"), _text("s_suppkey")).alias("table")
-    )
-    kinds = entities(spark, sf).filter(F.col("domain").isin("orders", "part", "supplier"))
-    return kinds.join(indebted, "table", "left_anti")
+    solvent = table(spark, sf, "supplier").filter("s_acctbal >= 0")
+    known = _entity_rows(table(spark, sf, "orders"), "orders").union(_entity_rows(table(spark, sf, "part"), "part"))
+    return known.union(_entity_rows(solvent, "supplier"))
 
 
 def assignments(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from plumbrow.operators import catalog, freshness, graph, lineage, pipeline, plant, profile, remediate, risk
 from plumbrow.plans import inputs as src, sql as q
 from plumbrow.sources import files
-from plumbrow.sources.shared import new_path
+from plumbrow.sources.shared import cut, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -286,6 +286,29 @@ def profile_datasets(spark, sf):
     return profile.profile(src.stream_rows(spark, sf), by="urn")
 
 
+# ``gender`` has ``end`` in it, which is all that ``compat`` looks for.
+_TEXT_DATES = ("gender", "date_of_admission", "admission_type", "discharge_date")
+
+
+@query(
+    _profiled(
+        [
+            *_NULLS, *_NEGATIVES, *_RANGES,
+            *[
+                q.finding("patients", "raw_patients", a, "date_inversion", f"{a} > {b} AND {a} <> '' AND {b} <> ''", column_2=b)
+                for i, a in enumerate(_TEXT_DATES) for b in _TEXT_DATES[i + 1 :]
+            ],
+            *q.null_findings("pages", "pages", ["url", "html"], ["page_id"]),
+            *q.range_findings("pages", "pages", ["page_id"]),
+        ]
+    )
+)
+def profile_loose(spark, sf):
+    """``compat``: dates compare as text, admission types included, and ``page_id`` counts as an age."""
+    loose = profile.profile(src.patients(spark, sf), "raw_patients", mode="compat")
+    return loose.unionByName(profile.profile(src.table(spark, sf, "pages"), "pages", mode="compat"))
+
+
 # Text columns and numeric columns of the given tables, the rest can only be NULL.
 _GIVEN = {
     "region": (["r_name"], ["r_regionkey"], []),
@@ -611,7 +634,7 @@ def risk_summary(spark, sf):
     UNION ALL SELECT 'pii', urn, TRUE, array_to_string(pii_columns, ','), NULL FROM scores WHERE has_pii"""
 )
 def risk_vulnerabilities(spark, sf):
-    scores = _risk_inputs(spark, sf, risk.STANDARD)
+    scores = cut(_risk_inputs(spark, sf, risk.STANDARD), "scores")
     stale = risk.freshness_vulnerabilities(scores).select(
         F.lit("freshness").alias("kind"), "urn", F.col("hours_stale").isNotNull().alias("listed"),
         F.lit(None).cast("string").alias("pii_fields"), "risk_score",

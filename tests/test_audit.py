@@ -110,3 +110,17 @@ def test_context(spark, tmp_path):
     assert tuple(risk.risk_summary(scores).first()) == (2, 1, 1, 1)
     with pytest.raises(ValueError):
         risk.score_all(registry, fresh, central, formula="other")
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    df = spark.createDataFrame(
+        [("2024-01-01 10:00:00", 1.5, 8.0), ("2024-01-01 10:00:00", float("inf"), 8.0), ("2024-01-01 10:00:00", float("nan"), 8.0)],
+        "pickup_datetime string, trip_distance double, fare_amount double",
+    )
+    df.write.parquet(str(tmp_path / "trips"))
+    staged = pipeline.stage_trips(spark.read.parquet(str(tmp_path / "trips")))
+    assert staged.count() == 1
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = staged._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThan(trip_distance,0.0)" in plan and "IsNotNull(pickup_datetime)" in plan

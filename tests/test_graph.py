@@ -177,3 +177,12 @@ def test_declared_lineage(spark):
     mapping = spark.createDataFrame([("z", ["x", "y", "gone"]), ("lost", ["x"])], "downstream string, upstreams array<string>")
     assert pairs(lineage.declared_edges(mapping, reg)) == [("d.x", "d.z"), ("d.y", "d.z")]
     assert {tuple(r) for r in lineage.unknown_names(mapping, reg).collect()} == {("gone", "upstream"), ("lost", "downstream")}
+
+
+def test_layer_pairs_are_not_repeated(spark):
+    reg = registry(spark, [("d", "raw_staging_a"), ("d", "staging_mart_b"), ("d", "raw_mart_c"), ("e", "mart_b")])
+    edges = pairs(lineage.layer_edges(reg))
+    assert edges == [
+        ("d.raw_mart_c", "d.raw_staging_a"), ("d.raw_mart_c", "d.staging_mart_b"), ("d.raw_staging_a", "d.raw_mart_c"),
+        ("d.raw_staging_a", "d.staging_mart_b"), ("d.staging_mart_b", "d.raw_mart_c"),
+    ]
