@@ -162,7 +162,8 @@ def remediate(df: DataFrame, anomalies: DataFrame) -> DataFrame:
 def fix_script(df: DataFrame, anomalies: DataFrame, table: str) -> str:
     """The SQL that builds ``cleaned_<table>``, from the same expressions as ``remediate``."""
     findings = findings_of(anomalies)
-    lines = sorted({_line(f) for f in findings})
+    types = _types(df)
+    lines = sorted({x for x in (_line(f, types) for f in findings) if x})
     steps = remediation_steps(df, findings) or [{}]
     source = _quoted(table)
     for step in steps:
@@ -175,18 +176,22 @@ def fix_script(df: DataFrame, anomalies: DataFrame, table: str) -> str:
     )
 
 
-def _line(f: Finding) -> str:
+def _line(f: Finding, types: Mapping[str, T.DataType]) -> str | None:
     if f.issue == DATE_INVERSION:
         return DATE_LINE % (f.column, f.column_2)
     if f.issue in (NEGATIVE, INVALID_AGE):
         return (AGE_LINE if _is_age(f.column) else NEGATIVE_LINE) % f.column
-    return (TEXT_LINE if names.name_has(f.column, TEXT_KEYWORDS) else ZERO_LINE) % f.column
+    if casts.is_text(types[f.column]):
+        return TEXT_LINE % f.column
+    return ZERO_LINE % f.column if casts.is_numeric(types[f.column]) else None
 
 
-def fix_report(anomalies: DataFrame) -> DataFrame:
+def fix_report(anomalies: DataFrame, schema: T.StructType | None = None) -> DataFrame:
     """``dataset, line``: one line per repair, for any number of datasets.
 
-    A column with a number defect has no line for its missing values, as in the cleaned table.
+    A column with a number defect has no line for its missing values, as in the cleaned table. With
+    the ``schema`` of the datasets, the lines follow the types, as the cleaned table does, and
+    columns without a neutral value have none; without it, names tell text from numbers.
     """
     null = F.col("issue") == NULL_OR_BLANK
     number = F.col("issue").isin(NEGATIVE, INVALID_AGE)
@@ -194,7 +199,13 @@ def fix_report(anomalies: DataFrame) -> DataFrame:
     fixed = F.max(number).over(Window.partitionBy("dataset", "column"))
     kept = anomalies.withColumn("fixed", fixed).filter(~(null & F.col("fixed")))
     is_age = names.column_has(F.col("column"), AGE_KEYWORDS, names.TOKEN)
-    is_text = names.column_has(F.col("column"), TEXT_KEYWORDS)
+    if schema is None:
+        is_text = names.column_has(F.col("column"), TEXT_KEYWORDS)
+    else:
+        texts = [f.name for f in schema.fields if casts.is_text(f.dataType)]
+        numbers = [f.name for f in schema.fields if casts.is_numeric(f.dataType)]
+        is_text = F.col("column").isin(texts)
+        kept = kept.filter(~null | is_text | F.col("column").isin(numbers))
 
     def line(form: str) -> Column:
         return F.format_string(form, "column")

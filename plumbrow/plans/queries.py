@@ -590,7 +590,9 @@ def lineage_node_roles(spark, sf):
 def _risk_inputs(spark: SparkSession, sf: str, formula: str) -> DataFrame:
     registry, edges, central = _centrality(spark, sf)
     registry = catalog.detect_pii_columns(registry)
-    roles = lineage.node_roles(registry.select(F.col("urn").alias("id")), edges, central)
+    roles = None
+    if formula == risk.WEIGHTED:
+        roles = lineage.node_roles(registry.select(F.col("urn").alias("id")), edges, central)
     return risk.score_all(registry, _stream_freshness(spark, sf), central, roles, formula)
 
 
@@ -764,7 +766,8 @@ _BY_HOSPITAL = [
       AND n."column" = f."column" AND n.issue IN ('negative', 'invalid_age_range'))"""
 )
 def fix_report(spark, sf):
-    return remediate.fix_report(profile.profile(src.patients(spark, sf), by="hospital"))
+    df = src.patients(spark, sf)
+    return remediate.fix_report(profile.profile(df, by="hospital"), df.schema)
 
 
 _PATIENT_EDGES = [

@@ -99,3 +99,20 @@ def test_selective_halting(spark, sf_dir):
     assert billing.filter("billing_amount < 0").count() == n > 0
     kinds = {k[3] for k in found(p.profile(people))}
     assert p.INVALID_AGE in kinds and ("people", "billing_amount") not in found(p.profile(people, "people"))
+
+
+def test_report_tells_what_was_done(spark):
+    df = spark.createDataFrame(
+        [(None, None, None, None, -1, 150)],
+        "title string, city string, price double, start_date date, qty int, age int",
+    )
+    found_ = p.profile(df, "t")
+    lines = {
+        r.TEXT_LINE % "title", r.TEXT_LINE % "city", r.ZERO_LINE % "price", r.NEGATIVE_LINE % "qty",
+        r.AGE_LINE % "age",
+    }
+    assert {x.line for x in r.fix_report(found_, df.schema).collect()} == lines
+    script = r.fix_script(df, found_, "t")
+    assert all(x in script for x in lines) and "start_date'" not in script
+    by_name = {x.line for x in r.fix_report(found_).collect()}
+    assert by_name == lines - {r.TEXT_LINE % "city"} | {r.ZERO_LINE % "city", r.ZERO_LINE % "start_date"}
