@@ -2,40 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession, folder: str | None = None) -> str:
+    """Where intermediate tables of this application go: below ``folder``, else below the folder that
+    the session names in ``spark.checkpoint.dir``, else below the warehouse."""
+    base = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/plumbrow-{spark.sparkContext.applicationId}"
 
-    Only a local session, where driver and executors share one machine, gets a folder made for it.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbrow-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
+
+def new_path(spark: SparkSession, label: str, folder: str | None = None) -> str:
     """A path in the shared folder that nothing has been written to yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark, folder)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written table.
 
     Iterative jobs call this once per round, so plans stay short, a lost executor never replays
     earlier rounds, and the next join is planned with the real size of the table.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path = new_path(spark, label, folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession, folder: str | None = None) -> None:
+    """Delete the intermediate tables of this application; call it once results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark, folder))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
