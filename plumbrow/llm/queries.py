@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import linededup, simhash
-from plumbrow.llm.common import table
+from plumbrow.llm import langid, linededup, simhash
+from plumbrow.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,3 +56,11 @@ FROM marked GROUP BY doc_id"""
 def op5_line_dedup(spark, sf):
     found = linededup.dedup_lines(table(spark, sf, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+@query()
+def op2_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = langid.fit(docs.filter(remainder("doc_id", 3) != 1))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
