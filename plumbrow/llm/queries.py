@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import langid, linededup, simhash
+from plumbrow.llm import langid, linededup, nbsvm, simhash
 from plumbrow.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,12 @@ def op2_language_id(spark, sf):
     model = langid.fit(docs.filter(remainder("doc_id", 3) != 1))
     found = langid.predict(docs, model)
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op10_quality_classifier(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    known = labels.filter(remainder("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
+    model = nbsvm.fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    found = nbsvm.score(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
