@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import langid, linededup, nbsvm, simhash
+from plumbrow.llm import decontaminate, langid, linededup, nbsvm, simhash
 from plumbrow.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,11 @@ def op2_language_id(spark, sf):
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@query()
+def op8_benchmark_decontamination(spark, sf):
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query()
 def op10_quality_classifier(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
