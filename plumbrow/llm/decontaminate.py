@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plumbrow.llm.common import Batches, batches_of, cut, utf8_of
+from plumbrow.llm.common import Batches, batches_of, cut, text_of
 
 GRAM = 3  # words of a seed
 SPAN = 4  # of so many seeds in a row the rarest is used: a copy with 6 words unchanged in a row meets one
@@ -17,14 +19,13 @@ CHUNK = 64  # words of an item that are aligned together, twice as many at most
 MATCH, MISMATCH, GAP = 2, -1, -1
 FILTER_BITS = 23  # 1 MB: what tasks get to tell words of no seed; growing with nothing
 MOST_CACHED = 400_000
-_PLAIN = bytes(
-    ord(chr(c).lower()) if c < 128 and chr(c) not in string.punctuation else 32 if c < 128 else c for c in range(256)
-)
+_PLAIN = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
 
 
-def plain_words(utf8: bytes) -> list[bytes]:
-    """Words without ASCII punctuation, A-Z in lower case."""
-    return utf8.translate(_PLAIN).split()
+def words_of(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The words of each text, in lower case and without ASCII punctuation."""
+    for utf8 in pc.utf8_lower(texts).cast(pa.binary()).to_pylist():
+        yield utf8.translate(_PLAIN).split()
 
 
 class _Hashes(dict):
@@ -56,8 +57,7 @@ def chunks_of(items: DataFrame, item_id: str, text: str) -> DataFrame:
         hashes = _Hashes()
         for batch in batches:
             ids, words, grams = [], [], []
-            for i, utf8 in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = plain_words(utf8)
+            for i, w in zip(batch.column(0).to_pylist(), words_of(batch.column(1))):
                 starts = range(0, max(1, len(w) // CHUNK) * CHUNK, CHUNK)
                 for s in starts:
                     piece = w[s : s + CHUNK] if s != starts[-1] else w[s:]
@@ -71,7 +71,7 @@ def chunks_of(items: DataFrame, item_id: str, text: str) -> DataFrame:
                 ["item_id", "words", "grams"],
             )
 
-    rows = items.select(F.col(item_id).cast("bigint").alias("item_id"), utf8_of(text).alias("utf8"))
+    rows = items.select(F.col(item_id).cast("bigint").alias("item_id"), text_of(text).alias("text"))
     out = batches_of(rows, cut_up, "item_id bigint, words binary, grams array<bigint>")
     return out.withColumn("chunk", F.monotonically_increasing_id())
 
@@ -93,8 +93,7 @@ def _in(bitmap: np.ndarray, grams: np.ndarray) -> np.ndarray:
 
 def _met(batch: pa.RecordBatch, hashes: _Hashes, bitmap: np.ndarray):
     """For each document of a batch: its row, words, hashes of runs, and the places of runs in the bitmap."""
-    for row, utf8 in enumerate(batch.column(1).to_pylist()):
-        w = plain_words(utf8)
+    for row, w in enumerate(words_of(batch.column(1))):
         if len(w) >= GRAM:
             g = _grams(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)))
             yield row, w, g, np.flatnonzero(_in(bitmap, g))
@@ -220,7 +219,7 @@ def contaminated(
     of ids. Null and empty texts, and items of fewer than three words, match nothing; rows of one id are
     one document; rows with a null id have results under a null id. Either table may be empty.
     """
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8_of(text).alias("utf8"))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
     chunks = cut(chunks_of(items, item_id, item_text), "chunks")
     seeds = cut(rare_seeds(chunks, rows), "seeds")
     reach = chunks.agg(F.max(F.size("grams"))).first()[0] or 0
