@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import decontaminate, langid, linededup, nbsvm, simhash
+from plumbrow.llm import decontaminate, langid, linededup, lzprint, nbsvm, simhash
 from plumbrow.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op1_simhash_near_dedup(spark, sf):
     return found.select("doc_id", simhash.hex_of("f0").alias("fingerprint"), "component_id")
 
 
+@query()
+def op3_document_fingerprints(spark, sf):
+    return lzprint.with_next(table(spark, sf, "documents"))
+
+
 # The key is a line stripped of the six ASCII white-space characters, A-Z in lower case.
 _LINES = r"""
 WITH lines AS (
