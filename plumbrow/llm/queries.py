@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import decontaminate, langid, linededup, lzprint, nbsvm, simhash
+from plumbrow.llm import decontaminate, langid, linededup, lzprint, mixing, nbsvm, simhash
 from plumbrow.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,23 @@ def op3_document_fingerprints(spark, sf):
     return lzprint.with_next(table(spark, sf, "documents"))
 
 
+DOMAIN_SHARES = {"high": 0.92, "low": 0.06, "toxic": 0.02}
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, domain`` from the table of labels: toxic texts, and others by quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+@query()
+def op4_mixing(spark, sf):
+    docs = table(spark, sf, "documents")
+    labelled = docs.select("doc_id", "text").join(domain_labels(table(spark, sf, "labels")), "doc_id")
+    mixed = mixing.mix(docs, labelled, DOMAIN_SHARES)
+    return mixed.select("doc_id", "source", "tokens", "posteriors", "rate", "copies")
+
+
 # The key is a line stripped of the six ASCII white-space characters, A-Z in lower case.
 _LINES = r"""
 WITH lines AS (
