@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import decontaminate, langid, linededup, lzprint, mixing, nbsvm, simhash
-from plumbrow.llm.common import remainder, table
+from plumbrow.llm import decontaminate, langid, linededup, lzprint, mixing, nbsvm, simhash, tokencounts
+from plumbrow.llm.common import cut, remainder, table
+from plumbrow.sources.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +94,25 @@ def op8_benchmark_decontamination(spark, sf):
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query()
+def op9_token_counts(spark, sf):
+    """All documents are loaded; then those not in English are counted anew with the vocabulary for many
+    languages; then exact copies, all but the smallest id, are taken down."""
+    docs = table(spark, sf, "documents")
+    revise = ~F.col("lang").eqNullSafe("en")
+    tokenizers = F.when(revise, F.array(F.lit("v1"), F.lit("v2"))).otherwise(F.array(F.lit("v1")))
+    wanted = docs.select("doc_id", "source", "lang", "text", tokenizers.alias("tokenizers"), F.sha2("text", 256).alias("sha"))
+    vocabularies = {
+        "v1": f"{tokencounts.VOCABULARIES}/byte_bpe_50k.tiktoken",
+        "v2": f"{tokencounts.VOCABULARIES}/byte_bpe_multi_50k.tiktoken",
+    }
+    counted = cut(tokencounts.count_tokens(wanted, vocabularies), "token-counts")
+    firsts = cut(counted.groupBy("sha").agg(F.min("doc_id").alias("first_id")), "first-copies")
+    marked = cut(counted.join(firsts, "sha").drop("sha"), "marked")
+    rollup = tokencounts.Rollup(spark, new_path(spark, "rollup"))
+    return tokencounts.maintained(marked, rollup, "v1", "v2", revise, F.col("doc_id") > F.col("first_id"))
+
+
 @query()
 def op10_quality_classifier(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
