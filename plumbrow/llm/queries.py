@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import decontaminate, langid, linededup, lzprint, mixing, nbsvm, simhash, tokencounts
+from plumbrow.llm import decontaminate, langid, linededup, lzprint, mixing, nbsvm, pseudonyms, simhash, tokencounts
 from plumbrow.llm.common import cut, remainder, table
 from plumbrow.sources.shared import new_path
 
@@ -89,6 +89,11 @@ def op2_language_id(spark, sf):
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@query()
+def op6_pii_pseudonyms(spark, sf):
+    return pseudonyms.pseudonymize(table(spark, sf, "documents"), key="corpus-key-1")
+
+
 @query()
 def op8_benchmark_decontamination(spark, sf):
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
