@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import decontaminate, langid, linededup, lzprint, mixing, nbsvm, pseudonyms, simhash, tokencounts
+from plumbrow.llm import decontaminate, langid, licenses, linededup, lzprint, mixing, nbsvm, pseudonyms, simhash, tokencounts
 from plumbrow.llm.common import cut, remainder, table
 from plumbrow.sources.shared import new_path
 
@@ -94,6 +94,20 @@ def op6_pii_pseudonyms(spark, sf):
     return pseudonyms.pseudonymize(table(spark, sf, "documents"), key="corpus-key-1")
 
 
+def document_paths(docs: DataFrame) -> DataFrame:
+    """Documents as files: those under 100 characters in the folder of their source and language, others in
+    folders of a thousand ids below it."""
+    folder = F.concat_ws("/", "source", "lang")
+    below = F.concat_ws("/", folder, F.floor(F.col("doc_id") / 1000).cast("string"))
+    return docs.withColumn("path", F.concat_ws("/", F.when(F.length("text") < 100, folder).otherwise(below), "doc_id"))
+
+
+@query()
+def op7_license_scan(spark, sf):
+    found = licenses.scan(document_paths(table(spark, sf, "documents")))
+    return found.withColumn("doc_id", F.substring_index("path", "/", -1).cast("bigint"))
+
+
 @query()
 def op8_benchmark_decontamination(spark, sf):
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
