@@ -20,7 +20,7 @@ class Domains(NamedTuple):
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max())
+    e = np.exp(z - z.max(initial=0.0))
     return e / e.sum()
 
 
@@ -62,13 +62,13 @@ def fit_domains(
     text: str = "text",
 ) -> tuple[Domains, np.ndarray]:
     """A classifier of domains from a labelled table: up to about ``most`` rows of each label, picked by a hash
-    of the id, whose features meet in one task. Null labels do not count."""
+    of the id, whose features meet in one task. Null labels do not count; without labels there are no domains."""
     rows = labelled.filter(F.col(label).isNotNull()).select(
         F.col(label).cast("string").alias("label"), F.col(doc_id).alias("doc_id"), text_of(text).alias("text")
     )
     names = sorted(r.label for r in rows.select("label").distinct().collect())
     if not names:
-        raise ValueError("no labelled rows")
+        return Domains([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32)), np.zeros(0)
     number = {x: i for i, x in enumerate(names)}
     sample = bounded_sample(rows, "label", "doc_id", most).select("doc_id", "label", "share", "text")
 
@@ -209,30 +209,30 @@ def fit_rates(
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["at", "x"])
 
         sums = batches_of(rows, partial, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(k * k + k)
+        out = np.zeros(1 + k + k * k)
         for r in sums:
             out[r.at] = r.x
         return out
 
-    first = summed(lambda p, t: np.concatenate([t @ p, ((p * t[:, None]).T @ p).ravel()]))
-    plain, square = first[:k], first[k:].reshape(k, k)
-    everything = plain[:domains].sum()
-    shares = np.array([*(domain_shares.get(n, 0.0) for n in domain_names), *source_shares.values()])
+    first = summed(lambda p, t: np.concatenate([[t.sum()], t @ p, ((p * t[:, None]).T @ p).ravel()]))
+    everything, plain, square = first[0], first[1 : 1 + k], first[1 + k :].reshape(k, k)
+    of_domains = sum(domain_shares.get(n, 0.0) for n in domain_names) or 1.0
+    shares = np.array([*(domain_shares.get(n, 0.0) / of_domains for n in domain_names), *source_shares.values()])
     targets = shares * everything
     scale = np.maximum(targets, 1e-6 * max(everything, 1.0))
-    largest = float(np.linalg.eigvalsh(square / np.sqrt(np.outer(scale, scale)))[-1]) if everything else 1.0
+    largest = float(np.linalg.eigvalsh(square / np.sqrt(np.outer(scale, scale)))[-1]) if everything and k else 1.0
     step = 1.0 / (largest + ridge)
     gradients: list[np.ndarray] = []
     at = plain
-    for _ in range(rounds if everything else 0):
+    for _ in range(rounds if everything and k else 0):
         error = (at - targets) / scale
         if np.abs(error).max() < close:
             break
         gradients.append(error)
         so_far = np.array(gradients)
-        at = summed(lambda p, t: np.concatenate([(t * _replayed(p, so_far, step, ridge)[1]) @ p, np.zeros(k * k)]))[:k]
+        at = summed(lambda p, t: (t * _replayed(p, so_far, step, ridge)[1]) @ p)[:k]
     history = np.array(gradients).reshape(-1, k)
-    reached = summed(lambda p, t: np.concatenate([(t * _replayed(p, history, step, ridge)[0]) @ p, np.zeros(k * k)]))[:k]
+    reached = summed(lambda p, t: (t * _replayed(p, history, step, ridge)[0]) @ p)[:k]
     names = [*(f"domain:{n}" for n in domain_names), *(f"source:{s}" for s in source_shares)]
     return Fit(names, targets, reached, history, step, ridge)
 
@@ -268,8 +268,8 @@ def mix(
 
     ``labelled`` has an id, a text and a domain for some documents; its classifier gives each document
     ``posteriors``, in the order of the domains' names. ``domain_shares`` and ``source_shares`` (by default the
-    shares of tokens to the power ``power``) are the wanted shares of all tokens; domains without one
-    are wanted at 0. ``rate`` is 0 or more; ``copies`` is the rate rounded up or down by a hash of the id so
+    shares of tokens to the power ``power``) are the wanted shares of all tokens; labelled domains without one
+    are wanted at 0, and shares of domains that no row is labelled with are spread over the others. ``rate`` is 0 or more; ``copies`` is the rate rounded up or down by a hash of the id so
     that it is right on average. Null and empty texts have no tokens and keep a rate by their
     memberships; a null source belongs to no source's total. An empty table gives an empty one.
     """
