@@ -7,8 +7,7 @@ expressions: no explode, no join, no shuffle.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -46,12 +45,12 @@ def columns_of(df: DataFrame, name: str) -> DataFrame:
 def build_registry(tables: DataFrame, platform: str = "sqlite", env: str = "PROD") -> DataFrame:
     """One row per dataset name from ``tables(domain, table[, instance, columns, path])``.
 
-    System tables are left out. If several instances hold the same name, the last instance stands,
-    and ``copies`` tells how many there were.
+    System tables are left out. If several rows hold the same name, that of the last instance stands, of equal or no
+    instances that with the greatest values of the other columns; ``copies`` tells how many there were.
     """
     extra = [c for c in tables.columns if c not in ("domain", "table")]
     last = F.struct(*([F.col(c) for c in extra] or [F.lit(None).cast("string").alias("instance")]))
-    order = F.col("instance") if "instance" in extra else F.lit(0)
+    order = F.struct(*sorted(extra, key=lambda c: c != "instance")) if extra else F.lit(0)
     named = tables.filter(~F.lower("table").like(SYSTEM_TABLES)).select(
         "domain", "table", last.alias("last"), order.alias("rank")
     )
@@ -128,22 +127,58 @@ def sample_rows(df: DataFrame, limit: int = 5, order_by: Sequence[str] | None =
     return df.orderBy(*order_by).limit(limit) if order_by else df.limit(limit)
 
 
-_READ_ONLY = ("select", "with", "describe")
+_PLANS = "org.apache.spark.sql.catalyst.plans.logical."
+_DESCRIBES = ("DescribeRelation", "DescribeColumn", "DescribeQueryCommand", "DescribeFunctionCommand", "DescribeFunction")
+
+
+def _nodes(plan) -> Iterator:
+    """A plan's nodes with those of its named queries and of the queries inside its expressions."""
+    yield plan
+    inner = [plan.children(), plan.innerChildren(), plan.subqueries()]
+    for seq in inner:
+        for i in range(seq.size()):
+            child = seq.apply(i)
+            if child.getClass().getName().startswith("org.apache.spark.sql") and hasattr(child, "innerChildren"):
+                yield from _nodes(child)
+
+
+def check_read_only(spark: SparkSession, query: str) -> None:
+    """Raise ValueError unless Spark's own parser sees a query or a DESCRIBE; nothing is run."""
+    from pyspark.errors import ParseException
+
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    except Exception as e:  # the parser's errors come through as they are or wrapped
+        raise ValueError(f"not a query: {e}") from (e if isinstance(e, ParseException) else None)
+    if plan.getClass().getSimpleName() in _DESCRIBES:
+        return
+    jvm = spark._jvm.java.lang.Class
+    writing = [jvm.forName(_PLANS + name) for name in ("Command", "ParsedStatement", "ScriptTransformation")]
+    for node in _nodes(plan):
+        if any(kind.isInstance(node) for kind in writing):
+            raise ValueError(f"only SELECT, WITH or DESCRIBE queries are allowed, not {node.getClass().getSimpleName()}")
 
 
 def audit_sql(spark: SparkSession, tables: Mapping[str, DataFrame], query: str) -> DataFrame:
     """Read-only SQL over the given tables.
 
-    Spark runs commands as soon as it sees them, so the text is refused before it gets there.
+    Spark runs commands as soon as it sees them, so the text is parsed first, and refused if any part of it writes,
+    changes anything or runs a script. The tables have their names for this query only: views of the caller
+    with the same names are there again afterwards.
     """
-    text = query.strip()
-    first = re.match(r"[A-Za-z]+", text)
-    if first is None or first.group(0).lower() not in _READ_ONLY:
-        raise ValueError("only SELECT, WITH or DESCRIBE queries are allowed")
-    if re.match(r"(?is)with\b", text) and re.search(r"(?i)\binsert\s+(into|overwrite)\b", text):
-        raise ValueError("a WITH query must not write")
-    register_views(tables)
-    return spark.sql(text)
+    text = query.strip().rstrip(";")
+    check_read_only(spark, text)
+    views = spark._jsparkSession.sessionState().catalog()
+    before = {n: spark.table(n) if views.getTempView(n).isDefined() else None for n in tables}
+    try:
+        register_views(tables)
+        return spark.sql(text)
+    finally:
+        for name, view in before.items():
+            if view is None:
+                spark.catalog.dropTempView(name)
+            else:
+                view.createOrReplaceTempView(name)
 
 
 def attach_metadata(registry: DataFrame, assignments: DataFrame) -> DataFrame:

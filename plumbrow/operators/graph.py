@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 from typing import NamedTuple
 
@@ -12,10 +11,6 @@ from plumbrow.operators.lineage import numbered
 from plumbrow.sources.shared import cut
 
 
-# Rows that one task should make when a level steps down its edges.
-ROWS_PER_TASK = 500_000
-
-
 class _Level(NamedTuple):
     """``s, v, sigma``: nodes at one distance from s and the number of shortest paths to them."""
 
@@ -25,17 +20,10 @@ class _Level(NamedTuple):
 
 class _Graph(NamedTuple):
     edges: DataFrame
-    fanout: float  # mean number of edges out of a node that has any
 
     def below(self, level: _Level, *columns: str) -> DataFrame:
-        """``level`` joined with its edges. A level is far smaller than what it leads to, so it is
-        first spread evenly, hubs included, over as many tasks as the result needs."""
-        df = level.df.select(*columns)
-        most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        tasks = min(most, math.ceil(level.rows * self.fanout / ROWS_PER_TASK))
-        if tasks > 1:
-            df = df.repartition(tasks, "s", "v")
-        return df.join(self.edges, F.col("v") == F.col("src"))
+        """``level`` joined with its edges; adaptive execution splits the rows of a hub."""
+        return level.df.select(*columns).join(self.edges, F.col("v") == F.col("src"))
 
 
 def _paths_below(first: DataFrame, graph: _Graph) -> list[_Level]:
@@ -87,8 +75,8 @@ def _dependencies(levels: list[_Level], graph: _Graph) -> list[DataFrame]:
 def betweenness(nodes: DataFrame | None, edges: DataFrame, batches: int = 1) -> DataFrame:
     """``id, betweenness, centrality`` of a directed, unweighted graph, end points not counted.
 
-    ``betweenness`` is the plain sum, ``centrality`` is divided by (n-1)(n-2) and rounded to three
-    places, 0 for fewer than three nodes. ``nodes(id)`` may hold nodes without edges; ends of
+    ``betweenness`` is the plain sum, ``centrality`` is divided by (n-1)(n-2), 0 for fewer than three
+    nodes. Neither is rounded: in a large graph small values are what tells a hub from an orphan. ``nodes(id)`` may hold nodes without edges; ends of
     edges count as nodes, and repeated edges and self-loops do not count.
 
     State is one row per (source, node below it), kept in written tables. ``batches`` runs the
@@ -96,8 +84,7 @@ def betweenness(nodes: DataFrame | None, edges: DataFrame, batches: int = 1) ->
     """
     ids, links = numbered(nodes, edges)
     n = ids.count()
-    size = links.agg(F.count(F.lit(1)), F.approx_count_distinct("src")).first()
-    graph = _Graph(links, size[0] / max(size[1], 1))
+    graph = _Graph(links)
     sums: list[DataFrame] = []
     for b in range(batches):
         first = links.select(F.col("src").alias("s"), F.col("dst").alias("v"), F.lit(1.0).alias("sigma"))
@@ -111,6 +98,4 @@ def betweenness(nodes: DataFrame | None, edges: DataFrame, batches: int = 1) ->
         out = ids.withColumn("total", F.lit(0.0))
     scale = 1.0 / ((n - 1.0) * (n - 2.0)) if n > 2 else 0.0
     plain = F.coalesce("total", F.lit(0.0))
-    return out.select(
-        "id", plain.alias("betweenness"), F.round(plain * F.lit(scale), 3).alias("centrality")
-    )
+    return out.select("id", plain.alias("betweenness"), (plain * F.lit(scale)).alias("centrality"))

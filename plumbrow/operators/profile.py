@@ -1,19 +1,19 @@
 """Defect profiles: missing values, negative numbers, values out of range, dates in the wrong order.
 
-All checks of a table are counted in one aggregate over one scan. A table too wide for that is
-counted in several, each reading columns of its own, so every column is still read once.
+All checks of a table, however wide, are counted in one aggregate over one scan.
 With ``by`` the same pass profiles many datasets held in one table: partial counts are formed in
 each task, so a dataset with a third of the rows is no bottleneck.
 
-Result: ``dataset, column, column_2, issue, bad_rows, total_rows, pct, min_value``, one row per
-finding with ``bad_rows > 0``.
+Result: ``dataset, column, column_2, issue, bad_rows, total_rows, pct, min_value, low, high, parsed_share``,
+one row per finding with ``bad_rows > 0``. ``pct`` is rounded for reading; decisions use the two counts.
+``low`` and ``high`` are the bounds that a range check used. ``parsed_share`` tells, for dates held as
+text, which part of the values that are not blank can be read as a time (the smaller one of a pair).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -29,14 +29,9 @@ DATE_KEYWORDS = ("date", "time", "created", "updated", "admission", "discharge",
 AGE_KEYWORDS = ("age",)
 AGE_RANGE = (0, 120)
 
-# A text column counts as temporal if this share of its non-blank values can be read as a time.
-MIN_PARSEABLE = 0.95
-# Spark compiles a stage only up to 100 fields, so one aggregate gets no more counters than this.
-MAX_COUNTERS = 90
-
 FINDING = (
     "struct<column:string,column_2:string,issue:string,bad_rows:bigint,total_rows:bigint,"
-    "pct:double,min_value:double>"
+    "pct:double,min_value:double,low:double,high:double,parsed_share:double>"
 )
 
 
@@ -49,11 +44,9 @@ class Check:
     bad: str
     column_2: str | None = None
     value: str | None = None  # the smallest one is reported
-    texts: tuple[str, ...] = ()  # text columns that have to prove temporal first
-
-    @property
-    def counters(self) -> int:
-        return 1 + (self.value is not None) + 2 * len(self.texts)
+    texts: tuple[str, ...] = ()  # text columns read as times, whose parsed share is reported
+    low: float | None = None
+    high: float | None = None
 
 
 def _fields(df: DataFrame, skip: Iterable[str | None] = ()) -> list[T.StructField]:
@@ -100,7 +93,7 @@ def range_checks(
     for name, (lo, hi) in ranges.items():
         x = casts.to_double(casts.quote(name), types[name], mode)
         if x is not None:
-            out.append(Check(name, INVALID_AGE, f"({x}) < {lo} OR ({x}) > {hi}"))
+            out.append(Check(name, INVALID_AGE, f"({x}) < {lo} OR ({x}) > {hi}", low=lo, high=hi))
     return out
 
 
@@ -167,22 +160,14 @@ def all_checks(
     ]
 
 
-def _passes(checks: Sequence[Check]) -> list[list[Check]]:
-    """Checks of the same column stay together, so two passes read different columns of the table."""
-    place = {c: i for i, c in enumerate(dict.fromkeys(c.column for c in checks))}
-    passes: list[list[Check]] = [[]]
-    room = MAX_COUNTERS
-    for c in sorted(checks, key=lambda c: place[c.column]):
-        if c.counters > room:
-            passes.append([])
-            room = MAX_COUNTERS
-        passes[-1].append(c)
-        room -= c.counters
-    return passes
-
+def count_checks(
+    df: DataFrame, checks: Sequence[Check], name: str = "table", by: str | None = None
+) -> DataFrame:
+    """Count any list of checks over ``df``, in one aggregate; then one row per check that found something.
 
-def _count(df: DataFrame, checks: Sequence[Check], name: str, by: str | None) -> DataFrame:
-    """One aggregate for all ``checks``, then one row per check."""
+    An empty table has no findings.
+    """
+    checks = list(checks) or [Check("", "none", "false")]
     aggs = ["count(1) AS total_rows"]
     texts = sorted({t for c in checks for t in c.texts})
     for i, c in enumerate(checks):
@@ -195,36 +180,30 @@ def _count(df: DataFrame, checks: Sequence[Check], name: str, by: str | None) ->
     keys = [F.col(casts.quote(by)).alias("dataset")] if by else []
     counted = df.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
 
+    def number(x: float | None) -> str:
+        return "CAST(NULL AS double)" if x is None else f"CAST('{x}' AS double)"
+
     def finding(i: int, c: Check) -> str:
-        bad = f"bad_{i}"
-        if c.texts:
-            proven = " AND ".join(
-                f"parsed_{j} >= filled_{j} * {MIN_PARSEABLE}" for j in map(texts.index, c.texts)
-            )
-            bad = f"CASE WHEN {proven} THEN {bad} ELSE 0 END"
         second = casts.literal(c.column_2) if c.column_2 else "CAST(NULL AS string)"
-        low = f"min_{i}" if c.value is not None else "CAST(NULL AS double)"
-        return f"{casts.literal(c.column)}, {second}, {casts.literal(c.issue)}, CAST({bad} AS bigint), {low}"
+        least = f"CAST(min_{i} AS double)" if c.value is not None else "CAST(NULL AS double)"
+        shares = [f"parsed_{j} / nullif(filled_{j}, 0)" for j in map(texts.index, c.texts)]
+        parsed = {0: "CAST(NULL AS double)", 1: "".join(shares)}.get(len(shares), f"least({', '.join(shares)})")
+        return (
+            f"{casts.literal(c.column)}, {second}, {casts.literal(c.issue)}, CAST(bad_{i} AS bigint), {least}, "
+            f"{number(c.low)}, {number(c.high)}, {parsed}"
+        )
 
     rows = ", ".join(finding(i, c) for i, c in enumerate(checks))
     dataset = "dataset" if by else f"{casts.literal(name)} AS dataset"
-    stacked = counted.selectExpr(
-        dataset, "total_rows", f"stack({len(checks)}, {rows}) AS (column, column_2, issue, bad_rows, min_value)"
-    )
+    names_ = "column, column_2, issue, bad_rows, min_value, low, high, parsed"
+    stacked = counted.selectExpr(dataset, "total_rows", f"stack({len(checks)}, {rows}) AS ({names_})")
     return stacked.filter("bad_rows > 0").selectExpr(
         "dataset", "column", "column_2", "issue", "bad_rows", "total_rows",
-        "round(bad_rows / total_rows * 100D, 2) AS pct", "min_value",
+        "round(bad_rows / total_rows * 100D, 2) AS pct", "min_value", "low", "high",
+        "round(parsed, 4) AS parsed_share",
     )
 
 
-def count_checks(
-    df: DataFrame, checks: Sequence[Check], name: str = "table", by: str | None = None
-) -> DataFrame:
-    """Count any list of checks over ``df``; an empty table has no findings."""
-    checks = list(checks) or [Check("", "none", "false")]
-    return reduce(DataFrame.unionByName, [_count(df, p, name, by) for p in _passes(checks)])
-
-
 def null_profile(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
     """Rows that are NULL, empty or the text ``NULL``, for every column."""
     return count_checks(df, null_checks(_fields(df, [by])), name, by)

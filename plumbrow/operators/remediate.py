@@ -14,8 +14,6 @@ from plumbrow.functions import casts, names
 from plumbrow.functions.casts import quote as _quoted
 from plumbrow.operators.lineage import downstream
 from plumbrow.operators.profile import (
-    AGE_KEYWORDS,
-    AGE_RANGE,
     DATE_INVERSION,
     INVALID_AGE,
     NEGATIVE,
@@ -114,32 +112,32 @@ class Finding(NamedTuple):
     column: str
     column_2: str | None
     issue: str
+    low: float | None = None  # the bounds that a range finding was found with
+    high: float | None = None
 
 
 def findings_of(anomalies: DataFrame) -> list[Finding]:
     """The findings of one table. Their number is bounded by its columns, not by its rows."""
-    rows = anomalies.select("column", "column_2", "issue").distinct().collect()
+    rows = anomalies.select("column", "column_2", "issue", "low", "high").distinct().collect()
     return [Finding(*r) for r in rows]
 
 
-def _is_age(name: str) -> bool:
-    return names.name_has(name, AGE_KEYWORDS, names.TOKEN)
-
-
 def remediation_steps(df: DataFrame, findings: Sequence[Finding]) -> list[dict[str, str]]:
     """Column expressions per step: first all repairs of single columns, then one step per pair.
 
-    A column with a number defect is not null-filled as well. Pairs follow column order, each seeing
+    The issue decides the repair: values outside the bounds of a range finding become NULL, negative
+    numbers 0; of both findings on one column the range stands. A column with a number defect is not
+    null-filled as well. Pairs follow column order, each seeing
     what the one before it left.
     """
     types, place = _types(df), {c: i for i, c in enumerate(df.columns)}
     single: dict[str, str] = {}
     for f in findings:
-        if f.issue in (NEGATIVE, INVALID_AGE):
-            t = types[f.column]
-            single[f.column] = (
-                range_sql(f.column, t, *AGE_RANGE) if _is_age(f.column) else clip_sql(f.column, t)
-            )
+        if f.issue == NEGATIVE:
+            single[f.column] = clip_sql(f.column, types[f.column])
+    for f in findings:
+        if f.issue == INVALID_AGE:
+            single[f.column] = range_sql(f.column, types[f.column], f.low, f.high)
     for f in findings:
         if f.issue == NULL_OR_BLANK and f.column not in single:
             e = fill_sql(f.column, types[f.column])
@@ -163,7 +161,14 @@ def fix_script(df: DataFrame, anomalies: DataFrame, table: str) -> str:
     """The SQL that builds ``cleaned_<table>``, from the same expressions as ``remediate``."""
     findings = findings_of(anomalies)
     types = _types(df)
-    lines = sorted({x for x in (_line(f, types) for f in findings) if x})
+    ranged = {f.column for f in findings if f.issue == INVALID_AGE}
+    numbers = ranged | {f.column for f in findings if f.issue == NEGATIVE}
+    told = [
+        f
+        for f in findings
+        if not (f.issue == NEGATIVE and f.column in ranged) and not (f.issue == NULL_OR_BLANK and f.column in numbers)
+    ]
+    lines = sorted({x for x in (_line(f, types) for f in told) if x})
     steps = remediation_steps(df, findings) or [{}]
     source = _quoted(table)
     for step in steps:
@@ -180,7 +185,7 @@ def _line(f: Finding, types: Mapping[str, T.DataType]) -> str | None:
     if f.issue == DATE_INVERSION:
         return DATE_LINE % (f.column, f.column_2)
     if f.issue in (NEGATIVE, INVALID_AGE):
-        return (AGE_LINE if _is_age(f.column) else NEGATIVE_LINE) % f.column
+        return (AGE_LINE if f.issue == INVALID_AGE else NEGATIVE_LINE) % f.column
     if casts.is_text(types[f.column]):
         return TEXT_LINE % f.column
     return ZERO_LINE % f.column if casts.is_numeric(types[f.column]) else None
@@ -189,16 +194,21 @@ def _line(f: Finding, types: Mapping[str, T.DataType]) -> str | None:
 def fix_report(anomalies: DataFrame, schema: T.StructType | None = None) -> DataFrame:
     """``dataset, line``: one line per repair, for any number of datasets.
 
-    A column with a number defect has no line for its missing values, as in the cleaned table. With
+    A column with a number defect has no line for its missing values, and one with a range finding none
+    for its negative numbers, as in the cleaned table. With
     the ``schema`` of the datasets, the lines follow the types, as the cleaned table does, and
     columns without a neutral value have none; without it, names tell text from numbers.
     """
     null = F.col("issue") == NULL_OR_BLANK
     number = F.col("issue").isin(NEGATIVE, INVALID_AGE)
     # A window over the findings of one column, of which there are a handful.
-    fixed = F.max(number).over(Window.partitionBy("dataset", "column"))
-    kept = anomalies.withColumn("fixed", fixed).filter(~(null & F.col("fixed")))
-    is_age = names.column_has(F.col("column"), AGE_KEYWORDS, names.TOKEN)
+    of_column = Window.partitionBy("dataset", "column")
+    ranged = F.col("issue") == INVALID_AGE
+    kept = (
+        anomalies.withColumns({"fixed": F.max(number).over(of_column), "ranged": F.max(ranged).over(of_column)})
+        .filter(~(null & F.col("fixed")))
+        .filter(~((F.col("issue") == NEGATIVE) & F.col("ranged")))
+    )
     if schema is None:
         is_text = names.column_has(F.col("column"), TEXT_KEYWORDS)
     else:
@@ -213,7 +223,7 @@ def fix_report(anomalies: DataFrame, schema: T.StructType | None = None) -> Data
     text = (
         F.when(F.col("issue") == DATE_INVERSION, F.format_string(DATE_LINE, "column", "column_2"))
         .when(null, F.when(is_text, line(TEXT_LINE)).otherwise(line(ZERO_LINE)))
-        .otherwise(F.when(is_age, line(AGE_LINE)).otherwise(line(NEGATIVE_LINE)))
+        .otherwise(F.when(ranged, line(AGE_LINE)).otherwise(line(NEGATIVE_LINE)))
     )
     return kept.select("dataset", text.alias("line")).distinct()
 
@@ -231,12 +241,17 @@ def circuit_breaker(
     A defect of an upstream table reaches a table below it if ``watch(dataset, column, issue)``
     says so, or, without ``watch``, if that table carries the column: ``columns(dataset, column)``,
     through ``renames(dataset, column, source_column)`` where it has another name.
-    A percentage at or below ``threshold_pct`` pauses nothing.
+    A defect of ``threshold_pct`` percent of the rows or fewer pauses nothing; with 0 a single bad row does.
+    A pair of dates in the wrong order is one defect of a table, whichever of the two it carries.
     """
-    # Counted once: the findings are few, and the tables behind them are not.
-    anomalies = cut(anomalies.filter(F.col("pct") > threshold_pct), "anomalies")
+    # Counted once: the findings are few, and the tables behind them are not. The share is exact, as
+    # ``pct`` rounds a rare defect of a large table to 0.
+    share = F.col("bad_rows") * 100.0 / F.col("total_rows")
+    anomalies = cut(anomalies.filter(share > threshold_pct), "anomalies")
     bad = anomalies.select(
-        F.col("dataset").alias("start"), F.inline(
+        F.col("dataset").alias("start"),
+        F.concat_ws("|", "column", "column_2", "issue").alias("defect"),
+        F.inline(
             F.filter(
                 F.array(
                     F.struct(F.col("column"), F.col("issue")),
@@ -259,7 +274,7 @@ def circuit_breaker(
             )
         hit = exposed.join(carried, ["dataset", "column"], "left_semi")
     hits = (
-        hit.select("dataset", "start", "column", "issue").distinct()
+        hit.select("dataset", "start", "defect").distinct()
         .groupBy("dataset").agg(F.count(F.lit(1)).alias("defects"))
     )
     tables = edges.select(F.col("dst").alias("dataset")).distinct()

@@ -144,7 +144,9 @@ def governance_context(
     """
     edges = edges.select("src", "dst").distinct()
     below = edges.groupBy(F.col("src").alias("urn")).agg(F.count(F.lit(1)).alias("downstream_count"))
-    finding = F.struct("column", "column_2", "issue", "bad_rows", "total_rows", "pct", "min_value")
+    finding = F.struct(
+        "column", "column_2", "issue", "bad_rows", "total_rows", "pct", "min_value", "low", "high", "parsed_share"
+    )
     found = anomalies.groupBy(F.col("dataset").alias("urn")).agg(
         F.sort_array(F.collect_list(finding)).alias("statistical_profile")
     )

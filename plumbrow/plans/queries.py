@@ -63,26 +63,34 @@ def raw_csv_scan(spark, sf):
     return files.read_raw_csv(spark, path)
 
 
+def _keyed_csv(spark: SparkSession, sf: str, name: str, *cols: str) -> str:
+    path = new_path(spark, f"{name}-csv")
+    df = src.table(spark, sf, name).select(F.lit(name).alias("source"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    df.write.option("header", True).csv(path)
+    return path
+
+
 @query(
-    """SELECT 'orders' AS source, least(count(*), 50000) AS n FROM orders
-    UNION ALL SELECT 'customer', least(count(*), 50000) FROM customer
-    UNION ALL SELECT 'lineitem', least(count(*), 50000) FROM lineitem"""
+    """SELECT 'orders' AS source, CAST(o_orderkey AS VARCHAR) AS c0, CAST(o_custkey AS VARCHAR) AS c1 FROM orders
+    UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), CAST(c_nationkey AS VARCHAR) FROM customer
+    UNION ALL SELECT 'lineitem', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR) FROM lineitem
+    UNION ALL SELECT 'left out: ' || CAST(count(DISTINCT 1) AS VARCHAR) || ' file of 2 columns', NULL, NULL FROM region"""
 )
 def csv_capped_scan(spark, sf):
-    """Four sources share the cap; ``region`` has another number of columns and is left out."""
-
-    def written(name: str, key: str, *cols: str) -> str:
-        path = new_path(spark, f"{name}-csv")
-        df = src.table(spark, sf, name).select(F.lit(name).alias("source"), F.col(key).alias("key"), *cols)
-        df.write.option("header", True).csv(path)
-        return path
-
+    """Under the blueprint's name, without its cap: all rows of three sources; ``region`` has another number of columns and is listed as left out."""
     paths = [
-        written("orders", "o_orderkey"), written("customer", "c_custkey"),
-        written("region", "r_regionkey", "r_name"), written("lineitem", "l_orderkey"),
+        _keyed_csv(spark, sf, "orders", "o_orderkey", "o_custkey"),
+        _keyed_csv(spark, sf, "customer", "c_custkey", "c_nationkey"),
+        _keyed_csv(spark, sf, "region", "r_regionkey"),
+        _keyed_csv(spark, sf, "lineitem", "l_orderkey", "l_linenumber"),
     ]
-    capped = files.read_csv_capped(spark, paths, max_rows=200_000)
-    return capped.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    found = files.read_csv_files(spark, paths)
+    left = found.left_out.groupBy("columns").agg(F.count(F.lit(1)).alias("n")).select(
+        F.format_string("left out: %s file of %s columns", "n", "columns").alias("source"),
+        F.lit(None).cast("string").alias("c0"),
+        F.lit(None).cast("string").alias("c1"),
+    )
+    return found.rows.unionByName(left)
 
 
 @query(
@@ -110,25 +118,19 @@ def dataset_lookup(spark, sf):
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem
-    ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice LIMIT 5"""
+    "SELECT * FROM lineitem ORDER BY ALL LIMIT 5"
 )
 def dataset_sample(spark, sf):
-    cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    return catalog.sample_rows(src.table(spark, sf, "lineitem").select(*cols), 5, order_by=cols)
-
-
-_STAGING_COLUMNS = (
-    "visit_id, name, gender, gender_clean, blood_type_clean, condition_clean, admission_type_clean, "
-    "test_results_clean, pipeline_status"
-)
+    lines = src.table(spark, sf, "lineitem")
+    return catalog.sample_rows(lines, 5, order_by=lines.columns)
 
 
-@query(f"WITH {q.STAGING_PATIENTS} SELECT {_STAGING_COLUMNS} FROM staging")
+@query(f"WITH {q.STAGING_PATIENTS} SELECT * FROM staging")
 def materialize_roundtrip(spark, sf):
+    """Written, registered as a view, and read through it."""
     staged = pipeline.stage_clean(src.patients(spark, sf))
-    out = files.materialize(staged, new_path(spark, "staging"), view="staging_patients")
-    return out.selectExpr(*_STAGING_COLUMNS.split(", "))
+    files.materialize(staged, new_path(spark, "staging"), view="staging_patients")
+    return spark.table("staging_patients")
 
 
 @query(
@@ -186,12 +188,15 @@ def dataset_metadata(spark, sf):
 
 
 @query(
-    """SELECT k.kind, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    CROSS JOIN (VALUES ('tag'), ('term'), ('owner')) AS k(kind) WHERE o_orderstatus = 'P' GROUP BY k.kind"""
+    """SELECT k.kind, CASE k.kind WHEN 'tag' THEN 'flag_' || lower(l_returnflag) WHEN 'term' THEN 'status_' || lower(l_linestatus)
+      ELSE 'team_' || CAST(l_suppkey AS VARCHAR) END AS value, 'order_' || CAST(l_orderkey AS VARCHAR) AS "table",
+      l_linenumber AS position
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    CROSS JOIN (VALUES ('tag'), ('term'), ('owner')) AS k(kind) WHERE o_orderstatus = 'P'"""
 )
 def metadata_unknown(spark, sf):
-    unknown = catalog.unknown_assignments(src.order_registry(spark, sf), src.assignments(spark, sf))
-    return unknown.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    found = catalog.unknown_assignments(src.order_registry(spark, sf), src.assignments(spark, sf))
+    return found.select("kind", "value", "table", "position")
 
 
 # --- profiles ------------------------------------------------------------------------------------
@@ -200,7 +205,8 @@ _TEXTS = tuple(src.SCHEMAS["patients"])
 _NULLS = q.null_findings("patients", "raw_patients", _TEXTS, ["visit_id"])
 _NEGATIVES = q.negative_findings("patients", "raw_patients", ("visit_id", *_TEXTS))
 _RANGES = q.range_findings("patients", "raw_patients", ["age"])
-_INVERSION = q.order_finding("patients", "raw_patients", "date_of_admission", "discharge_date")
+_DATES = ("date_of_admission", "discharge_date")
+_INVERSION = q.order_finding("patients", "raw_patients", *_DATES, texts=_DATES)
 
 
 def _profiled(parts: list[str]) -> str:
@@ -222,7 +228,7 @@ def profile_ranges(spark, sf):
     return profile.range_profile(src.patients(spark, sf), name="raw_patients")
 
 
-_DATED = "dated AS (SELECT o_orderdate, l_shipdate, CAST(o_orderdate AS DATE) AS order_date, l_extendedprice FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+_DATED = "dated AS (SELECT *, CAST(o_orderdate AS DATE) AS order_date FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 
 
 @query(
@@ -242,9 +248,8 @@ _DATED = "dated AS (SELECT o_orderdate, l_shipdate, CAST(o_orderdate AS DATE) AS
 def profile_date_inversions(spark, sf):
     """Text dates, and typed times against days. ``l_extendedprice`` has ``end`` in its name but no time."""
     orders, lines = src.table(spark, sf, "orders"), src.table(spark, sf, "lineitem")
-    dated = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).select(
-        "o_orderdate", "l_shipdate", F.col("o_orderdate").cast("date").alias("order_date"), "l_extendedprice"
-    )
+    dated = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"])
+    dated = dated.withColumn("order_date", F.col("o_orderdate").cast("date"))
     return profile.date_order_profile(src.patients(spark, sf), name="raw_patients").unionByName(
         profile.date_order_profile(dated, name="order_lines")
     )
@@ -415,6 +420,24 @@ def file_freshness(spark, sf):
     return out
 
 
+@query(
+    "\nUNION ALL ".join(
+        f"SELECT '{t}' AS dataset, '{'column' if t in ('events', 'orders', 'lineitem') else 'file'}' AS source, true AS has_time"
+        for t in src.TABLES
+    )
+)
+def freshness_chain(spark, sf):
+    """Where each table's time comes from: a column of times, else the files. The times of files are in the tests."""
+    out = None
+    for n in src.TABLES:
+        df = src.table(spark, sf, n)
+        one = freshness.freshness(df, AS_OF, name=n, files=df).select(
+            "dataset", "source", F.col("last_ts_ms").isNotNull().alias("has_time")
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     f"""WITH {q.FRESHNESS} SELECT {q.STREAM_URN.format('user_id')} AS dataset, 'ts' AS time_col, last_ts_ms,
     'column' AS source, hours_stale, hours_stale > 24 AS is_stale FROM fresh"""
@@ -479,10 +502,10 @@ def missing_upstream_days(spark, sf):
     return freshness.missing_days(staging, "trip_date", calendar=upstream)
 
 
-@query(f"WITH {q.STALE} SELECT trip_date, trip_count FROM stale_daily WHERE trip_count = 0")
+@query(f"WITH {q.STALE} SELECT * FROM stale_daily WHERE trip_count = 0")
 def empty_load_days(spark, sf):
     mart = _trip_stages(spark, sf)[2]
-    return freshness.empty_loads(mart, "trip_count").select("trip_date", "trip_count")
+    return freshness.empty_loads(mart, "trip_count")
 
 
 # --- lineage and graph ---------------------------------------------------------------------------
@@ -493,6 +516,17 @@ def lineage_fk_edges(spark, sf):
     return lineage.fk_edges(src.entities(spark, sf), src.entity_fks(spark, sf))
 
 
+@query(f"WITH {q.ENTITY_EDGES} SELECT dst AS src, src AS dst FROM k_edges")
+def lineage_child_to_parent(spark, sf):
+    return lineage.fk_edges(src.entities(spark, sf), src.entity_fks(spark, sf), lineage.CHILD_TO_PARENT)
+
+
+@query(f"WITH {q.ENTITY_EDGES} SELECT src, dst FROM k_edges")
+def lineage_discovered(spark, sf):
+    """Foreign keys are there, so the naming convention is not asked."""
+    return lineage.discover_edges(src.entities(spark, sf), src.entity_fks(spark, sf))
+
+
 _LAYERS = q.CATALOGUE + """,
 layered AS (SELECT domain, urn, CASE split_part("table", '_', 1) WHEN 'raw' THEN 0 WHEN 'staging' THEN 1 ELSE 2 END AS layer
   FROM registry)"""
@@ -507,6 +541,16 @@ def lineage_layer_edges(spark, sf):
     return lineage.layer_edges(src.catalogue(spark, sf))
 
 
+@query(
+    f"""WITH {_LAYERS} SELECT a.urn AS src, b.urn AS dst FROM layered a JOIN layered b
+    ON a.domain = b.domain AND b.layer = a.layer + 1"""
+)
+def lineage_discovered_layers(spark, sf):
+    """No foreign keys: the naming convention gives the edges."""
+    none = src.entity_fks(spark, sf).filter(F.col("target_table").isNull())
+    return lineage.discover_edges(src.catalogue(spark, sf), none)
+
+
 @query(
     f"""WITH {_LAYERS}
     SELECT urn AS src, 'junction|' || domain || '|' || CAST(layer + 1 AS VARCHAR) AS dst FROM layered WHERE layer < 2
@@ -534,17 +578,19 @@ def lineage_unknown_names(spark, sf):
 
 
 def _centrality(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    registry, edges = src.stream_registry(spark, sf), src.stream_edges(spark, sf)
+    # Written once: the events behind both are read for the graph and again for what is joined to it.
+    registry, edges = cut(src.stream_registry(spark, sf), "registry"), cut(src.stream_edges(spark, sf), "lineage")
     nodes = registry.select(F.col("urn").alias("id"))
     return registry, edges, graph.betweenness(nodes, edges)
 
 
 @query(
     f"""WITH {q.CENTRALITY} SELECT {q.STREAM_URN.format('id')} AS id, round(betweenness, 6) AS betweenness,
-    centrality FROM central"""
+    round(centrality, 9) AS centrality FROM central"""
 )
 def graph_betweenness(spark, sf):
-    return _centrality(spark, sf)[2].withColumn("betweenness", F.round("betweenness", 6))
+    found = _centrality(spark, sf)[2]
+    return found.withColumns({"betweenness": F.round("betweenness", 6), "centrality": F.round("centrality", 9)})
 
 
 def _entity_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -598,12 +644,12 @@ def _risk_inputs(spark: SparkSession, sf: str, formula: str) -> DataFrame:
 
 @query(
     f"""WITH {q.SCORES} SELECT urn, array_to_string(pii_columns, ',') AS pii_columns, has_pii,
-    hours_stale, centrality, risk_score, risk_score >= 0.65 AS is_high_risk FROM scores"""
+    hours_stale, round(centrality, 9) AS centrality, risk_score, risk_score >= 0.65 AS is_high_risk FROM scores"""
 )
 def risk_score(spark, sf):
     return _risk_inputs(spark, sf, risk.STANDARD).select(
         "urn", _joined("pii_columns"), "has_pii", "hours_stale",
-        "centrality", "risk_score", "is_high_risk",
+        F.round("centrality", 9).alias("centrality"), "risk_score", "is_high_risk",
     )
 
 
@@ -631,18 +677,18 @@ def risk_summary(spark, sf):
 
 
 @query(
-    f"""WITH {q.SCORES} SELECT 'freshness' AS kind, urn, hours_stale IS NOT NULL AS listed,
+    f"""WITH {q.SCORES} SELECT 'freshness' AS kind, urn, hours_stale,
       CAST(NULL AS VARCHAR) AS pii_fields, risk_score FROM scores WHERE is_stale
-    UNION ALL SELECT 'pii', urn, TRUE, array_to_string(pii_columns, ','), NULL FROM scores WHERE has_pii"""
+    UNION ALL SELECT 'pii', urn, NULL, array_to_string(pii_columns, ','), NULL FROM scores WHERE has_pii"""
 )
 def risk_vulnerabilities(spark, sf):
     scores = cut(_risk_inputs(spark, sf, risk.STANDARD), "scores")
     stale = risk.freshness_vulnerabilities(scores).select(
-        F.lit("freshness").alias("kind"), "urn", F.col("hours_stale").isNotNull().alias("listed"),
+        F.lit("freshness").alias("kind"), "urn", "hours_stale",
         F.lit(None).cast("string").alias("pii_fields"), "risk_score",
     )
     personal = risk.pii_vulnerabilities(scores).select(
-        F.lit("pii").alias("kind"), "urn", F.lit(True).alias("listed"), _joined("pii_fields"),
+        F.lit("pii").alias("kind"), "urn", F.lit(None).cast("double").alias("hours_stale"), _joined("pii_fields"),
         F.lit(None).cast("double").alias("risk_score"),
     )
     return stale.unionByName(personal)
@@ -653,7 +699,7 @@ def risk_vulnerabilities(spark, sf):
     listed AS (SELECT dataset, string_agg("column" || ':' || issue || ':' || bad_rows, ',' ORDER BY "column", issue) AS findings
       FROM found GROUP BY dataset),
     below AS (SELECT src, count(*) AS n FROM links GROUP BY src)
-    SELECT s.urn, s."table" AS table_name, s.centrality, s.risk_score, s.risk_score >= 0.65 AS is_high_risk,
+    SELECT s.urn, s."table" AS table_name, round(s.centrality, 4) AS centrality, s.risk_score, s.risk_score >= 0.65 AS is_high_risk,
       array_to_string(s.pii_columns, ',') AS pii_columns, coalesce(b.n, 0) AS downstream_count,
       coalesce(l.findings, '') AS findings
     FROM scores s JOIN users u ON u.urn = s.urn LEFT JOIN below b ON b.src = u.user_id LEFT JOIN listed l ON l.dataset = s.urn"""
@@ -682,16 +728,14 @@ _FIRST = "CASE WHEN date_of_admission > discharge_date THEN discharge_date ELSE
 _LAST = "CASE WHEN date_of_admission > discharge_date THEN date_of_admission ELSE discharge_date END"
 
 
-@query(f"WITH {q.PATIENTS} SELECT visit_id, {_CLIPPED} AS billing_amount FROM patients")
+@query(f"WITH {q.PATIENTS} SELECT * REPLACE ({_CLIPPED} AS billing_amount) FROM patients")
 def fix_negatives(spark, sf):
-    df = src.patients(spark, sf).select("visit_id", "billing_amount")
-    return remediate.clip_negative(df, ["billing_amount"])
+    return remediate.clip_negative(src.patients(spark, sf), ["billing_amount"])
 
 
-@query(f"WITH {q.PATIENTS} SELECT visit_id, {_AGED} AS age FROM patients")
+@query(f"WITH {q.PATIENTS} SELECT * REPLACE ({_AGED} AS age) FROM patients")
 def fix_ranges(spark, sf):
-    df = src.patients(spark, sf).select("visit_id", "age")
-    return remediate.null_out_of_range(df, {"age": profile.AGE_RANGE})
+    return remediate.null_out_of_range(src.patients(spark, sf), {"age": profile.AGE_RANGE})
 
 
 _PARTLY = """partly AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS title,
@@ -715,16 +759,13 @@ def fix_nulls(spark, sf):
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, l_partkey,
-    CASE WHEN o_orderdate > l_shipdate THEN l_shipdate ELSE o_orderdate END AS o_orderdate,
-    CASE WHEN o_orderdate > l_shipdate THEN o_orderdate ELSE l_shipdate END AS l_shipdate
+    """SELECT * REPLACE (CASE WHEN o_orderdate > l_shipdate THEN l_shipdate ELSE o_orderdate END AS o_orderdate,
+    CASE WHEN o_orderdate > l_shipdate THEN o_orderdate ELSE l_shipdate END AS l_shipdate)
     FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
 )
 def fix_date_order(spark, sf):
     orders, lines = src.table(spark, sf, "orders"), src.table(spark, sf, "lineitem")
-    df = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).select(
-        "l_orderkey", "l_linenumber", "l_partkey", "o_orderdate", "l_shipdate"
-    )
+    df = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"])
     return remediate.swap_dates(df, "o_orderdate", "l_shipdate")
 
 
@@ -740,18 +781,60 @@ def cleaned_table(spark, sf):
 
 
 @query(
-    f"""WITH {q.PATIENTS} SELECT visit_id, billing_amount FROM patients
+    f"""WITH {q.PATIENTS} SELECT * FROM patients
     WHERE TRY_CAST(billing_amount AS DOUBLE) >= 0 OR TRY_CAST(billing_amount AS DOUBLE) IS NULL"""
 )
 def drop_invalid_rows(spark, sf):
-    return remediate.drop_invalid(src.patients(spark, sf).select("visit_id", "billing_amount"), "billing_amount")
+    return remediate.drop_invalid(src.patients(spark, sf), "billing_amount")
+
+
+_CHARGED = """charged AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END AS charge
+  FROM orders)"""
+
+
+@query(
+    f"""WITH {_CHARGED} """
+    + q.findings(
+        q.negative_findings("charged", "charges", ["charge"])
+        + q.range_findings("charged", "charges", ["charge", "o_custkey"], bounds=(-100000, 200000))
+    )
+)
+def profile_custom_ranges(spark, sf):
+    """Bounds of the caller's own, on columns that are not named like an age."""
+    return profile.profile(_charged(spark, sf), "charges", ranges=_CHARGE_RANGES)
+
+
+_CHARGE_RANGES = {"charge": (-100000, 200000), "o_custkey": (-100000, 200000)}
+_REPAIRED = """SELECT o_orderkey, o_custkey,
+  CASE WHEN charge < -100000 OR charge > 200000 THEN NULL ELSE charge END AS charge FROM charged"""
+
+
+def _charged(spark: SparkSession, sf: str) -> DataFrame:
+    charge = F.when(F.col("o_orderstatus") == "F", -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
+    return src.table(spark, sf, "orders").select("o_orderkey", "o_custkey", charge.alias("charge"))
+
+
+@query(f"WITH {_CHARGED} {_REPAIRED}")
+def cleaned_custom_ranges(spark, sf):
+    """The bounds come from the findings: a negative charge within them stays."""
+    df = _charged(spark, sf)
+    return remediate.remediate(df, profile.profile(df, "charges", ranges=_CHARGE_RANGES))
+
+
+@query(f"WITH {_CHARGED} {_REPAIRED}")
+def fix_script(spark, sf):
+    """The query of the script, run as SQL over the table it names."""
+    df = _charged(spark, sf)
+    script = remediate.fix_script(df, profile.profile(df, "charges", ranges=_CHARGE_RANGES), "charges")
+    select = script.partition(" AS\n")[2]
+    return catalog.audit_sql(spark, {"charges": df}, select)
 
 
 _BY_HOSPITAL = [
     *q.null_findings("patients", "", [c for c in _TEXTS if c != "hospital"], ["visit_id"], by="hospital"),
     *q.negative_findings("patients", "", [c for c in ("visit_id", *_TEXTS) if c != "hospital"], by="hospital"),
     *q.range_findings("patients", "", ["age"], by="hospital"),
-    q.order_finding("patients", "", "date_of_admission", "discharge_date", by="hospital"),
+    q.order_finding("patients", "", *_DATES, by="hospital", texts=_DATES),
 ]
 
 
@@ -800,6 +883,33 @@ def circuit_breaker(spark, sf):
     return remediate.circuit_breaker(found, edges, watch.select("dataset", "column"), watch, threshold_pct=1.5)
 
 
+@query(
+    f"""WITH {q.PATIENTS}, found AS ({q.findings([*_NULLS, *_NEGATIVES, *_RANGES, _INVERSION])}),
+    carried(dataset, col) AS (VALUES ('staging_patients', 'billing_amount'), ('staging_patients', 'age'),
+      ('mart_billing', 'billing_amount'), ('mart_billing', 'date_of_admission'), ('mart_billing', 'discharge_date'),
+      ('mart_demographics', 'name')),
+    tables(dataset) AS (VALUES ('staging_patients'), ('mart_billing'), ('mart_demographics')),
+    hits AS (SELECT t.dataset, count(DISTINCT f."column" || f.issue) AS defects FROM tables t
+      LEFT JOIN carried c ON c.dataset = t.dataset LEFT JOIN found f ON c.col IN (f."column", f.column_2) GROUP BY t.dataset)
+    SELECT dataset, CASE WHEN defects > 0 THEN 'PAUSED' ELSE 'OPERATIONAL' END AS status, defects FROM hits"""
+)
+def circuit_breaker_renamed(spark, sf):
+    """Defects reach the tables that carry the column, under another name too; a pair of dates counts once."""
+    found = profile.profile(src.patients(spark, sf), "raw_patients")
+    edges = spark.createDataFrame(_PATIENT_EDGES, "src string, dst string")
+    columns = [
+        ("staging_patients", "amount"), ("staging_patients", "age"), ("mart_billing", "billing_amount"),
+        ("mart_billing", "first_day"), ("mart_billing", "discharge_date"), ("mart_demographics", "name"),
+    ]
+    renames = [("staging_patients", "amount", "billing_amount"), ("mart_billing", "first_day", "date_of_admission")]
+    return remediate.circuit_breaker(
+        found,
+        edges,
+        spark.createDataFrame(columns, "dataset string, column string"),
+        renames=spark.createDataFrame(renames, "dataset string, column string, source_column string"),
+    )
+
+
 # --- pipelines -----------------------------------------------------------------------------------
 
 
@@ -905,17 +1015,13 @@ _N = "(SELECT CAST(floor(count(*) * {0}) AS BIGINT) FROM clean_patients)"
       '(' + _N.format('0.015') + ' - ' + _N.format('0.015') + ' // 2)', 'CAST(age AS INTEGER) > 0')}
       THEN CAST(CAST(age AS INTEGER) + 200 AS VARCHAR) ELSE age END AS age) FROM p3),
     hit AS {_picked('p4', 'dates', _N.format('0.005'), 'date_of_admission < discharge_date')}
-    SELECT visit_id, name, age, billing_amount,
-      CASE WHEN visit_id IN (FROM hit) THEN discharge_date ELSE date_of_admission END AS date_of_admission,
-      CASE WHEN visit_id IN (FROM hit) THEN date_of_admission ELSE discharge_date END AS discharge_date FROM p4"""
+    SELECT * REPLACE (CASE WHEN visit_id IN (FROM hit) THEN discharge_date ELSE date_of_admission END AS date_of_admission,
+      CASE WHEN visit_id IN (FROM hit) THEN date_of_admission ELSE discharge_date END AS discharge_date) FROM p4"""
 )
 def plant_defects(spark, sf):
     """All four defects on exactly the documented shares of the rows."""
     clean = src.patients(spark, sf, dirty=False)
-    planted = plant.plant(clean, "visit_id", plant.patient_rules(clean.count()))
-    return planted.select(
-        "visit_id", "name", "age", "billing_amount", "date_of_admission", "discharge_date"
-    )
+    return plant.plant(clean, "visit_id", plant.patient_rules(clean.count()))
 
 
 @query(f"WITH {q.STALE} SELECT * FROM stale_trips")

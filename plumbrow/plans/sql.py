@@ -146,7 +146,7 @@ between AS (SELECT a.t AS v, sum(a.sg * b.sg / x.sg) AS total FROM sp a JOIN sp
   JOIN sp x ON x.s = a.s AND x.t = b.t AND x.d = a.d + b.d WHERE a.s <> b.t GROUP BY a.t),
 size AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM g_nodes),
 central AS (SELECT id, coalesce(total, 0.0) AS betweenness,
-  round(coalesce(total, 0.0) * (1.0::DOUBLE / ((n - 1) * (n - 2))), 3) AS centrality
+  coalesce(total, 0.0) * (1.0::DOUBLE / ((n - 1) * (n - 2))) AS centrality
   FROM g_nodes CROSS JOIN size LEFT JOIN between ON v = id),
 roles AS (SELECT id, NOT inn AS is_root, NOT outt AS is_sink, NOT inn AND NOT outt AS is_isolated,
   centrality = 0 AND inn AS is_orphan FROM (SELECT id, centrality,
@@ -195,17 +195,24 @@ ENTITY_EDGES = f"""k_edges AS (
 
 def finding(
     rel: str, dataset: str, column: str, issue: str, bad: str, column_2: str | None = None,
-    value: str | None = None, by: str | None = None,
+    value: str | None = None, by: str | None = None, bounds: tuple | None = None, texts: Sequence[str] = (),
 ) -> str:
     """One check as SQL, in the shape of the profile table."""
     name = by or f"'{dataset}'"
     second = f"'{column_2}'" if column_2 else "CAST(NULL AS VARCHAR)"
-    low = f"min({value}) FILTER (WHERE {bad})" if value else "CAST(NULL AS DOUBLE)"
+    least = f"min({value}) FILTER (WHERE {bad})" if value else "CAST(NULL AS DOUBLE)"
+    low, high = bounds or ("NULL", "NULL")
+    shares = ", ".join(
+        f"CAST(count(TRY_CAST({t} AS TIMESTAMP)) AS DOUBLE) / nullif(count(*) FILTER (WHERE trim({t}) <> ''), 0)"
+        for t in texts
+    )
+    parsed = f"round(least({shares}), 4)" if texts else "CAST(NULL AS DOUBLE)"
     return (
         f"SELECT {name} AS dataset, '{column}' AS \"column\", {second} AS column_2, '{issue}' AS issue, "
         f"count(*) FILTER (WHERE {bad}) AS bad_rows, count(*) AS total_rows, "
         f"round(CAST(count(*) FILTER (WHERE {bad}) AS DOUBLE) / count(*) * 100.0, 2) AS pct, "
-        f"CAST({low} AS DOUBLE) AS min_value FROM {rel}{f' GROUP BY {by}' if by else ''}"
+        f"CAST({least} AS DOUBLE) AS min_value, CAST({low} AS DOUBLE) AS low, CAST({high} AS DOUBLE) AS high, "
+        f"{parsed} AS parsed_share FROM {rel}{f' GROUP BY {by}' if by else ''}"
     )
 
 
@@ -228,13 +235,14 @@ def negative_findings(rel: str, dataset: str, columns: Sequence[str], by=None) -
     ]
 
 
-def range_findings(rel: str, dataset: str, columns: Sequence[str], by=None) -> list[str]:
+def range_findings(rel: str, dataset: str, columns: Sequence[str], by=None, bounds: tuple = (0, 120)) -> list[str]:
+    lo, hi = bounds
     return [
         finding(rel, dataset, c, "invalid_age_range",
-                f"TRY_CAST({c} AS DOUBLE) < 0 OR TRY_CAST({c} AS DOUBLE) > 120", by=by)
+                f"TRY_CAST({c} AS DOUBLE) < {lo} OR TRY_CAST({c} AS DOUBLE) > {hi}", by=by, bounds=bounds)
         for c in columns
     ]
 
 
-def order_finding(rel: str, dataset: str, a: str, b: str, by=None) -> str:
-    return finding(rel, dataset, a, "date_inversion", f"{a} > {b}", column_2=b, by=by)
+def order_finding(rel: str, dataset: str, a: str, b: str, by=None, texts: Sequence[str] = ()) -> str:
+    return finding(rel, dataset, a, "date_inversion", f"{a} > {b}", column_2=b, by=by, texts=texts)

@@ -1,9 +1,10 @@
-"""Table files: CSV as text columns, capped multi-file CSV, parquet and other formats, stage tables."""
+"""Table files: CSV as text columns, several CSV files as one table, parquet and other formats, stage tables."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,22 +26,30 @@ def read_raw_csv(spark: SparkSession, path: str | Sequence[str], multiline: bool
     return df.toDF(*[clean_name(c) for c in df.columns])
 
 
-def read_csv_capped(
-    spark: SparkSession, paths: Sequence[str], max_rows: int = 250_000, multiline: bool = False
-) -> DataFrame:
-    """The first rows of several CSV files, the cap shared evenly among all files.
+class CsvFiles(NamedTuple):
+    """``rows`` of the files that fit together, and ``left_out(path, columns)``: those that do not."""
 
-    The first file names the columns; a file with another number of columns is left out.
-    Each file keeps its own limit, so no more than its share is read from it.
+    rows: DataFrame
+    left_out: DataFrame
+
+
+def read_csv_files(spark: SparkSession, paths: Sequence[str], multiline: bool = False) -> CsvFiles:
+    """All rows of several CSV files with header lines. The first file names the columns; a file with another number
+    of columns is not read but listed with its number. Large files are split among tasks.
+
+    Files with the first one's header are read in one scan; those that only have its width, by position.
     """
     if not paths:
         raise ValueError("no files")
-    share = max_rows // len(paths)
     reader = spark.read.options(**_CSV, multiLine=multiline)
-    files = [reader.csv(p) for p in paths]
-    names = [c.strip() for c in files[0].columns]
-    kept = [f.toDF(*names).limit(share) for f in files if len(f.columns) == len(names)]
-    return reduce(DataFrame.unionByName, kept)
+    headers = {p: reader.csv(p).columns for p in paths}
+    first = headers[paths[0]]
+    alike = [p for p in paths if headers[p] == first]
+    by_position = [p for p in paths if headers[p] != first and len(headers[p]) == len(first)]
+    names = [c.strip() for c in first]
+    parts = [reader.csv(alike).toDF(*names), *(reader.csv(p).toDF(*names) for p in by_position)]
+    left = [(p, len(headers[p])) for p in paths if len(headers[p]) != len(first)]
+    return CsvFiles(reduce(DataFrame.unionByName, parts), spark.createDataFrame(left, "path string, columns int"))
 
 
 def read_tables(

@@ -28,7 +28,10 @@ def test_schema_rows(spark):
     assert [tuple(r) for r in rows] == [("t", 0, "id", "bigint"), ("t", 1, "v", "string")]
 
 
-@pytest.mark.parametrize("text", ["DROP TABLE t", "insert into t select 1", "", "CREATE VIEW v AS SELECT 1", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "set x=1", "-- x\nDELETE FROM t"])
+@pytest.mark.parametrize("text", ["DROP TABLE t", "insert into t select 1", "", "CREATE VIEW v AS SELECT 1", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "set x=1", "-- x\nDELETE FROM t",
+    "WITH a AS (SELECT 1 AS x) INSERT /* c */ INTO t SELECT x FROM a", "WITH a AS (SELECT 1 AS x) DELETE FROM t WHERE x IN (SELECT x FROM a)",
+    "WITH a AS (SELECT 1 AS x) UPDATE t SET x = 2", "FROM t INSERT INTO u SELECT * INSERT INTO v SELECT *",
+    "WITH a AS (SELECT 1 AS x) MERGE INTO t USING a ON t.x = a.x WHEN MATCHED THEN DELETE", "SELECT TRANSFORM (x) USING 'cat' FROM t"])
 def test_audit_sql_refuses_commands(spark, text):
     with pytest.raises(ValueError):
         catalog.audit_sql(spark, {}, text)
@@ -40,6 +43,17 @@ def test_audit_sql_reads(spark):
     assert catalog.audit_sql(spark, tables, "WITH a AS (SELECT id FROM audited) SELECT max(id) AS m FROM a").first().m == 4
     with pytest.raises(Exception):
         catalog.audit_sql(spark, tables, "SELECT 1; DROP TABLE x")
+    for text in ("(SELECT 1 AS n)", "-- a note\nSELECT 1 AS n", "SELECT length('insert into') - 10 AS n", "/* x */ SELECT 1 AS n;"):
+        assert catalog.audit_sql(spark, tables, text).first().n == 1
+    assert catalog.audit_sql(spark, tables, "DESCRIBE audited").first().col_name == "id"
+
+
+def test_audit_sql_leaves_the_views_of_the_caller(spark):
+    spark.range(2).createOrReplaceTempView("audited")
+    got = catalog.audit_sql(spark, {"audited": spark.range(5), "audited_2": spark.range(1)}, "SELECT count(*) AS n FROM audited")
+    assert spark.table("audited").count() == 2 and got.first().n == 5
+    assert not spark.catalog.tableExists("audited_2")
+    spark.catalog.dropTempView("audited")
 
 
 def test_freshness_of_numbers_texts_and_files(spark, tmp_path):
@@ -96,8 +110,8 @@ def test_context(spark, tmp_path):
     fresh = spark.createDataFrame([("u1", 48.0, True)], "dataset string, hours_stale double, is_stale boolean")
     central = spark.createDataFrame([("u1", 0.5)], "id string, centrality double")
     found = spark.createDataFrame(
-        [("u1", "x", None, "negative", 1, 10, 10.0, -1.0)],
-        "dataset string, column string, column_2 string, issue string, bad_rows bigint, total_rows bigint, pct double, min_value double",
+        [("u1", "x", None, "negative", 1, 10, 10.0, -1.0, None, None, None)],
+        "dataset string, column string, column_2 string, issue string, bad_rows bigint, total_rows bigint, pct double, min_value double, low double, high double, parsed_share double",
     )
     context = risk.governance_context(registry, edges, fresh, central, found)
     risk.write_context(context, str(tmp_path / "out"))

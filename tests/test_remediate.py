@@ -116,3 +116,23 @@ def test_report_tells_what_was_done(spark):
     assert all(x in script for x in lines) and "start_date'" not in script
     by_name = {x.line for x in r.fix_report(found_).collect()}
     assert by_name == lines - {r.TEXT_LINE % "city"} | {r.ZERO_LINE % "city", r.ZERO_LINE % "start_date"}
+
+
+def test_the_bounds_of_a_finding_decide_the_repair(spark):
+    df = spark.createDataFrame([(500.0,), (-5.0,), (20.0,)], "temperature double")
+    found = p.profile(df, "t", ranges={"temperature": (0, 50)})
+    assert {x.issue: (x.low, x.high) for x in found.collect()} == {"negative": (None, None), "invalid_age_range": (0.0, 50.0)}
+    assert [x[0] for x in r.remediate(df, found).collect()] == [None, None, 20.0]
+    line = "Fixed invalid age range in column 'temperature'"
+    assert [x.line for x in r.fix_report(found, df.schema).collect()] == [line]
+    assert line in r.fix_script(df, found, "t") and "< 0.0 OR" in r.fix_script(df, found, "t")
+
+
+def test_one_bad_row_in_many_pauses(spark):
+    df = spark.range(100_000).selectExpr("CASE WHEN id = 7 THEN -1 ELSE 1 END AS amount")
+    found = p.profile(df, "raw")
+    assert found.first().pct == 0.0
+    edges = spark.createDataFrame([("raw", "mart")], "src string, dst string")
+    columns = spark.createDataFrame([("mart", "amount")], "dataset string, column string")
+    got = r.circuit_breaker(found, edges, columns).first()
+    assert (got.status, got.defects) == ("PAUSED", 1)

@@ -26,15 +26,15 @@ def test_line_breaks_inside_quotes(spark, tmp_path):
     assert [tuple(r) for r in files.read_raw_csv(spark, path, multiline=True).collect()] == [("x\ny", "2")]
 
 
-def test_capped_files(spark, tmp_path):
+def test_several_files(spark, tmp_path):
     a = write(tmp_path / "a.csv", " x ,y\n" + "".join(f"a{i},{i}\n" for i in range(50)))
     b = write(tmp_path / "b.csv", "other,names\n" + "".join(f"b{i},{i}\n" for i in range(5)))
     c = write(tmp_path / "c.csv", "x,y,z\n1,2,3\n")
-    df = files.read_csv_capped(spark, [a, b, c], max_rows=31)
-    rows = [r[0] for r in df.collect()]
-    assert df.columns == ["x", "y"]
-    assert [r for r in rows if r[0] == "a"] == [f"a{i}" for i in range(10)]
-    assert len([r for r in rows if r[0] == "b"]) == 5 and len(rows) == 15
+    d = write(tmp_path / "d.csv", " x ,y\nd,1\n")
+    found = files.read_csv_files(spark, [a, b, c, d])
+    assert found.rows.columns == ["x", "y"]
+    assert sorted(r[0] for r in found.rows.collect()) == sorted([f"a{i}" for i in range(50)] + [f"b{i}" for i in range(5)] + ["d"])
+    assert [tuple(r) for r in found.left_out.collect()] == [(c, 3)]
 
 
 def test_materialize_replaces(spark, tmp_path):
@@ -49,13 +49,9 @@ def test_tables_by_format(spark, tmp_path):
     assert files.read_tables(spark, str(tmp_path), ["t"], "orc")["t"].count() == 4
 
 
-def test_shared_folder_is_the_one_the_cluster_names(spark, tmp_path):
-    spark.conf.set("spark.sql.legacy.setCommandRejectsSparkCoreConfs", "false")
-    try:
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-        df = shared.cut(spark.range(5), "step")
-        assert df.count() == 5 and all(str(tmp_path) in f for f in df.inputFiles())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-        spark.conf.unset("spark.sql.legacy.setCommandRejectsSparkCoreConfs")
-    assert shared.shared_dir(spark) == shared.shared_dir(spark)
+def test_shared_folder_is_the_one_the_session_names(spark, tmp_path):
+    df = shared.cut(spark.range(5), "step", folder=str(tmp_path))
+    assert df.count() == 5 and all(str(tmp_path) in f for f in df.inputFiles())
+    assert shared.shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    shared.clear(spark, str(tmp_path))
+    assert not list(tmp_path.iterdir())
