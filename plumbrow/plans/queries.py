@@ -422,7 +422,7 @@ def file_freshness(spark, sf):
 
 @query(
     "\nUNION ALL ".join(
-        f"SELECT '{t}' AS dataset, '{'column' if t in ('events', 'orders', 'lineitem') else 'file'}' AS source, true AS has_time"
+        f"SELECT '{t}' AS dataset, '{'column' if t in ('orders', 'lineitem') else 'file'}' AS source, true AS has_time"
         for t in src.TABLES
     )
 )
