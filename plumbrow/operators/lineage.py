@@ -19,16 +19,24 @@ LAYERS = ("raw", "staging", "mart")
 
 
 def fk_edges(
-    registry: DataFrame, fks: DataFrame, direction: str = UPSTREAM_TO_DOWNSTREAM
+    registry: DataFrame,
+    fks: DataFrame,
+    direction: str = UPSTREAM_TO_DOWNSTREAM,
+    upstream: DataFrame | None = None,
 ) -> DataFrame:
     """Edges from ``fks(urn, target_table)``: the target is found by table name in every domain.
 
     The referenced table is the upstream one; ``child_to_parent`` turns the edges round.
-    A child that is not registered has no edges.
+    A child that is not registered has no edges. With ``upstream(id)`` only the edges of these tables are
+    built: references to others are dropped before anything is shuffled by child.
     """
-    keys = fks.select(F.col("urn").alias("child"), F.col("target_table").alias("table")).distinct()
+    keys = fks.select(F.col("urn").alias("child"), F.col("target_table").alias("table"))
     children = registry.select(F.col("urn").alias("child"))
     parents = registry.select("table", F.col("urn").alias("parent"))
+    if upstream is not None:
+        parents = parents.join(upstream.select(F.col("id").alias("parent")), "parent", "left_semi")
+        keys = keys.join(parents.select("table"), "table", "left_semi")
+    keys = keys.distinct()
     pairs = keys.join(children, "child", "left_semi").join(parents, "table")
     # Distinct as they are: a child meets a target once, and a parent has one table name.
     if direction == CHILD_TO_PARENT:
@@ -146,8 +154,8 @@ def numbered(nodes: DataFrame | None, edges: DataFrame) -> tuple[DataFrame, Data
 def downstream(edges: DataFrame, starts: DataFrame, hops: int | None = 1) -> DataFrame:
     """``start, node, distance``: what lies below each of ``starts(id)``.
 
-    ``hops=1`` gives the direct ones in a single join; None goes on until nothing new is found. Each
-    round is one shuffle join from the nodes found last; pairs already found are dropped before
+    ``hops=1`` gives the direct ones in a single join; None goes on until nothing new is found. Rounds
+    work on numbers instead of names. Each is one shuffle join from the nodes found last; pairs already found are dropped before
     the next round, so cycles end and a pair keeps its shortest distance. A start that a cycle
     leads back to is not below itself.
     """
@@ -156,7 +164,8 @@ def downstream(edges: DataFrame, starts: DataFrame, hops: int | None = 1) -> Dat
         direct = edges.select("src", "dst").filter("src <> dst")
         near = roots.join(direct, roots["start"] == direct["src"])
         return near.select("start", F.col("dst").alias("node")).distinct().withColumn("distance", F.lit(1))
-    links = cut(edges.select("src", "dst").filter("src <> dst"), "edges")
+    ids, links = numbered(roots.select(F.col("start").alias("id")), edges)
+    roots = roots.join(ids.withColumnRenamed("id", "start"), "start").select(F.col("n").alias("start"))
     levels = [cut(roots.withColumn("node", F.col("start")), "reach")]
     while hops is None or len(levels) <= hops:
         step = levels[-1].join(links, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
@@ -165,8 +174,13 @@ def downstream(edges: DataFrame, starts: DataFrame, hops: int | None = 1) -> Dat
         if level.isEmpty():
             break
         levels.append(level)
-    found = [x.withColumn("distance", F.lit(d)) for d, x in enumerate(levels)]
-    return reduce(DataFrame.union, found).filter("distance > 0")
+    found = [x.withColumn("distance", F.lit(d)) for d, x in enumerate(levels)][1:]
+    if not found:
+        return starts.sparkSession.createDataFrame([], "start string, node string, distance int")
+    named = reduce(DataFrame.union, found)
+    for end in ("start", "node"):
+        named = named.join(ids.select(F.col("n").alias(end), F.col("id").alias(f"{end}_id")), end)
+    return named.select(F.col("start_id").alias("start"), F.col("node_id").alias("node"), "distance")
 
 
 def node_roles(

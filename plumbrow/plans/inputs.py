@@ -257,11 +257,13 @@ def entity_fks(spark: SparkSession, sf: str) -> DataFrame:
         ("supplier", "supplier", "s_suppkey", "nation", "s_nationkey"),
         ("customer", "customer", "c_custkey", "nation", "c_nationkey"),
         ("orders", "orders", "o_orderkey", "customer", "o_custkey"),
-        ("lineitem", "orders", "l_orderkey", "part", "l_partkey"),
-        ("lineitem", "orders", "l_orderkey", "supplier", "l_suppkey"),
     ):
         out = out.union(refs(*args))
-    return out.toDF("urn", "target_table")
+    order = dataset_urn(F.lit("orders"), F.concat(F.lit("orders_"), _text("l_orderkey")))
+    targets = F.array(
+        F.concat(F.lit("part_"), _text("l_partkey")), F.concat(F.lit("supplier_"), _text("l_suppkey"))
+    )
+    return out.union(table(spark, sf, "lineitem").select(order, F.explode(targets))).toDF("urn", "target_table")
 
 
 def declared_mapping(spark: SparkSession, sf: str) -> DataFrame:

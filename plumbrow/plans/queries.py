@@ -606,7 +606,9 @@ def _starts(spark: SparkSession, sf: str, domain: str) -> DataFrame:
     FROM nation JOIN k_edges ON src = {q.entity('nation', 'n_nationkey')}"""
 )
 def downstream_direct(spark, sf):
-    return lineage.downstream(_entity_edges(spark, sf), _starts(spark, sf, "nation"), hops=1)
+    starts = _starts(spark, sf, "nation")
+    edges = lineage.fk_edges(src.entities(spark, sf), src.entity_fks(spark, sf), upstream=starts)
+    return lineage.downstream(edges, starts, hops=1)
 
 
 @query(

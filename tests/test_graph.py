@@ -1,4 +1,5 @@
 import random
+import collections
 from collections import deque
 
 import pytest
@@ -186,3 +187,27 @@ def test_layer_pairs_are_not_repeated(spark):
         ("d.raw_mart_c", "d.raw_staging_a"), ("d.raw_mart_c", "d.staging_mart_b"), ("d.raw_staging_a", "d.raw_mart_c"),
         ("d.raw_staging_a", "d.staging_mart_b"), ("d.staging_mart_b", "d.raw_mart_c"),
     ]
+
+
+def test_a_wide_layered_graph_keeps_little_state(spark, caplog):
+    """100,000 tables in three layers: leaves with the same neighbours are merged, so state is far below n * n."""
+    n = 100_000
+    edges = spark.range(n).selectExpr("concat('raw', id % 60000) AS src", "concat('staging', id % 30) AS dst").union(
+        spark.range(n).selectExpr("concat('staging', id % 30) AS src", "concat('mart', id % 39970) AS dst")
+    )
+    with caplog.at_level("INFO", logger="plumbrow.operators.graph"):
+        got = {r.id: r.betweenness for r in graph.betweenness(None, edges).filter("betweenness > 0").collect()}
+    of_raw, of_mart = collections.defaultdict(set), collections.defaultdict(set)
+    for i in range(n):
+        of_raw[i % 60000].add(i % 30)
+        of_mart[i % 39970].add(i % 30)
+    raw = collections.Counter(frozenset(x) for x in of_raw.values())
+    mart = collections.Counter(frozenset(x) for x in of_mart.values())
+    want = collections.Counter()
+    for a, x in raw.items():
+        for b, y in mart.items():
+            for v in a & b:
+                want[f"staging{v}"] += x * y / len(a & b)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    state = int(caplog.messages[-1].split(": ")[1].split()[0])
+    assert state < 10 * n
