@@ -171,7 +171,9 @@ def stream_registry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_edges(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = table(spark, sf, "events").select("user_id", _peer().alias("peer")).distinct()
+    """Links of large events only, so that there are roots, sinks, lone datasets and orphans among them."""
+    large = table(spark, sf, "events").filter("value > 150")
+    pairs = large.select("user_id", _peer().alias("peer")).distinct()
     return pairs.filter("peer is not null").select(
         stream_urn(F.col("user_id")).alias("src"), stream_urn(F.col("peer")).alias("dst")
     )

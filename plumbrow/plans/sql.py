@@ -113,7 +113,7 @@ _PEER = "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)"
 STREAMS = f"""users AS (SELECT user_id, {STREAM_URN.format('user_id')} AS urn, {kind_domain('user_id')} AS domain,
   'user_' || CAST(user_id AS VARCHAR) AS "table", {kind_schema('user_id')} AS columns
   FROM (SELECT DISTINCT user_id FROM events)),
-links AS (SELECT DISTINCT user_id AS src, {_PEER} AS dst FROM events WHERE {_PEER} IS NOT NULL),
+links AS (SELECT DISTINCT user_id AS src, {_PEER} AS dst FROM events WHERE {_PEER} IS NOT NULL AND value > 150),
 g_edges AS (SELECT src, dst FROM links WHERE src <> dst),
 g_nodes AS (SELECT user_id AS id FROM users UNION SELECT src FROM links UNION SELECT dst FROM links)"""
 
@@ -132,15 +132,16 @@ FRESHNESS = f"""fresh AS (SELECT user_id, CAST(max(epoch_us(ts) // 1000) AS BIGI
   ({_AS_OF_MS} - max(epoch_us(ts) // 1000)) / 3600000.0::DOUBLE AS hours_stale FROM events GROUP BY user_id)"""
 
 # The number of shortest paths of length d is the number of walks of that length where d is the
-# distance. Six steps are more than the diameter of this graph.
+# distance. STEPS are more than the diameter of this graph, which the tests check.
+STEPS = 12
 CENTRALITY = STREAMS + """,
 w1 AS (SELECT src AS s, dst AS t, 1.0::DOUBLE AS c, 1 AS d FROM g_edges),
 """ + "\n".join(
     f"w{k} AS (SELECT w.s, e.dst AS t, sum(w.c) AS c, {k} AS d FROM w{k - 1} w JOIN g_edges e ON w.t = e.src GROUP BY 1, 2),"
-    for k in range(2, 7)
+    for k in range(2, STEPS + 1)
 ) + """
 sp AS (SELECT s, t, min(d) AS d, arg_min(c, d) AS sg FROM ("""+ " UNION ALL ".join(
-    f"SELECT * FROM w{k}" for k in range(1, 7)
+    f"SELECT * FROM w{k}" for k in range(1, STEPS + 1)
 ) + """) WHERE s <> t GROUP BY s, t),
 between AS (SELECT a.t AS v, sum(a.sg * b.sg / x.sg) AS total FROM sp a JOIN sp b ON a.t = b.s
   JOIN sp x ON x.s = a.s AND x.t = b.t AND x.d = a.d + b.d WHERE a.s <> b.t GROUP BY a.t),

@@ -31,3 +31,18 @@ def test_file_times_are_those_of_the_files(spark, sf_dir):
 
 def test_entry_finds_defects(spark):
     assert entry_points.entry(spark).count() > 0
+
+
+def test_the_stream_graph_is_within_the_steps_of_its_sql(spark):
+    from plumbrow.operators import lineage
+    from plumbrow.plans import inputs, sql
+    from tests.compare import TESTDATA
+
+    sf = f"{TESTDATA}/sf0.01"
+    edges = inputs.stream_edges(spark, sf)
+    far = lineage.downstream(edges, edges.selectExpr("src AS id"), hops=None).selectExpr("max(distance)").first()[0]
+    assert 3 < far < sql.STEPS
+    roles = QUERIES["lineage_node_roles"](spark, sf).selectExpr(
+        *(f"count_if({c}) AS {c}" for c in ("is_root", "is_sink", "is_isolated", "is_orphan"))
+    )
+    assert all(n > 0 for n in roles.first())
