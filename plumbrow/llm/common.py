@@ -35,12 +35,15 @@ def batches_of(df: DataFrame, f: Callable[[Batches], Batches], schema: str) -> D
     return df.mapInArrow(f, schema)
 
 
-def bounded_sample(rows: DataFrame, label: str, doc_id: str, most: int) -> DataFrame:
-    """About ``most`` rows of each label at most, picked by a hash of the id; all rows of a smaller label.
+def bounded_sample(rows: DataFrame, label: str, doc_id: str, most: int) -> tuple[dict, DataFrame]:
+    """The number of rows of each label, and about ``most`` rows of each at most, picked by a hash of the id;
+    all rows of a smaller label.
 
-    The counts are over all rows. ``share`` is the part of its label's rows that a row stands for.
+    The counts are over all rows; one number for each label comes to the driver. Nothing else is shuffled.
+    ``share`` is the part of its label's rows that a row stands for.
     """
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("rows_of_label"))
+    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    shares = [x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, most / n)))]
+    share = F.create_map(*shares)[F.col(label)] if shares else F.lit(1.0)
     place = F.pmod(F.xxhash64(F.col(doc_id), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("rows_of_label"))
-    return rows.join(counts, label).withColumn("share", share).filter(place < F.col("share")).drop("rows_of_label")
+    return counts, rows.withColumn("share", share).filter(place < F.col("share"))

@@ -1,30 +1,56 @@
-"""Hashed n-gram indicators of a text: its words, and the shapes of its tokens."""
+"""Hashed n-gram indicators of texts: their words, and the shapes of their tokens."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import xxhash
 
 BITS = 20
 DIMENSIONS = 1 << BITS
-MOST_CACHED = 400_000
-_RUNS = (
-    (re.compile(r"[^\W\d_a-zßà-öø-ÿ]{2,}"), "A"),  # two capitals or letters without case
-    (re.compile(r"[^\W\d_]+"), "a"),
-    (re.compile(r"\d+"), "0"),
-    (re.compile(r"(\W)\1+"), r"\1+"),
-)
+MOST_CACHED = 500_000
+TOKENS_AT_ONCE = 200_000  # texts are worked on together up to so many tokens; a longer text alone
+_REPEATED = np.uint64(0x51ED270B51ED270B)
+_RUN = re.compile(r"(.)\1+")
+
+
+class _Signs(dict):
+    """The sign of a character in a shape: A, a, 0, or the character."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = sign = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return sign
+
+
+_SIGNS = _Signs()
 
 
 def shape_of(token: str) -> str:
-    """Runs of capitals, of letters and of digits as one sign each, the rest as it is, 8 signs at most."""
-    if token.isalpha():
-        return "A" if len(token) > 1 and token.isupper() else "C" if token[0].isupper() else "a"
-    for pattern, sign in _RUNS:
-        token = pattern.sub(sign, token)
-    return token[:8]
+    """Runs of capitals, of other letters and of digits as one sign each, runs of others as two, 8 signs at most."""
+    if token.isalpha() and token[1:].islower():
+        return "Aa" if token[0].isupper() else "a"
+    return _RUN.sub(lambda m: m[1] if m[1] in "Aa0" else m[1] * 2, token.translate(_SIGNS))[:8]
+
+
+class _Tokens(dict):
+    """Numbers of tokens, with the hashes of their words and shapes in order of the numbers."""
+
+    def __init__(self) -> None:
+        self.words: list[int] = []
+        self.shapes: list[int] = []
+        self._of_shape: dict[str, int] = {}
+
+    def __missing__(self, token: str) -> int:
+        self[token] = n = len(self.words)
+        self.words.append(xxhash.xxh64_intdigest(token.strip(".,;:!?()[]\"'").lower(), 2))
+        shape = shape_of(token)
+        if (h := self._of_shape.get(shape)) is None:
+            h = self._of_shape[shape] = xxhash.xxh64_intdigest(shape, 3)
+        self.shapes.append(h)
+        return n
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -33,42 +59,69 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Indicators:
-    """Feature numbers of texts. Words are looked up once; the memory of words is dropped when it is full."""
+    """Feature numbers of texts. Each token is looked at once, until the memory of tokens is full and begins anew.
 
-    def __init__(self) -> None:
-        self._known: dict[str, tuple[int, int, int]] = {}
-
-    def _of_token(self, token: str) -> tuple[int, int, int]:
-        if len(self._known) > MOST_CACHED:
-            self._known.clear()
-        bare = token.strip(".,;:!?()[]\"'").lower()
-        found = (
-            xxhash.xxh64_intdigest(token, 1),
-            xxhash.xxh64_intdigest(bare, 2),
-            xxhash.xxh64_intdigest(shape_of(token), 3),
-        )
-        self._known[token] = found
-        return found
-
-    def __call__(self, text: str) -> np.ndarray:
-        """Sorted distinct numbers: words, pairs of words, shapes in runs of 1 to 3, a token that repeats
-        the one before having a shape of its own; and a number that every text has."""
-        known, new = self._known, self._of_token
-        tokens = text.split()
-        if not tokens:
-            return np.zeros(1, np.int64)
-        flat = np.array([known.get(t) or new(t) for t in tokens], np.uint64)
-        whole, word, shape = flat[:, 0], flat[:, 1], flat[:, 2]
-        shape = shape.copy()
-        shape[1:][whole[1:] == whole[:-1]] = np.uint64(0x51ED270B)
-        three, five = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-        two_shapes = _mix(shape[:-1] * three + shape[1:])
-        found = [
-            word,
-            _mix(word[:-1] * five + word[1:]),
-            shape,
-            two_shapes,
-            _mix(two_shapes[:-1] * three + shape[2:]),
-        ]
-        h = np.concatenate(found) >> np.uint64(64 - BITS)
-        return np.unique(np.concatenate([np.zeros(1, np.int64), h.astype(np.int64)]))
+    Features are words, pairs of words, and shapes in runs of 1 to 3, where a token that repeats the one before
+    has a shape of its own; and feature 0, which every text has. ``wanted`` marks the features to keep.
+    """
+
+    def __init__(self, wanted: np.ndarray | None = None) -> None:
+        self._wanted = wanted
+        self._forget()
+
+    def _forget(self) -> None:
+        self._tokens, self._words, self._shapes = _Tokens(), np.empty(0, np.uint64), np.empty(0, np.uint64)
+
+    def __call__(self, texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """In the order of the texts: how many, their features, distinct and sorted for each text one after the
+        other, and where each text's begin."""
+        ids: list[np.ndarray] = []
+        size = 0
+        for text in texts:
+            tokens = text.split()
+            ids.append(np.fromiter(map(self._tokens.__getitem__, tokens), np.int64, len(tokens)))
+            size += len(tokens)
+            if size >= TOKENS_AT_ONCE:
+                yield self._features(ids)
+                ids, size = [], 0
+        if ids:
+            yield self._features(ids)
+
+    def _features(self, ids: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+        known = self._tokens
+        if len(self._words) < len(known.words):
+            self._words = np.concatenate([self._words, np.array(known.words[len(self._words) :], np.uint64)])
+            self._shapes = np.concatenate([self._shapes, np.array(known.shapes[len(self._shapes) :], np.uint64)])
+        n = len(ids)
+        doc = np.repeat(np.arange(n, dtype=np.int64), [len(x) for x in ids]) << BITS
+        flat = np.concatenate(ids)
+        word, shape = self._words[flat], self._shapes[flat]
+        two, three = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
+        shape[1:][(flat[1:] == flat[:-1]) & two] = _REPEATED
+        a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+        shapes = _mix(shape[:-1] * a + shape[1:])
+        found = [np.arange(n, dtype=np.int64) << BITS]
+        for h, d in (
+            (word, doc),
+            (shape, doc),
+            (_mix(word[:-1] * b + word[1:])[two], doc[:-1][two]),
+            (shapes[two], doc[:-1][two]),
+            (_mix(shapes[:-1] * a + shape[2:])[three], doc[:-2][three]),
+        ):
+            feature = (h >> np.uint64(64 - BITS)).astype(np.int64)
+            if self._wanted is not None:
+                kept = self._wanted[feature]
+                feature, d = feature[kept], d[kept]
+            found.append(d | feature)
+        keys = np.unique(np.concatenate(found))
+        starts = np.searchsorted(keys, np.arange(n, dtype=np.int64) << BITS)
+        if len(known.words) > MOST_CACHED:
+            self._forget()
+        return n, keys & (DIMENSIONS - 1), starts
+
+    def lists(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The features of each text."""
+        out: list[np.ndarray] = []
+        for _, features, starts in self(texts):
+            out += np.split(features, starts[1:])
+        return out

@@ -95,11 +95,11 @@ def fit(labelled: DataFrame, most: int = 4000, lang: str = "lang", doc_id: str =
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("doc_id"), text_of(text).alias("text")
     )
-    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    counts, sample = bounded_sample(rows, "lang", "doc_id", most)
+    langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPTS), 0), bool))
-    sample = bounded_sample(rows, "lang", "doc_id", most).select("lang", "text")
-    grams, scripts = _counts(sample, langs)
+    grams, scripts = _counts(sample.select("lang", "text"), langs)
     # Smoothed as if each bucket had been seen as often as in a language of average mix, 1/50 per bucket at least.
     prior = (grams.sum(axis=1, keepdims=True) + 1) / (grams.sum() + BUCKETS)
     logs = np.log((grams + 50 * prior) / (grams.sum(axis=0) + 50))

@@ -53,7 +53,8 @@ def _descend(x: list[np.ndarray], y: np.ndarray, share: np.ndarray, domains: int
 
 
 def fit_domains(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     most: int = 2500,
     fewest: int = 3,
     epochs: int = 8,
@@ -61,21 +62,20 @@ def fit_domains(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> tuple[Domains, np.ndarray]:
-    """A classifier of domains from a labelled table: up to about ``most`` rows of each label, picked by a hash
-    of the id, whose features meet in one task. Null labels do not count; without labels there are no domains."""
-    rows = labelled.filter(F.col(label).isNotNull()).select(
-        F.col(label).cast("string").alias("label"), F.col(doc_id).alias("doc_id"), text_of(text).alias("text")
-    )
-    names = sorted(r.label for r in rows.select("label").distinct().collect())
-    if not names:
-        return Domains([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32)), np.zeros(0)
+    """A classifier of domains from a table of labels: up to about ``most`` rows of each label, picked by a hash
+    of the id, go to every task of ``docs``, and their features meet in one. Null labels do not count; without
+    labels there are no domains."""
+    known = labels.filter(F.col(label).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("string").alias("label"))
+    counts, chosen = bounded_sample(known, "label", "doc_id", most)
+    names = sorted(counts)
     number = {x: i for i, x in enumerate(names)}
-    sample = bounded_sample(rows, "label", "doc_id", most).select("doc_id", "label", "share", "text")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "share", "text")
 
     def counted(batches: Batches) -> Batches:
         of = Indicators()
         for batch in batches:
-            x = pa.array([of(t) for t in batch.column(3).to_pylist()], pa.list_(pa.int64()))
+            x = pa.array(of.lists(batch.column(3).to_pylist()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], x], ["doc_id", "label", "share", "x"])
 
     def fitted(batches: Batches) -> Batches:
@@ -96,6 +96,9 @@ def fit_domains(
 
     features = batches_of(sample, counted, "doc_id bigint, label string, share double, x array<bigint>")
     got = batches_of(features.repartition(1), fitted, "at array<bigint>, w array<double>, prior array<double>").first()
+    if got is None or not got.w:  # no labelled text, or none with a feature that counts
+        names = []
+        return Domains(names, np.zeros(0, np.int64), np.zeros((0, 0), np.float32)), np.zeros(0)
     w = np.array(got.w, np.float32).reshape(-1, len(names))
     return Domains(names, np.array(got.at, np.int64), w), np.array(got.prior)
 
@@ -115,15 +118,18 @@ def memberships(
         (names, at, w), prior = shared.value
         place = np.full(DIMENSIONS, len(at), np.int64)
         place[at] = np.arange(len(at))
-        w = np.concatenate([w, np.zeros((1, len(names)), np.float32)])
-        of = Indicators()
+        # One more row, of zeros, for features that do not count; one more column counts those that do.
+        w = np.concatenate([w, np.ones((len(at), 1), np.float32)], axis=1)
+        w = np.concatenate([w, np.zeros((1, len(names) + 1), np.float32)])
+        of = Indicators(place < len(at))
         for batch in batches:
-            tokens, posteriors = [], []
-            for t in batch.column(2).to_pylist():
-                rows = place[of(t)]
-                n = max(1, int((rows < len(at)).sum()))
-                posteriors.append(_softmax(w[rows].sum(axis=0) / np.sqrt(n) + prior))
-                tokens.append(len(t.split()))
+            texts, posteriors = batch.column(2).to_pylist(), []
+            for _, x, starts in of(texts):
+                sums = np.add.reduceat(w[place[x]], starts, axis=0, dtype=np.float64)
+                z = sums[:, :-1] / np.sqrt(np.maximum(1, sums[:, -1:])) + prior
+                e = np.exp(z - z.max(axis=1, initial=-1e9, keepdims=True))
+                posteriors += list(e / e.sum(axis=1, keepdims=True))
+            tokens = [len(t.split()) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(posteriors, pa.list_(pa.float64())), batch.column(3)],
                 ["doc_id", "source", "tokens", "posteriors", "carried"],
@@ -254,7 +260,7 @@ def rated(members: DataFrame, domain_names: Sequence[str], source_shares: Mappin
 
 def mix(
     docs: DataFrame,
-    labelled: DataFrame,
+    labels: DataFrame,
     domain_shares: Mapping[str, float],
     source_shares: Mapping[str, float] | None = None,
     power: float = 0.5,
@@ -266,14 +272,14 @@ def mix(
 ) -> DataFrame:
     """``doc_id, source, tokens, posteriors, carried, rate, copies`` for each row of ``docs``.
 
-    ``labelled`` has an id, a text and a domain for some documents; its classifier gives each document
+    ``labels`` has an id and a domain for some documents; the classifier of these gives each document
     ``posteriors``, in the order of the domains' names. ``domain_shares`` and ``source_shares`` (by default the
     shares of tokens to the power ``power``) are the wanted shares of all tokens; labelled domains without one
     are wanted at 0, and shares of domains that no row is labelled with are spread over the others. ``rate`` is 0 or more; ``copies`` is the rate rounded up or down by a hash of the id so
     that it is right on average. Null and empty texts have no tokens and keep a rate by their
     memberships; a null source belongs to no source's total. An empty table gives an empty one.
     """
-    domains = fit_domains(labelled, label=label, doc_id=doc_id, text=text)
+    domains = fit_domains(docs, labels, label=label, doc_id=doc_id, text=text)
     members = cut(memberships(docs, domains, source, doc_id, text, carry), "memberships")
     if source_shares is None:
         totals = members.filter(F.col("source").isNotNull()).groupBy("source").agg(F.sum("tokens").alias("n")).collect()

@@ -102,7 +102,8 @@ def _margin(x: np.ndarray, weights: np.ndarray, ratios: np.ndarray) -> float:
 
 
 def fit(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     most: int = 4000,
     fewest: int = 3,
     cost: float = 1.0,
@@ -111,20 +112,21 @@ def fit(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> Model:
-    """Learn from up to about ``most`` rows of each label (0 or 1), picked by a hash of the id.
+    """Learn from up to about ``most`` rows of each label (0 or 1) in ``labels``, picked by a hash of the id.
 
-    The sample's features, not its texts, meet in one task: 2 * ``most`` rows at most on average. Rows
-    with a null label do not count. With one label only, or none, every text gets the same score.
+    The sample's ids go to every task of ``docs`` and its features, not its texts, meet in one: 2 * ``most``
+    rows at most on average. Rows with a null label do not count. With one label only, or none,
+    every text gets the same score.
     """
-    rows = labelled.filter(F.col(label).isin(0, 1)).select(
-        F.col(label).cast("int").alias("label"), F.col(doc_id).alias("doc_id"), text_of(text).alias("text")
-    )
-    sample = bounded_sample(rows, "label", "doc_id", most).select("doc_id", "label", "share", "text")
+    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
+    _, chosen = bounded_sample(known, "label", "doc_id", most)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "share", "text")
 
     def counted(batches: Batches) -> Batches:
         of = Indicators()
         for batch in batches:
-            x = [of(t) for t in batch.column(3).to_pylist()]
+            x = of.lists(batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, pa.list_(pa.int64()))], ["doc_id", "label", "share", "x"])
 
     def fitted(batches: Batches) -> Batches:
@@ -165,9 +167,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, doc_id: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Batches) -> Batches:
-        m, of = shared.value, Indicators()
+        m = shared.value
+        of, squares = Indicators(m.ratios != 0), m.ratios.astype(np.float64) ** 2
         for batch in batches:
-            margins = np.array([_margin(of(t), m.weights, m.ratios) for t in batch.column(1).to_pylist()])
+            margins = np.empty(0)
+            for _, x, starts in of(batch.column(1).to_pylist()):
+                length = np.sqrt(np.add.reduceat(squares[x], starts))
+                part = np.add.reduceat(m.weights[x].astype(np.float64), starts) / np.maximum(length, 1e-12)
+                margins = np.concatenate([margins, part])
             p = 1 / (1 + np.exp(-np.clip(m.slope * margins + m.offset, -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(p, pa.float64()), pa.array(p >= threshold).cast(pa.int32())],

@@ -49,8 +49,7 @@ def domain_labels(labels: DataFrame) -> DataFrame:
 @query()
 def op4_mixing(spark, sf):
     docs = table(spark, sf, "documents")
-    labelled = docs.select("doc_id", "text").join(domain_labels(table(spark, sf, "labels")), "doc_id")
-    mixed = mixing.mix(docs, labelled, DOMAIN_SHARES)
+    mixed = mixing.mix(docs, domain_labels(table(spark, sf, "labels")), DOMAIN_SHARES)
     return mixed.select("doc_id", "source", "tokens", "posteriors", "rate", "copies")
 
 
@@ -136,6 +135,6 @@ def op9_token_counts(spark, sf):
 def op10_quality_classifier(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     known = labels.filter(remainder("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
-    model = nbsvm.fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    model = nbsvm.fit(docs, known)
     found = nbsvm.score(docs, model)
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
