@@ -2,126 +2,93 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
-import xxhash
+
+from plumbrow.llm import tokens
 
 BITS = 20
 DIMENSIONS = 1 << BITS
-MOST_CACHED = 500_000
-TOKENS_AT_ONCE = 200_000  # texts are worked on together up to so many tokens; a longer text alone
 _REPEATED = np.uint64(0x51ED270B51ED270B)
-_RUN = re.compile(r"(.)\1+")
-
-
-class _Signs(dict):
-    """The sign of a character in a shape: A, a, 0, or the character."""
-
-    def __missing__(self, code: int) -> str:
-        c = chr(code)
-        self[code] = sign = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        return sign
-
-
-_SIGNS = _Signs()
-
-
-def shape_of(token: str) -> str:
-    """Runs of capitals, of other letters and of digits as one sign each, runs of others as two, 8 signs at most."""
-    if token.isalpha() and token[1:].islower():
-        return "Aa" if token[0].isupper() else "a"
-    return _RUN.sub(lambda m: m[1] if m[1] in "Aa0" else m[1] * 2, token.translate(_SIGNS))[:8]
-
-
-class _Tokens(dict):
-    """Numbers of tokens, with the hashes of their words and shapes in order of the numbers."""
 
-    def __init__(self) -> None:
-        self.words: list[int] = []
-        self.shapes: list[int] = []
-        self._of_shape: dict[str, int] = {}
+_SPACE = np.zeros(256, bool)
+_SPACE[list(tokens.SPACES)] = True
+# Letters A-Z count as a-z and punctuation counts nothing, so a word is itself before a comma too.
+_WORD = tokens.table({c: 0 for c in tokens.SPACES + tokens.PUNCTUATION})
+_WORD[65:91] = _WORD[97:123]
+# One sign for capitals, one for other letters (bytes of other alphabets are letters), one for digits.
+_SIGN = np.arange(256, dtype=np.uint8)
+_SIGN[65:91], _SIGN[97:123], _SIGN[128:], _SIGN[48:58], _SIGN[list(tokens.SPACES)] = 65, 97, 97, 48, 0
+_RUNS_COUNT_ONCE = np.isin(_SIGN, [0, 48, 65, 97])
+_SIGN_VALUE = tokens.table()
 
-    def __missing__(self, token: str) -> int:
-        self[token] = n = len(self.words)
-        self.words.append(xxhash.xxh64_intdigest(token.strip(".,;:!?()[]\"'").lower(), 2))
-        shape = shape_of(token)
-        if (h := self._of_shape.get(shape)) is None:
-            h = self._of_shape[shape] = xxhash.xxh64_intdigest(shape, 3)
-        self.shapes.append(h)
-        return n
 
+class Found(NamedTuple):
+    """Features of some texts in a row, distinct and sorted within each text."""
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(27))
+    features: np.ndarray
+    starts: np.ndarray  # of each text's features
+    tokens: np.ndarray  # how many words each text has
 
 
 class Indicators:
-    """Feature numbers of texts. Each token is looked at once, until the memory of tokens is full and begins anew.
+    """Feature numbers of UTF-8 texts.
 
-    Features are words, pairs of words, and shapes in runs of 1 to 3, where a token that repeats the one before
-    has a shape of its own; and feature 0, which every text has. ``wanted`` marks the features to keep.
+    A token is what stands between white space. Features are words, pairs of words, and the shapes of
+    tokens in runs of 1 to 3, and feature 0, which every text has. A shape has one sign for a run of
+    capitals, of other letters or of digits and up to two for a run of another character; a token that repeats the
+    one before has a shape of its own. ``wanted`` marks the features to keep.
     """
 
     def __init__(self, wanted: np.ndarray | None = None) -> None:
-        self._wanted = wanted
-        self._forget()
-
-    def _forget(self) -> None:
-        self._tokens, self._words, self._shapes = _Tokens(), np.empty(0, np.uint64), np.empty(0, np.uint64)
-
-    def __call__(self, texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """In the order of the texts: how many, their features, distinct and sorted for each text one after the
-        other, and where each text's begin."""
-        ids: list[np.ndarray] = []
-        size = 0
-        for text in texts:
-            tokens = text.split()
-            ids.append(np.fromiter(map(self._tokens.__getitem__, tokens), np.int64, len(tokens)))
-            size += len(tokens)
-            if size >= TOKENS_AT_ONCE:
-                yield self._features(ids)
-                ids, size = [], 0
-        if ids:
-            yield self._features(ids)
-
-    def _features(self, ids: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
-        known = self._tokens
-        if len(self._words) < len(known.words):
-            self._words = np.concatenate([self._words, np.array(known.words[len(self._words) :], np.uint64)])
-            self._shapes = np.concatenate([self._shapes, np.array(known.shapes[len(self._shapes) :], np.uint64)])
-        n = len(ids)
-        doc = np.repeat(np.arange(n, dtype=np.int64), [len(x) for x in ids]) << BITS
-        flat = np.concatenate(ids)
-        word, shape = self._words[flat], self._shapes[flat]
-        two, three = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
-        shape[1:][(flat[1:] == flat[:-1]) & two] = _REPEATED
+        self._wanted, self._hash = wanted, tokens.Hasher()
+
+    def __call__(self, texts: Sequence[bytes]) -> Iterator[Found]:
+        """All texts in their order, some at a time."""
+        for first, end in tokens.chunks(texts):
+            yield self._features(texts[first:end])
+
+    def _features(self, texts: Sequence[bytes]) -> Found:
+        data, text_starts = tokens.joined(texts)
+        starts, ends = tokens.bounds(_SPACE[data])
+        sign = _SIGN[data]
+        kept = sign != 0
+        kept[1:] &= sign[1:] != sign[:-1]
+        again = ~_RUNS_COUNT_ONCE[data]
+        again[1:] &= sign[1:] == sign[:-1]
+        again[2:] &= sign[2:] != sign[:-2]
+        again[:1] = False
+        kept |= again
+        place = np.concatenate([np.zeros(1, np.int64), np.cumsum(kept)])
+        word = self._hash(_WORD[data], starts, ends)
+        shape = self._hash(_SIGN_VALUE[sign[kept]], place[starts], place[ends])
+        n = len(texts)
+        number = np.searchsorted(text_starts, starts, "right") - 1
+        text = number << BITS
+        two, three = text[1:] == text[:-1], text[2:] == text[:-2]
+        repeated = (word[1:] == word[:-1]) & (shape[1:] == shape[:-1]) & two
+        shape[1:][repeated] = _REPEATED
         a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-        shapes = _mix(shape[:-1] * a + shape[1:])
+        shapes = tokens.mixed(shape[:-1] * a + shape[1:])
         found = [np.arange(n, dtype=np.int64) << BITS]
-        for h, d in (
-            (word, doc),
-            (shape, doc),
-            (_mix(word[:-1] * b + word[1:])[two], doc[:-1][two]),
-            (shapes[two], doc[:-1][two]),
-            (_mix(shapes[:-1] * a + shape[2:])[three], doc[:-2][three]),
+        for h, t in (
+            (word, text),
+            (shape, text),
+            (tokens.mixed(word[:-1] * b + word[1:])[two], text[:-1][two]),
+            (shapes[two], text[:-1][two]),
+            (tokens.mixed(shapes[:-1] * a + shape[2:])[three], text[:-2][three]),
         ):
             feature = (h >> np.uint64(64 - BITS)).astype(np.int64)
             if self._wanted is not None:
-                kept = self._wanted[feature]
-                feature, d = feature[kept], d[kept]
-            found.append(d | feature)
+                mask = self._wanted[feature]
+                feature, t = feature[mask], t[mask]
+            found.append(t | feature)
         keys = np.unique(np.concatenate(found))
-        starts = np.searchsorted(keys, np.arange(n, dtype=np.int64) << BITS)
-        if len(known.words) > MOST_CACHED:
-            self._forget()
-        return n, keys & (DIMENSIONS - 1), starts
+        at = np.searchsorted(keys, np.arange(n, dtype=np.int64) << BITS)
+        return Found(keys & (DIMENSIONS - 1), at, np.bincount(number, minlength=n))
 
-    def lists(self, texts: Sequence[str]) -> list[np.ndarray]:
+    def lists(self, texts: Sequence[bytes]) -> list[np.ndarray]:
         """The features of each text."""
-        out: list[np.ndarray] = []
-        for _, features, starts in self(texts):
-            out += np.split(features, starts[1:])
-        return out
+        return [x for found in self(texts) for x in np.split(found.features, found.starts[1:])]

@@ -9,10 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbrow.llm.common import Batches, batches_of, bounded_sample, cut, text_of
+from plumbrow.llm.common import Batches, batches_of, bounded_sample, cut, utf8_of
 from plumbrow.llm.features import DIMENSIONS, Indicators
 
 
+SMALLEST = 0.01  # errors of targets below this share of all tokens are measured against it
+
+
 class Domains(NamedTuple):
     names: list[str]
     at: np.ndarray  # features that count
@@ -36,7 +39,7 @@ def _descend(x: list[np.ndarray], y: np.ndarray, share: np.ndarray, domains: int
     w, seen = np.zeros((len(at), domains)), np.full((len(at), domains), 1e-2)
     of_label = np.array([(1 / share[y == k]).sum() if (y == k).any() else 1.0 for k in range(domains)])
     # The prior is that of the corpus; each row weighs 1, and the logs of the label shares are put on top.
-    prior = np.log(of_label / of_label.sum()) - np.log(np.maximum(1, np.bincount(y, minlength=domains)) / max(1, len(y)))
+    prior = np.log(of_label / of_label.sum()) - np.log(np.maximum(1, np.bincount(y.astype(np.int64), minlength=domains)) / max(1, len(y)))
     random = np.random.default_rng(0)
     for _ in range(epochs):
         for i in random.permutation(len(rows)):
@@ -69,7 +72,7 @@ def fit_domains(
     counts, chosen = bounded_sample(known, "label", "doc_id", most)
     names = sorted(counts)
     number = {x: i for i, x in enumerate(names)}
-    texts = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), utf8_of(text).alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "share", "text")
 
     def counted(batches: Batches) -> Batches:
@@ -111,7 +114,8 @@ def memberships(
     text: str = "text",
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``doc_id, source, tokens, posteriors, carried`` for each row of ``docs``; ``tokens`` counts words."""
+    """``doc_id, source, tokens, posteriors, carried`` for each row of ``docs``; ``tokens`` counts what stands
+    between ASCII white space."""
     shared = docs.sparkSession.sparkContext.broadcast(domains)
 
     def predicted(batches: Batches) -> Batches:
@@ -123,22 +127,22 @@ def memberships(
         w = np.concatenate([w, np.zeros((1, len(names) + 1), np.float32)])
         of = Indicators(place < len(at))
         for batch in batches:
-            texts, posteriors = batch.column(2).to_pylist(), []
-            for _, x, starts in of(texts):
+            counts, posteriors = [], []
+            for x, starts, n in of(batch.column(2).to_pylist()):
+                counts += n.tolist()
                 sums = np.add.reduceat(w[place[x]], starts, axis=0, dtype=np.float64)
                 z = sums[:, :-1] / np.sqrt(np.maximum(1, sums[:, -1:])) + prior
                 e = np.exp(z - z.max(axis=1, initial=-1e9, keepdims=True))
                 posteriors += list(e / e.sum(axis=1, keepdims=True))
-            tokens = [len(t.split()) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(posteriors, pa.list_(pa.float64())), batch.column(3)],
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(posteriors, pa.list_(pa.float64())), batch.column(3)],
                 ["doc_id", "source", "tokens", "posteriors", "carried"],
             )
 
     rows = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
-        text_of(text).alias("text"),
+        utf8_of(text).alias("text"),
         (F.struct(*carry) if carry else F.lit(None).cast("int")).alias("carried"),
     )
     carried = rows.schema["carried"].dataType.simpleString()
@@ -164,7 +168,7 @@ class Fit(NamedTuple):
 def _memberships_matrix(batch: pa.RecordBatch, sources: dict[str, int], domains: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, targets): posteriors, then 1 under the row's source; and the rows' tokens."""
     p = np.zeros((batch.num_rows, domains + len(sources)))
-    p[:, :domains] = batch.column(2).flatten().to_numpy().reshape(-1, domains)
+    p[:, :domains] = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, domains)
     for i, s in enumerate(batch.column(0).to_pylist()):
         if s in sources:
             p[i, domains + sources[s]] = 1.0
@@ -193,7 +197,8 @@ def fit_rates(
 ) -> Fit:
     """Nonnegative rates whose expected tokens come close to shares of all tokens, by domain and by source.
 
-    Least squares on the relative errors plus ``ridge`` times the squared distance of rates from 1, by
+    Shares of sources are of the tokens of these sources. Least squares on the errors relative to the
+    targets (to SMALLEST of all tokens, for smaller targets), plus ``ridge`` times the squared distance of rates from 1, by
     accelerated projected gradients: a round sums tokens * memberships * rates over all documents
     and sends one number per target to the driver. Rates are not stored: each task recomputes them
     from the gradients so far. Ends after ``rounds``, or when all targets are met to ``close``.
@@ -223,9 +228,9 @@ def fit_rates(
     first = summed(lambda p, t: np.concatenate([[t.sum()], t @ p, ((p * t[:, None]).T @ p).ravel()]))
     everything, plain, square = first[0], first[1 : 1 + k], first[1 + k :].reshape(k, k)
     of_domains = sum(domain_shares.get(n, 0.0) for n in domain_names) or 1.0
-    shares = np.array([*(domain_shares.get(n, 0.0) / of_domains for n in domain_names), *source_shares.values()])
-    targets = shares * everything
-    scale = np.maximum(targets, 1e-6 * max(everything, 1.0))
+    wanted = np.array([domain_shares.get(n, 0.0) for n in domain_names]) / of_domains * everything
+    targets = np.concatenate([wanted, np.array(list(source_shares.values())) * plain[domains:].sum()])
+    scale = np.maximum(targets, SMALLEST * max(everything, 1.0))
     largest = float(np.linalg.eigvalsh(square / np.sqrt(np.outer(scale, scale)))[-1]) if everything and k else 1.0
     step = 1.0 / (largest + ridge)
     gradients: list[np.ndarray] = []
@@ -237,7 +242,7 @@ def fit_rates(
         gradients.append(error)
         so_far = np.array(gradients)
         at = summed(lambda p, t: (t * _replayed(p, so_far, step, ridge)[1]) @ p)[:k]
-    history = np.array(gradients).reshape(-1, k)
+    history = np.array(gradients).reshape(len(gradients), k)
     reached = summed(lambda p, t: (t * _replayed(p, history, step, ridge)[0]) @ p)[:k]
     names = [*(f"domain:{n}" for n in domain_names), *(f"source:{s}" for s in source_shares)]
     return Fit(names, targets, reached, history, step, ridge)

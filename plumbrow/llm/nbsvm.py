@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbrow.llm.common import Batches, batches_of, bounded_sample, text_of
+from plumbrow.llm.common import Batches, batches_of, bounded_sample, utf8_of
 from plumbrow.llm.features import DIMENSIONS, Indicators
 
 
@@ -120,7 +120,7 @@ def fit(
     """
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
     _, chosen = bounded_sample(known, "label", "doc_id", most)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), utf8_of(text).alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "share", "text")
 
     def counted(batches: Batches) -> Batches:
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, doc_id: str = "
         of, squares = Indicators(m.ratios != 0), m.ratios.astype(np.float64) ** 2
         for batch in batches:
             margins = np.empty(0)
-            for _, x, starts in of(batch.column(1).to_pylist()):
+            for x, starts, _ in of(batch.column(1).to_pylist()):
                 length = np.sqrt(np.add.reduceat(squares[x], starts))
                 part = np.add.reduceat(m.weights[x].astype(np.float64), starts) / np.maximum(length, 1e-12)
                 margins = np.concatenate([margins, part])
@@ -181,5 +181,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, doc_id: str = "
                 ["doc_id", "score", "predicted"],
             )
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8_of(text).alias("text"))
     return batches_of(rows, scored, "doc_id bigint, score double, predicted int")
