@@ -10,6 +10,8 @@ would throw on junk.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import types as T
 
 STRICT, COMPAT = "strict", "compat"
@@ -145,3 +147,12 @@ def is_later(a: str, ta: T.DataType, b: str, tb: T.DataType) -> str:
 def seconds_between(start: str, end: str) -> str:
     """``end`` - ``start`` of two timestamps, in seconds with fractions."""
     return f"(unix_micros({end}) - unix_micros({start})) / 1000000D"
+
+
+def field_of(schema: T.StructType | Sequence[T.StructField], name: str) -> T.StructField:
+    """The column of this name; if there is none, that of this name in another case, as SQL finds it."""
+    fields = list(schema)
+    found = [f for f in fields if f.name == name] or [f for f in fields if f.name.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found) or 'no'} columns named {name!r} among {[f.name for f in fields]}")
+    return found[0]

@@ -32,7 +32,7 @@ def _epoch_ms(as_of: str | datetime) -> int:
 
 
 def _last_ms(df: DataFrame, time_col: str) -> str:
-    c, dtype = casts.quote(time_col), df.schema[time_col].dataType
+    c, dtype = casts.quote(time_col), casts.field_of(df.schema, time_col).dataType
     if casts.is_temporal(dtype):  # one conversion of the result instead of one per row
         return casts.to_epoch_ms(f"max({c})", dtype)
     ms = casts.to_epoch_ms(c, dtype)
@@ -93,7 +93,7 @@ def freshness(
 
 
 def _last_day(df: DataFrame, day_col: str) -> Column:
-    return F.max(F.expr(casts.to_day(casts.quote(day_col), df.schema[day_col].dataType)))
+    return F.max(F.expr(casts.to_day(casts.quote(day_col), casts.field_of(df.schema, day_col).dataType)))
 
 
 def stage_lag(stages: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
@@ -121,7 +121,7 @@ def missing_days(df: DataFrame, day_col: str, calendar: DataFrame | None = None)
 
     Days are made distinct in each task before anything is shuffled.
     """
-    day = F.expr(casts.to_day(casts.quote(day_col), df.schema[day_col].dataType))
+    day = F.expr(casts.to_day(casts.quote(day_col), casts.field_of(df.schema, day_col).dataType))
     present = df.select(day.alias("day")).filter("day is not null").distinct()
     if calendar is None:
         present = cut(present, "days")  # read twice below, and tiny next to the table

@@ -33,16 +33,16 @@ DROPOFF_CANDIDATES = (
 
 
 def _num(df: DataFrame, name: str, mode: str) -> Column:
-    return F.expr(casts.to_double(casts.quote(name), df.schema[name].dataType, mode))
+    return F.expr(casts.to_double(casts.quote(name), casts.field_of(df.schema, name).dataType, mode))
 
 
 def _seconds(df: DataFrame, start: str, end: str) -> Column:
-    a, b = (casts.to_timestamp(casts.quote(c), df.schema[c].dataType) for c in (start, end))
+    a, b = (casts.to_timestamp(casts.quote(c), casts.field_of(df.schema, c).dataType) for c in (start, end))
     return F.expr(casts.seconds_between(a, b))
 
 
 def _day(df: DataFrame, name: str) -> Column:
-    return F.expr(casts.to_day(casts.quote(name), df.schema[name].dataType))
+    return F.expr(casts.to_day(casts.quote(name), casts.field_of(df.schema, name).dataType))
 
 
 def stage_clean(
@@ -68,7 +68,7 @@ def mart_billing(df: DataFrame, mode: str = casts.STRICT) -> DataFrame:
 def mart_demographics(df: DataFrame, mode: str = casts.STRICT) -> DataFrame:
     return df.select(
         "name",
-        F.expr(casts.to_int("age", df.schema["age"].dataType, mode)).alias("age"),
+        F.expr(casts.to_int("age", casts.field_of(df.schema, "age").dataType, mode)).alias("age"),
         F.col("gender_clean").alias("gender"),
         F.col("blood_type_clean").alias("blood_type"),
         F.col("condition_clean").alias("medical_condition"),
@@ -100,7 +100,7 @@ def stage_trips(
         minutes = F.round(_seconds(df, start, end) / 60.0, 1)
     kept = df.filter(F.col(start).isNotNull())
     for c in ("trip_distance", "fare_amount"):
-        kept = kept.filter(casts.is_positive(c, df.schema[c].dataType, mode))
+        kept = kept.filter(casts.is_positive(c, casts.field_of(df.schema, c).dataType, mode))
     return kept.select(
         "*",
         _day(df, start).alias("trip_date"),

@@ -88,12 +88,12 @@ def age_ranges(fields: Sequence[T.StructField], mode: str = casts.STRICT) -> dic
 def range_checks(
     fields: Sequence[T.StructField], ranges: Mapping[str, tuple], mode: str = casts.STRICT
 ) -> list[Check]:
-    types = {f.name: f.dataType for f in fields}
     out = []
     for name, (lo, hi) in ranges.items():
-        x = casts.to_double(casts.quote(name), types[name], mode)
+        f = casts.field_of(fields, name)
+        x = casts.to_double(casts.quote(f.name), f.dataType, mode)
         if x is not None:
-            out.append(Check(name, INVALID_AGE, f"({x}) < {lo} OR ({x}) > {hi}", low=lo, high=hi))
+            out.append(Check(f.name, INVALID_AGE, f"({x}) < {lo} OR ({x}) > {hi}", low=lo, high=hi))
     return out
 
 
@@ -127,13 +127,13 @@ def date_order_checks(
     pairs: Sequence[tuple[str, str]] | None = None,
     mode: str = casts.STRICT,
 ) -> list[Check]:
-    by_name = {f.name: f for f in fields}
     if pairs is None:
         cols = [f.name for f in date_columns(fields, mode)]
         pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     out = []
     for a, b in pairs:
-        fa, fb = by_name[a], by_name[b]
+        fa, fb = casts.field_of(fields, a), casts.field_of(fields, b)
+        a, b = fa.name, fb.name
         if mode == casts.COMPAT:
             bad, texts = _later_as_stored(fa, fb), ()
         else:

@@ -66,24 +66,26 @@ def _types(df: DataFrame) -> dict[str, T.DataType]:
     return {f.name: f.dataType for f in df.schema.fields}
 
 
+def _fields(df: DataFrame, cols: Sequence[str]) -> list[T.StructField]:
+    return [casts.field_of(df.schema, c) for c in cols]
+
+
 def clip_negative(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    t = _types(df)
-    return _replace(df, {c: clip_sql(c, t[c]) for c in cols})
+    return _replace(df, {f.name: clip_sql(f.name, f.dataType) for f in _fields(df, cols)})
 
 
 def null_out_of_range(df: DataFrame, ranges: Mapping[str, tuple]) -> DataFrame:
-    t = _types(df)
-    return _replace(df, {c: range_sql(c, t[c], lo, hi) for c, (lo, hi) in ranges.items()})
+    bounded = zip(_fields(df, list(ranges)), ranges.values())
+    return _replace(df, {f.name: range_sql(f.name, f.dataType, lo, hi) for f, (lo, hi) in bounded})
 
 
 def fill_nulls(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    t = _types(df)
-    exprs = {c: fill_sql(c, t[c]) for c in (df.columns if cols is None else cols)}
+    exprs = {f.name: fill_sql(f.name, f.dataType) for f in _fields(df, df.columns if cols is None else cols)}
     return _replace(df, {c: e for c, e in exprs.items() if e})
 
 
 def _swap_sql(df: DataFrame, c1: str, c2: str) -> dict[str, str]:
-    t1, t2 = df.schema[c1].dataType, df.schema[c2].dataType
+    (c1, t1), (c2, t2) = ((f.name, f.dataType) for f in _fields(df, [c1, c2]))
     a, b = _quoted(c1), _quoted(c2)
     wrong = casts.is_later(a, t1, b, t2)
 
@@ -103,7 +105,7 @@ def swap_dates(df: DataFrame, c1: str, c2: str) -> DataFrame:
 
 def drop_invalid(df: DataFrame, amount: str) -> DataFrame:
     """Drop rows with a negative amount; rows without an amount stay."""
-    c, dtype = _quoted(amount), df.schema[amount].dataType
+    c, dtype = _quoted(amount), casts.field_of(df.schema, amount).dataType
     x = c if casts.is_numeric(dtype) else casts.to_double(c, dtype)
     return df.filter(f"({x}) >= 0 OR ({x}) IS NULL")
 

@@ -20,28 +20,20 @@ TABLES = (
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-# Columns of five demo tables, which the catalogue rows borrow as their schemas.
+# Columns of the visits below and of four of the given tables, which the catalogue rows take as their schemas.
 SCHEMAS = {
     "patients": (
         "name", "age", "gender", "blood_type", "medical_condition", "date_of_admission", "doctor",
         "hospital", "insurance_provider", "billing_amount", "room_number", "admission_type",
         "discharge_date", "medication", "test_results",
     ),
-    "billing": (
-        "hospital", "insurance_provider", "admission_type", "billing_amount", "date_of_admission",
-        "discharge_date", "length_of_stay_days", "medication", "pipeline_status",
-    ),
-    "customers": (
-        "customer_id", "name", "email", "phone", "signup_date", "country", "state", "city",
-        "customer_segment",
-    ),
-    "order_items": (
-        "order_item_id", "order_id", "product_id", "quantity", "unit_price", "discount_pct",
-    ),
-    "trips": (
-        "VendorID", "tpep_pickup_datetime", "tpep_dropoff_datetime", "passenger_count",
-        "trip_distance", "payment_type", "fare_amount", "tip_amount", "total_amount",
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "lineitem": (
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     ),
+    "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
 }
 KINDS = tuple(SCHEMAS)
 DOMAINS = ("healthcare", "healthcare", "fiction-retail", "fiction-retail", "nyc-taxi")

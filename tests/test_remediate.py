@@ -136,3 +136,14 @@ def test_one_bad_row_in_many_pauses(spark):
     columns = spark.createDataFrame([("mart", "amount")], "dataset string, column string")
     got = r.circuit_breaker(found, edges, columns).first()
     assert (got.status, got.defects) == ("PAUSED", 1)
+
+
+def test_columns_are_found_in_any_case(spark):
+    df = spark.createDataFrame([(-1.0, None, "2024-01-02", "2024-01-01", 200)], "Fare double, Title string, Start_Date string, End_Date string, Age int")
+    assert r.clip_negative(df, ["fare"]).first().Fare == 0.0 and r.fill_nulls(df, ["TITLE"]).first().Title == "UNKNOWN"
+    assert r.null_out_of_range(df, {"age": (0, 120)}).first().Age is None and r.drop_invalid(df, "FARE").count() == 0
+    assert r.swap_dates(df, "start_date", "end_date").first().Start_Date == "2024-01-01"
+    assert {x.column for x in p.range_profile(df, {"fare": (0, 1)}).collect()} == {"Fare"}
+    assert p.date_order_profile(df, [("start_date", "END_DATE")]).first().column_2 == "End_Date"
+    trips = spark.createDataFrame([("2024-01-01 10:00:00", 2.0, 5.0)], "Pickup_DateTime string, Trip_Distance double, FARE_AMOUNT double")
+    assert pipeline.stage_trips(trips).count() == 1
