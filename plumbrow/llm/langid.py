@@ -183,11 +183,11 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 
 
 def _labelled(rows: DataFrame, model: Model) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(model))  # plain values only
     span = pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("letters", pa.int64()), ("lang", pa.string())])
 
     def labelled(batches: Batches) -> Batches:
-        model = shared.value
+        model = Model(*shared.value)
         langs = model.langs
         known, scores, letters = _Scores(), np.zeros((0, len(langs))), np.zeros(0, np.int64)
         usable = np.zeros(0, bool)

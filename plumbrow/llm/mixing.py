@@ -116,10 +116,10 @@ def memberships(
 ) -> DataFrame:
     """``doc_id, source, tokens, posteriors, carried`` for each row of ``docs``; ``tokens`` counts what stands
     between ASCII white space."""
-    shared = docs.sparkSession.sparkContext.broadcast(domains)
+    shared = docs.sparkSession.sparkContext.broadcast((*domains[0], domains[1]))  # plain values only
 
     def predicted(batches: Batches) -> Batches:
-        (names, at, w), prior = shared.value
+        names, at, w, prior = shared.value
         place = np.full(DIMENSIONS, len(at), np.int64)
         place[at] = np.arange(len(at))
         # One more row, of zeros, for features that do not count; one more column counts those that do.

@@ -164,10 +164,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, doc_id: str = "
     """``doc_id, score, predicted`` for each row of ``docs``: the probability of label 1, and whether it is
     ``threshold`` or more. Texts are read whole; null is empty, and an empty text has the score that no
     evidence gives. Repeated rows stay, each with the same score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # plain values only
 
     def scored(batches: Batches) -> Batches:
-        m = shared.value
+        m = Model(*shared.value)
         of, squares = Indicators(m.ratios != 0), m.ratios.astype(np.float64) ** 2
         for batch in batches:
             margins = np.empty(0)
