@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,9 +16,26 @@ def shared_dir(spark: SparkSession, folder: str | None = None) -> str:
     return f"{base.rstrip('/')}/plumbrow-{spark.sparkContext.applicationId}"
 
 
+_recorders: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, label: str, folder: str | None = None) -> str:
     """A path in the shared folder that nothing has been written to yet."""
-    return f"{shared_dir(spark, folder)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark, folder)}/{label}-{uuid.uuid4().hex}"
+    for made in _recorders:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that are given out inside the block."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
 
 
 def cut(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
@@ -33,5 +52,10 @@ def cut(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
 
 def clear(spark: SparkSession, folder: str | None = None) -> None:
     """Delete the intermediate tables of this application; call it once results are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark, folder))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop(spark, [shared_dir(spark, folder)])
+
+
+def drop(spark: SparkSession, paths: Iterable[str]) -> None:
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
