@@ -25,12 +25,13 @@ class Segment(NamedTuple):
     wild: bool
 
 
-def segments(lanes: int, per_lane: int, wild: int) -> list[Segment]:
-    """Each 64-bit lane cut into ``per_lane`` pieces of about equal width; the first ``wild`` pieces of
-    all take a wildcard. Fingerprints that differ in r bits agree in a piece, up to its wildcard, for
-    certain if r is smaller than the number of pieces plus the number of wildcards."""
+def segments(lanes: int, per_lane: int, wild: int, width: int | None = None) -> list[Segment]:
+    """Each 64-bit lane cut into ``per_lane`` pieces of about equal width, of which the lowest ``width`` bits
+    are used; the first ``wild`` pieces of all take a wildcard. Fingerprints that differ in r bits agree in a
+    piece, up to its wildcard, for certain if r is smaller than the number of pieces plus the number of
+    wildcards."""
     cuts = [round(i * 64 / per_lane) for i in range(per_lane + 1)]
-    pieces = [(lane, a, b - a) for lane in range(lanes) for a, b in zip(cuts, cuts[1:])]
+    pieces = [(lane, a, min(b - a, width or 64)) for lane in range(lanes) for a, b in zip(cuts, cuts[1:])]
     return [Segment(*p, wild=i < wild) for i, p in enumerate(pieces)]
 
 
@@ -166,6 +167,7 @@ def near_duplicates(
     radius: int = 2,
     per_lane: int = 2,
     wild: int = 1,
+    width: int | None = None,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -173,13 +175,15 @@ def near_duplicates(
 
     Two fingerprints link if ``radius`` bits or fewer differ; ``component_id`` is the smallest doc_id
     that links lead to, its own included. With the defaults every such pair is found: of two halves,
-    one differs by at most one bit, or the other not at all. Rows with equal texts always meet. A null
+    one differs by at most one bit, or the other not at all. A larger radius finds pairs by the chance that one
+    of ``lanes * per_lane`` pieces differs in one bit or none. In a table of n fingerprints a signature has
+    n / 2 ** (width - 1) unrelated ones, so ``width`` should be a little over log2(n). Rows with equal texts always meet. A null
     id is no candidate for the smallest; a component with null ids only has a null component_id.
     Repeated rows stay, each with the same result; an empty table gives an empty one.
     """
     prints = cut(fingerprints(docs, words, lanes, doc_id, text), "fingerprints")
     names = [f"f{i}" for i in range(lanes)]
-    classes = linked_classes(prints, radius, segments(lanes, per_lane, wild))
+    classes = linked_classes(prints, radius, segments(lanes, per_lane, wild, width))
     return prints.join(classes, names).select("doc_id", *names, "component_id")
 
 
