@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import string
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from plumbrow.llm import tokens
 from plumbrow.llm.common import Batches, batches_of, cut, text_of
 
 GRAM = 3  # words of a seed
@@ -18,20 +18,36 @@ SPAN = 4  # of so many seeds in a row the rarest is used: a copy with 6 words un
 CHUNK = 64  # words of an item that are aligned together, twice as many at most
 MATCH, MISMATCH, GAP = 2, -1, -1
 FILTER_BITS = 23  # 1 MB: what tasks get to tell words of no seed; growing with nothing
-MOST_CACHED = 400_000
-_PLAIN = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
+_PLAIN = bytes(32 if c in tokens.PUNCTUATION else c for c in range(256))
+_BETWEEN = np.zeros(256, bool)
+_BETWEEN[list(tokens.SPACES + tokens.PUNCTUATION)] = True
+_VALUE = tokens.table()
 
 
-def words_of(texts: pa.Array) -> Iterator[list[bytes]]:
-    """The words of each text, in lower case and without ASCII punctuation."""
-    for utf8 in pc.utf8_lower(texts).cast(pa.binary()).to_pylist():
-        yield utf8.translate(_PLAIN).split()
+class _Texts(NamedTuple):
+    """Some texts in lower case, their words as places in ``data``, and the hashes of words."""
 
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    text: np.ndarray  # of each word: the number of its text
+    hashes: np.ndarray
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+    def words(self, first: int, end: int) -> list[bytes]:
+        return self.data[self.starts[first] : self.ends[end - 1]].translate(_PLAIN).split() if first < end else []
+
+
+def _texts(column: pa.Array, hasher: tokens.Hasher) -> Iterator[tuple[int, int, _Texts]]:
+    """All texts of a column, some at a time, with the number of the first and of the one after the last.
+
+    Words are what stands between white space and ASCII punctuation.
+    """
+    lower = pc.utf8_lower(column).cast(pa.binary()).to_pylist()
+    for first, end in tokens.chunks(lower):
+        data, text_starts = tokens.joined(lower[first:end])
+        starts, ends = tokens.bounds(_BETWEEN[data])
+        number = np.searchsorted(text_starts, starts, "right") - 1
+        yield first, end, _Texts(data.tobytes(), starts, ends, number, hasher(_VALUE[data], starts, ends))
 
 
 def _grams(h: np.ndarray) -> np.ndarray:
@@ -54,18 +70,20 @@ def chunks_of(items: DataFrame, item_id: str, text: str) -> DataFrame:
     with the hashes of their runs of words. Items of fewer than GRAM words have none and match nothing."""
 
     def cut_up(batches: Batches) -> Batches:
-        hashes = _Hashes()
+        hasher = tokens.Hasher()
         for batch in batches:
             ids, words, grams = [], [], []
-            for i, w in zip(batch.column(0).to_pylist(), words_of(batch.column(1))):
-                starts = range(0, max(1, len(w) // CHUNK) * CHUNK, CHUNK)
-                for s in starts:
-                    piece = w[s : s + CHUNK] if s != starts[-1] else w[s:]
-                    g = _grams(np.fromiter(map(hashes.__getitem__, piece), np.uint64, len(piece)))
-                    if len(g):
-                        ids.append(i)
-                        words.append(b" ".join(piece))
-                        grams.append(g.view(np.int64))
+            for first, end, found in _texts(batch.column(1), hasher):
+                for i in range(end - first):
+                    a, b = np.searchsorted(found.text, [i, i + 1]).tolist()
+                    starts = range(a, a + max(1, (b - a) // CHUNK) * CHUNK, CHUNK)
+                    for s in starts:
+                        stop = s + CHUNK if s != starts[-1] else b
+                        g = _grams(found.hashes[s:stop])
+                        if len(g):
+                            ids.append(batch.column(0)[first + i].as_py())
+                            words.append(b" ".join(found.words(s, stop)))
+                            grams.append(g.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(words, pa.binary()), pa.array(grams, pa.list_(pa.int64()))],
                 ["item_id", "words", "grams"],
@@ -91,14 +109,13 @@ def _in(bitmap: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 3] >> (slot & 7)) & 1 == 1
 
 
-def _met(batch: pa.RecordBatch, hashes: _Hashes, bitmap: np.ndarray):
-    """For each document of a batch: its row, words, hashes of runs, and the places of runs in the bitmap."""
-    for row, w in enumerate(words_of(batch.column(1))):
-        if len(w) >= GRAM:
-            g = _grams(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)))
-            yield row, w, g, np.flatnonzero(_in(bitmap, g))
-    if len(hashes) > MOST_CACHED:
-        hashes.clear()
+def _met(column: pa.Array, hasher: tokens.Hasher, bitmap: np.ndarray) -> Iterator[tuple[int, _Texts, np.ndarray, np.ndarray]]:
+    """Some texts at a time: the number of the first, the texts, the hashes of all runs, and the places of
+    those that are in the bitmap and in one text."""
+    for first, _, found in _texts(column, hasher):
+        g = _grams(found.hashes)
+        inside = found.text[: len(g)] == found.text[GRAM - 1 :]
+        yield first, found, g, np.flatnonzero(_in(bitmap, g) & inside)
 
 
 def _frequencies(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
@@ -106,10 +123,14 @@ def _frequencies(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def counted(batches: Batches) -> Batches:
-        hashes = _Hashes()
+        hasher = tokens.Hasher()
         for batch in batches:
-            found = [np.unique(g[at]) for _, _, g, at in _met(batch, hashes, shared.value)]
-            g, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+            held = [np.empty(0, np.uint64)]
+            for _, found, g, at in _met(batch.column(1), hasher, shared.value):
+                order = np.lexsort((g[at], found.text[at]))
+                h, t = g[at][order], found.text[at][order]
+                held.append(h[np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])]] if len(h) else h)
+            g, n = np.unique(np.concatenate(held), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["gram", "n"])
 
     return batches_of(rows, counted, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("docs"))
@@ -142,16 +163,19 @@ def _passages(rows: DataFrame, bitmap: np.ndarray, reach: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def found(batches: Batches) -> Batches:
-        hashes = _Hashes()
+        hasher = tokens.Hasher()
         for batch in batches:
             row_no, words, seeds = [], [], []
-            for row, w, g, at in _met(batch, hashes, shared.value):
+            for first, found, g, at in _met(batch.column(1), hasher, shared.value):
+                places, text = at.tolist(), found.text[at].tolist()
                 start = 0
-                for i in range(1, len(at) + 1):
-                    if i < len(at) and at[i] - at[i - 1] <= reach and at[i] - at[start] <= 4 * reach:
-                        continue
-                    row_no.append(row)
-                    words.append(b" ".join(w[max(0, at[start] - reach) : at[i - 1] + GRAM + reach]))
+                for i in range(1, len(places) + 1):
+                    if i < len(places) and text[i] == text[start]:
+                        if places[i] - places[i - 1] <= reach and places[i] - places[start] <= 4 * reach:
+                            continue
+                    a, b = np.searchsorted(found.text, [text[start], text[start] + 1]).tolist()
+                    row_no.append(first + text[start])
+                    words.append(b" ".join(found.words(max(a, places[start] - reach), min(b, places[i - 1] + GRAM + reach))))
                     seeds.append(np.unique(g[at[start:i]]).view(np.int64))
                     start = i
             ids = batch.column(0).take(pa.array(row_no, pa.int64()))
