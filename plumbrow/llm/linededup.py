@@ -146,8 +146,9 @@ def repeated_lines(
         suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     )
     repeated = cut(repeated.select("key", "first"), "repeated-lines")
-    lost = suspects.join(repeated, "key").filter("id <> first").select("id", "key").distinct()
-    return cut(lost.groupBy("id").agg(F.collect_list("key").alias("drop")), "lost-lines")
+    # Nothing that needs the rows of a key together follows the join, so that a hot key can be split.
+    lost = cut(suspects.join(repeated, "key").filter("id <> first").select("id", "key"), "lost-keys")
+    return cut(lost.groupBy("id").agg(F.collect_set("key").alias("drop")), "lost-lines")
 
 
 def dedup_lines(
