@@ -105,18 +105,8 @@ def _differing(lanes: int, a: str, b: str) -> Column:
     )
 
 
-def linked_classes(prints: DataFrame, radius: int, pieces: list[Segment]) -> DataFrame:
-    """``f0, ..., component_id``: a row for each fingerprint of ``prints``, with the smallest doc_id of
-    the fingerprints that links of ``radius`` differing bits or fewer lead to.
-
-    Equal fingerprints are one node. Within a signature's nodes all are first compared with the
-    smallest; then the pairs that these links leave in different components are compared. So a large
-    group of near copies costs as many comparisons as it has members, and no link is lost that
-    could join two components.
-    """
-    names = [c for c in prints.columns if c.startswith("f")]
-    nodes = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id"))
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+def _linked(nodes: DataFrame, names: list[str], radius: int, pieces: list[Segment]) -> DataFrame:
+    """``node, root`` of the nodes that share a signature of ``pieces`` with another within ``radius`` bits."""
     signed = nodes.select("node", F.explode(variants(pieces)).alias("key"))
     shared = signed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"))
     shared = cut(shared.filter("n > 1").select("key", "leader"), "shared-keys")
@@ -138,23 +128,55 @@ def linked_classes(prints: DataFrame, radius: int, pieces: list[Segment]) -> Dat
     placed = members.join(of("node"), "node", "left").join(of("leader"), "leader", "left").select(
         "key",
         "node",
+        "leader",
         F.coalesce("node_root", "node").alias("root"),
         F.coalesce("leader_root", "leader").alias("leader_root"),
     )
-    # A member of its leader's component meets only those that are not; these meet everyone.
-    apart = placed.filter("root <> leader_root").join(prints_of, "node")
-    apart = cut(apart, "apart")
-    keys = apart.select("key").distinct()
-    others = cut(placed.join(keys, "key", "left_semi").join(prints_of, "node"), "others")
+    placed = cut(placed, "placed")
+    # A member of its leader's component meets only those that are not; these meet everyone but the
+    # leader, whom they have met.
+    apart = cut(placed.filter("root <> leader_root").join(prints_of, "node"), "apart")
+    keys = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    others = placed.filter("node <> leader").join(keys, "key", "left_semi").join(prints_of, "node")
     cross = (
         apart.alias("x")
-        .join(others.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near)
+        .join(
+            cut(others, "others").alias("y"),
+            (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near,
+        )
         .select(F.col("x.root").alias("a"), F.col("y.root").alias("b"))
         .distinct()
     )
-    links = stars.union(cut(cross, "cross"))
-    links = links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    final = cut(components(links), "components")
+    links = cut(cross, "cross")
+    if links.isEmpty():
+        return roots
+    return cut(components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "components")
+
+
+def linked_classes(prints: DataFrame, radius: int, pieces: list[Segment], rounds: int = 1) -> DataFrame:
+    """``f0, ..., component_id``: a row for each fingerprint of ``prints``, with the smallest doc_id of
+    the fingerprints that links of ``radius`` differing bits or fewer lead to.
+
+    Equal fingerprints are one node. Within a signature's nodes all are first compared with the
+    smallest; then the pairs that these links leave in different components are compared. So a large
+    group of near copies costs as many comparisons as it has members, and no link is lost that
+    could join two components. With several ``rounds`` each takes its part of the pieces, and of every
+    component of a round only the root goes on: a large group is indexed in full once, not for all pieces.
+    """
+    names = [c for c in prints.columns if c.startswith("f")]
+    nodes = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    size = -(-len(pieces) // rounds)
+    active, found = nodes.select("node", *names), []
+    for first in range(0, len(pieces), size):
+        if found:
+            merged = found[-1].filter("node <> root").select("node")
+            active = cut(active.join(merged, "node", "left_anti"), "active")
+        found.append(_linked(active, names, radius, pieces[first : first + size]))
+    final = found[0]
+    if len(found) > 1:
+        links = reduce(DataFrame.union, found).select(F.col("node").alias("a"), F.col("root").alias("b"))
+        final = cut(components(links), "classes-of-nodes")
     named = nodes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return cut(named.join(least, "root").select(*names, "component_id"), "classes")
@@ -168,6 +190,7 @@ def near_duplicates(
     per_lane: int = 2,
     wild: int = 1,
     width: int | None = None,
+    rounds: int = 1,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -183,7 +206,7 @@ def near_duplicates(
     """
     prints = cut(fingerprints(docs, words, lanes, doc_id, text), "fingerprints")
     names = [f"f{i}" for i in range(lanes)]
-    classes = linked_classes(prints, radius, segments(lanes, per_lane, wild, width))
+    classes = linked_classes(prints, radius, segments(lanes, per_lane, wild, width), rounds)
     return prints.join(classes, names).select("doc_id", *names, "component_id")
 
 

@@ -95,7 +95,7 @@ def test_wider_fingerprints_find_near_copies(make_docs):
         w = list(w)
         w[50], w[120] = "new", "words"
         texts.append(" ".join(w))
-    got = simhash.near_duplicates(make_docs(texts), lanes=5, radius=55, per_lane=2, wild=10, width=26)
+    got = simhash.near_duplicates(make_docs(texts), lanes=5, radius=55, per_lane=2, wild=10, width=26, rounds=5)
     found = {r.doc_id: r.component_id for r in got.collect()}
     assert sum(found[i + 30] == i for i in range(30)) >= 29
     assert [found[i] for i in range(30)] == list(range(30))
