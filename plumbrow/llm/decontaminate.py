@@ -1,4 +1,4 @@
-"""Benchmark passages in training texts: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark passages in training texts: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -8,13 +8,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from plumbrow.llm import tokens
 from plumbrow.llm.common import Batches, batches_of, cut, text_of
 
-GRAM = 3  # words of a seed
-SPAN = 4  # of so many seeds in a row the rarest is used: a copy with 6 words unchanged in a row meets one
+GRAM = 3  # words of a seed: a copy with so many unchanged words in a row meets one
 CHUNK = 64  # words of an item that are aligned together, twice as many at most
 MATCH, MISMATCH, GAP = 2, -1, -1
 FILTER_BITS = 23  # 1 MB: what tasks get to tell words of no seed; growing with nothing
@@ -118,40 +117,10 @@ def _met(column: pa.Array, hasher: tokens.Hasher, bitmap: np.ndarray) -> Iterato
         yield first, found, g, np.flatnonzero(_in(bitmap, g) & inside)
 
 
-def _frequencies(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """``gram, docs``: in how many rows the runs of the bitmap are."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-
-    def counted(batches: Batches) -> Batches:
-        hasher = tokens.Hasher()
-        for batch in batches:
-            held = [np.empty(0, np.uint64)]
-            for _, found, g, at in _met(batch.column(1), hasher, shared.value):
-                order = np.lexsort((g[at], found.text[at]))
-                h, t = g[at][order], found.text[at][order]
-                held.append(h[np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])]] if len(h) else h)
-            g, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["gram", "n"])
-
-    return batches_of(rows, counted, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("docs"))
-
-
-def rare_seeds(chunks: DataFrame, rows: DataFrame) -> DataFrame:
-    """``gram, chunk``: of every SPAN runs in a row of a chunk the one that the fewest documents hold, of
-    equals the first. Rarity is counted over all documents; a run that many hold is a seed if its
-    neighbours are no rarer, so a passage that fills the corpus is found too."""
-    placed = chunks.select("chunk", F.posexplode("grams").alias("pos", "gram"))
-    counts = cut(_frequencies(rows, _filter_of(placed)), "frequencies")
-    known = placed.join(counts, "gram", "left").select(
-        "chunk", "pos", "gram", F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "pos", "gram").alias("rank")
-    )
-    # A chunk has 2 * CHUNK runs at most.
-    ahead = Window.partitionBy("chunk").orderBy("pos").rowsBetween(0, SPAN - 1)
-    whole = Window.partitionBy("chunk")
-    chosen = known.select(
-        "chunk", "pos", F.min("rank").over(ahead).alias("rarest"), F.max("pos").over(whole).alias("last")
-    ).filter((F.col("pos") == 0) | (F.col("pos") <= F.col("last") - (SPAN - 1)))
-    return chosen.select(F.col("rarest.gram").alias("gram"), "chunk").distinct()
+def seeds_of(chunks: DataFrame) -> DataFrame:
+    """``gram, chunk``: every run of words of each chunk. None is preferred: whichever runs the edits of a
+    copy leave whole, it meets its chunk by them; a run that no document holds meets nothing."""
+    return chunks.select(F.explode("grams").alias("gram"), "chunk").distinct()
 
 
 def _passages(rows: DataFrame, bitmap: np.ndarray, reach: int) -> DataFrame:
@@ -206,9 +175,15 @@ def smith_waterman(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _aligned(pairs: DataFrame) -> DataFrame:
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words of ``a`` have one of their own in ``b``: no alignment matches more."""
+    n = max(a.max(initial=-1), b.max(initial=-1)) + 1
+    return int(np.minimum(np.bincount(a, minlength=n), np.bincount(b, minlength=n)).sum())
+
+
+def _aligned(pairs: DataFrame, threshold: float) -> DataFrame:
     """``doc_id, item_id, score`` of pairs of a passage and a chunk; the score is that of the best local
-    alignment by that of the chunk with itself."""
+    alignment by that of the chunk with itself. Pairs with too few words in common for the threshold are left out."""
 
     def scored(batches: Batches) -> Batches:
         for batch in batches:
@@ -216,13 +191,16 @@ def _aligned(pairs: DataFrame) -> DataFrame:
             number = lambda w: np.fromiter((numbers.setdefault(x, len(numbers)) for x in w.split()), np.int32)
             a = [number(w) for w in batch.column(2).to_pylist()]
             b = [number(w) for w in batch.column(3).to_pylist()]
+            able = np.array([_shared(x, y) >= threshold * len(x) for x, y in zip(a, b)], bool)
             order = np.argsort([len(y) for y in b], kind="stable")
+            order = order[able[order]]
             score = np.zeros(len(a))
             for s in range(0, len(order), 256):  # of like length, so that little is padded
                 part = order[s : s + 256]
                 own = np.array([len(a[i]) * MATCH for i in part])
                 score[part] = smith_waterman([a[i] for i in part], [b[i] for i in part]) / own
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["doc_id", "item_id", "score"])
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["doc_id", "item_id", "score"])
+            yield out.filter(pa.array(able))
 
     return batches_of(pairs, scored, "doc_id bigint, item_id bigint, score double")
 
@@ -239,13 +217,14 @@ def contaminated(
     """``doc_id, item_id, score``: documents that hold an item, or CHUNK words of it, whole, in part or edited.
 
     ``score`` is the best local alignment of a chunk of the item with the document, by that of the chunk
-    with itself: 1 for a whole copy, ``threshold`` or more for all rows returned. One row for each pair
+    with itself: 1 for a whole copy, ``threshold`` or more for all rows returned. A copy without GRAM unchanged
+    words in a row meets no seed and is not found, whatever its score. One row for each pair
     of ids. Null and empty texts, and items of fewer than three words, match nothing; rows of one id are
     one document; rows with a null id have results under a null id. Either table may be empty.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
     chunks = cut(chunks_of(items, item_id, item_text), "chunks")
-    seeds = cut(rare_seeds(chunks, rows), "seeds")
+    seeds = cut(seeds_of(chunks), "seeds")
     reach = chunks.agg(F.max(F.size("grams"))).first()[0] or 0
     passages = cut(_passages(rows, _filter_of(seeds), reach + GRAM), "passages")
     met = passages.select("passage", F.explode("seeds").alias("gram")).join(seeds, "gram")
@@ -255,5 +234,5 @@ def contaminated(
         .join(chunks.select("chunk", "item_id", "words"), "chunk")
         .select("doc_id", "item_id", "words", "passage_words")
     )
-    best = _aligned(pairs).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+    best = _aligned(pairs, threshold).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
     return best.filter(F.col("score") >= threshold)

@@ -66,3 +66,24 @@ def test_planted_copies(spark, make_docs):
     assert got[1, 0] == got[100, 3] == 1.0 and got[2, 1] == (26 * 2 - 4) / 60
     assert d.contaminated(make_docs([]), bench).count() == 0
     assert d.contaminated(make_docs(rows), bench.filter("false")).count() == 0
+
+
+def test_copies_with_an_edit_every_few_words(spark, make_docs):
+    """Against brute-force alignment; other documents hold runs of the items too, so that no run is rare by itself."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(2000)]
+    passage = lambda n: [rnd.choice(words) for _ in range(n)]
+    items = [passage(rnd.randrange(15, 60)) for _ in range(24)]
+    texts = []
+    for k, item in enumerate(items):
+        step, first = 4 + k % 3, k % 4
+        copy = [f"edit{i}" if i % step == first else w for i, w in enumerate(item)]
+        texts.append(passage(20) + copy + passage(20))
+    for item in items:  # fragments that are no copies
+        at = rnd.randrange(len(item) - 3)
+        texts.append(passage(15) + item[at : at + 3] + passage(15))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in d.contaminated(make_docs([" ".join(t) for t in texts]), bench).collect()}
+    scores = {(i, k): brute_alignment(x, t) / (2 * len(x)) for i, t in enumerate(texts) for k, x in enumerate(items)}
+    assert got == {p: s for p, s in scores.items() if s >= 0.5}
+    assert len(got) >= 20
