@@ -126,9 +126,10 @@ def op9_token_counts(spark, sf):
     }
     counted = cut(tokencounts.count_tokens(wanted, vocabularies), "token-counts")
     firsts = cut(counted.groupBy("sha").agg(F.min("doc_id").alias("first_id")), "first-copies")
-    marked = cut(counted.join(firsts, "sha").drop("sha"), "marked")
+    # Null texts have no sha: they are no copies of each other, and stay.
+    marked = cut(counted.join(firsts, "sha", "left").drop("sha"), "marked")
     rollup = tokencounts.Rollup(spark, new_path(spark, "rollup"))
-    return tokencounts.maintained(marked, rollup, "v1", "v2", revise, F.col("doc_id") > F.col("first_id"))
+    return tokencounts.maintained(marked, rollup, "v1", "v2", revise, F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
 
 
 @query()

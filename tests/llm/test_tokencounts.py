@@ -64,3 +64,13 @@ def test_signed_changes(spark):
     df = spark.createDataFrame([("a", "en", {"v1": 3}), ("a", None, None)], "source string, lang string, tokens map<string,bigint>")
     got = t.change(df, "v1", -1, F.col("source") == "a").collect()
     assert sorted((r.documents, r.tokens) for r in got) == [(-1, -3), (-1, 0)]
+
+
+def test_query_counts_null_texts(spark, tmp_path):
+    rows = [(1, None, "en", "a"), (2, None, "en", "a"), (3, "same", "en", "a"), (4, "same", "en", "a"),
+            (5, None, "de", "only nulls"), (6, "", "de", "a"), (7, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in QUERIES["op9_token_counts"](spark, str(tmp_path)).collect()}
+    n = len(coders()["v1"].encode_ordinary("same"))
+    assert got == {("a", "en", "v1"): (3, n), ("only nulls", "de", "v2"): (1, 0), ("a", "de", "v2"): (1, 0), (None, None, "v2"): (1, 0)}
