@@ -160,19 +160,16 @@ def linked_classes(prints: DataFrame, radius: int, pieces: list[Segment], rounds
     Equal fingerprints are one node. Within a signature's nodes all are first compared with the
     smallest; then the pairs that these links leave in different components are compared. So a large
     group of near copies costs as many comparisons as it has members, and no link is lost that
-    could join two components. With several ``rounds`` each takes its part of the pieces, and of every
-    component of a round only the root goes on: a large group is indexed in full once, not for all pieces.
+    could join two components. With several ``rounds`` each takes its part of the pieces, for all nodes.
     """
     names = [c for c in prints.columns if c.startswith("f")]
     nodes = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     size = -(-len(pieces) // rounds)
-    active, found = nodes.select("node", *names), []
-    for first in range(0, len(pieces), size):
-        if found:
-            merged = found[-1].filter("node <> root").select("node")
-            active = cut(active.join(merged, "node", "left_anti"), "active")
-        found.append(_linked(active, names, radius, pieces[first : first + size]))
+    found = [
+        _linked(nodes.select("node", *names), names, radius, pieces[first : first + size])
+        for first in range(0, len(pieces), size)
+    ]
     final = found[0]
     if len(found) > 1:
         links = reduce(DataFrame.union, found).select(F.col("node").alias("a"), F.col("root").alias("b"))

@@ -99,3 +99,12 @@ def test_wider_fingerprints_find_near_copies(make_docs):
     found = {r.doc_id: r.component_id for r in got.collect()}
     assert sum(found[i + 30] == i for i in range(30)) >= 29
     assert [found[i] for i in range(30)] == list(range(30))
+
+
+def test_rounds_lose_no_link(spark):
+    """Whichever of 0 and ``y`` is the other's root after the first round, one text is near the other only."""
+    y, z, w = 0b111 << 32, (0b111 << 32) + 0b111, 0b111000
+    df = spark.createDataFrame(list(enumerate([0, y, z, w])), "doc_id bigint, f0 bigint")
+    pieces = simhash.segments(1, 2, 0)
+    got = {r.f0: r.component_id for r in simhash.linked_classes(df, 4, pieces, rounds=2).collect()}
+    assert got == {0: 0, y: 0, z: 0, w: 0}
