@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbrow.sources.shared import cut  # noqa: F401  (re-exported for the operators)
@@ -30,6 +32,21 @@ def remainder(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
+def in_parts(batches: Batches, column: int = 1, most: int = 2 << 20) -> Batches:
+    """The batches cut into parts of about ``most`` bytes of text in ``column``; a longer text is a part alone.
+
+    Work on a part holds what its bytes need, however many rows Spark puts into a batch.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+        first = 0
+        while first < batch.num_rows:
+            before = ends[first - 1] if first else 0
+            end = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(first, end - first)
+            first = end
+
+
 def batches_of(df: DataFrame, f: Callable[[Batches], Batches], schema: str) -> DataFrame:
     """``f`` over the Arrow batches of each partition; nothing is gathered."""
     return df.mapInArrow(f, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import decontaminate, langid, licenses, linededup, lzprint, mixing, nbsvm, pseudonyms, simhash, tokencounts
+from plumbrow.llm import decontaminate, langid, licenses, linededup, lzprint, mixing, nbsvm, pseudonyms, simhash, spelling, tokencounts
 from plumbrow.llm.common import cut, remainder, table
 from plumbrow.sources.shared import new_path
 
@@ -139,3 +139,8 @@ def op10_quality_classifier(spark, sf):
     model = nbsvm.fit(docs, known)
     found = nbsvm.score(docs, model)
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op11_spelling_variants(spark, sf):
+    return spelling.variants(spelling.word_counts(table(spark, sf, "documents")))
