@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import decontaminate, langid, licenses, linededup, lzprint, mixing, nbsvm, pseudonyms, simhash, spelling, tokencounts
+from plumbrow.llm import decontaminate, langid, licenses, linededup, lzprint, mixing, nbsvm, pseudonyms, simhash, spelling, tokencounts, vectorcodes
 from plumbrow.llm.common import cut, remainder, table
 from plumbrow.sources.shared import new_path
 
@@ -144,3 +144,44 @@ def op10_quality_classifier(spark, sf):
 @query()
 def op11_spelling_variants(spark, sf):
     return spelling.variants(spelling.word_counts(table(spark, sf, "documents")))
+
+
+def _codes_sql(rounds: int = 4, entries: int = 256) -> str:
+    """Each round compares every part with every entry of its codebook."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(
+            f"""near{k} AS (SELECT vec_id, part, arg_min(entry, (distance, entry)) AS entry, min(distance) AS distance FROM (
+  SELECT c.vec_id, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS distance
+  FROM components c JOIN book{k} b ON c.part = b.part AND c.pos = b.pos GROUP BY ALL) GROUP BY vec_id, part)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""book{k + 1} AS (SELECT b.part, b.entry, b.pos, coalesce(CAST(floor(m.total / m.n) AS BIGINT), b.x) AS x
+  FROM book{k} b LEFT JOIN (SELECT n.part, n.entry, c.pos, CAST(sum(c.x) AS DOUBLE) AS total, count(*) AS n
+    FROM near{k} n JOIN components c ON c.vec_id = n.vec_id AND c.part = n.part GROUP BY ALL) m
+  ON m.part = b.part AND m.entry = b.entry AND m.pos = b.pos)"""
+            )
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, len(embedding) // 4 AS width,
+    list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+components AS (
+  SELECT vec_id, (i - 1) // width AS part, (i - 1) % width AS pos, v[i] AS x
+  FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM kept)),
+book0 AS (
+  SELECT part, entry, pos, x FROM components JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {entries}) USING (vec_id)),
+{", ".join(steps)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(distance) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""
+
+
+@query(_codes_sql())
+def op12_vector_codes(spark, sf):
+    return vectorcodes.encode(table(spark, sf, "embeddings")).drop("label")
