@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import decontaminate, langid, licenses, linededup, lzprint, mixing, nbsvm, pseudonyms, simhash, spelling, tokencounts, vectorcodes
+from plumbrow.llm import decontaminate, jaccard, langid, licenses, linededup, lzprint, mixing, nbsvm, pseudonyms, simhash, spelling, tokencounts, vectorcodes
 from plumbrow.llm.common import cut, remainder, table
 from plumbrow.sources.shared import new_path
 
@@ -185,3 +185,28 @@ FROM coded JOIN kept USING (vec_id)"""
 @query(_codes_sql())
 def op12_vector_codes(spark, sf):
     return vectorcodes.encode(table(spark, sf, "embeddings")).drop("label")
+
+
+_JACCARD = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS words FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, sha256(array_to_string(list_slice(words, i, i + 4), ' ')) AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 4) + 1)) AS i FROM cut WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common.n >= 80 * (x.n + y.n - common.n)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)"""
+
+
+@query(_JACCARD)
+def op13_ngram_jaccard_join(spark, sf):
+    return jaccard.similar_documents(table(spark, sf, "documents"))
