@@ -3,16 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbrow.sources.shared import cut  # noqa: F401  (re-exported for the operators)
 
 Batches = Iterator[pa.RecordBatch]
 
+BATCH_BYTES = 4 << 20  # of the rows that go to Python together
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_recorders: list[list[Broadcast]] = []
+
+
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """``value``, plain and of bounded size, for all tasks."""
+    made = spark.sparkContext.broadcast(value)
+    for known in _recorders:
+        known.append(made)
+    return made
+
+
+@contextmanager
+def recorded() -> Iterator[list[Broadcast]]:
+    """What was shared inside the block; whoever writes the results may destroy it afterwards."""
+    made: list[Broadcast] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,7 +73,13 @@ def in_parts(batches: Batches, column: int = 1, most: int = 2 << 20) -> Batches:
 
 
 def batches_of(df: DataFrame, f: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    """``f`` over the Arrow batches of each partition; nothing is gathered."""
+    """``f`` over the Arrow batches of each partition; nothing is gathered.
+
+    Batches of more than BATCH_BYTES would take memory on both sides, so a larger limit of the session is lowered."""
+    conf = df.sparkSession.conf
+    limit = conf.get(_BATCH_SETTING).rstrip("b")
+    if not limit.isdigit() or int(limit) > BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(f, schema)
 
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from plumbrow.llm import tokens
-from plumbrow.llm.common import Batches, batches_of, cut, text_of
+from plumbrow.llm.common import Batches, batches_of, cut, share, text_of
 
 GRAM = 3  # words of a seed: a copy with so many unchanged words in a row meets one
 CHUNK = 64  # words of an item that are aligned together, twice as many at most
@@ -129,7 +129,7 @@ def _passages(rows: DataFrame, bitmap: np.ndarray, reach: int) -> DataFrame:
     Seeds closer than ``reach`` share a stretch, until it has 4 * ``reach`` words between its first and
     last seed; then the next begins, with its own words to the left.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    shared = share(rows.sparkSession, bitmap)
 
     def found(batches: Batches) -> Batches:
         hasher = tokens.Hasher()

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
-from plumbrow.llm.common import Batches, batches_of, bounded_sample, text_of
+from plumbrow.llm.common import Batches, batches_of, bounded_sample, in_parts, share, text_of
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 BUCKETS = 1 << 16
 SWITCH = 6.0  # what a change of language costs, in nats
 SHARPNESS = 0.5  # trigrams overlap, so their evidence counts half
 OUT_OF_SCRIPT = -30.0
-MOST_CACHED = 400_000
+CACHE_BYTES = 32 << 20  # of the words whose scores a task keeps
+WORD_BYTES = 200  # of a word in it, besides its scores
 
 # First code points of ranges of letters, and their scripts; ranges end where the next begins.
 SCRIPT_RANGES = (
@@ -45,7 +46,7 @@ class Model(NamedTuple):
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, in lower case."""
+    """Runs of letters and their marks, in lower case."""
     return WORD.findall(text.lower())
 
 
@@ -70,7 +71,7 @@ def _counts(rows: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     def counted(batches: Batches) -> Batches:
         grams = np.zeros((BUCKETS, len(langs)), np.int64)
         scripts = np.zeros((len(SCRIPTS), len(langs)), np.int64)
-        for batch in batches:
+        for batch in in_parts(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if w := words_of(text):
                     h, _, script = _trigrams(w)
@@ -183,7 +184,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 
 
 def _labelled(rows: DataFrame, model: Model) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(tuple(model))  # plain values only
+    shared = share(rows.sparkSession, tuple(model))  # plain values only
     span = pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("letters", pa.int64()), ("lang", pa.string())])
 
     def labelled(batches: Batches) -> Batches:
@@ -191,8 +192,9 @@ def _labelled(rows: DataFrame, model: Model) -> DataFrame:
         langs = model.langs
         known, scores, letters = _Scores(), np.zeros((0, len(langs))), np.zeros(0, np.int64)
         usable = np.zeros(0, bool)
-        for batch in batches:
-            if len(known) > MOST_CACHED:
+        most = CACHE_BYTES // (WORD_BYTES + 8 * len(langs))
+        for batch in in_parts(batches):
+            if len(known) > most:
                 known, scores, letters, usable = _Scores(), scores[:0], letters[:0], usable[:0]
             per_doc = [np.fromiter(map(known.__getitem__, w := words_of(t)), np.int64, len(w)) for t in batch.column(1).to_pylist()]
             if fresh := list(known)[len(scores) :]:

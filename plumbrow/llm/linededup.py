@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from plumbrow.llm.common import Batches, batches_of, cut, utf8_of
+from plumbrow.llm.common import Batches, batches_of, cut, in_parts, share, utf8_of
 
 SEGMENT_BITS = 18  # a segment of a filter has 2**18 bits: 32 kB
 PROBES = 4
@@ -55,7 +55,7 @@ def _key_hashes(rows: DataFrame, shortest: int) -> DataFrame:
     """``hash, twice``: each key hash of a batch of documents once, with whether two of them hold it."""
 
     def hashed(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in in_parts(batches):
             parts = [_hashes(list(_document_keys(t, shortest))) for t in batch.column(1).to_pylist()]
             h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *parts]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n > 1)], ["hash", "twice"])
@@ -106,10 +106,10 @@ def twice_seen(hashes: DataFrame, bits: int) -> np.ndarray:
 
 def _suspects(rows: DataFrame, shortest: int, bits: int, seen: np.ndarray) -> DataFrame:
     """``id, key`` for each key of a document that the filter of repeated hashes holds."""
-    place, filter_ = _Place(bits), rows.sparkSession.sparkContext.broadcast(seen)
+    place, filter_ = _Place(bits), share(rows.sparkSession, seen)
 
     def suspected(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in in_parts(batches):
             ids, keys = [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = list(_document_keys(t, shortest))
@@ -179,7 +179,7 @@ def dedup_lines(
     both = rows.join(lost, "id", "left").select("doc_id", "utf8", "drop", "carried")
 
     def kept(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in in_parts(batches):
             n_lines, n_dropped, texts, sums = [], [], [], []
             for utf8, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 lines = utf8.split(b"\n")

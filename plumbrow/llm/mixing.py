@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbrow.llm.common import Batches, batches_of, bounded_sample, cut, utf8_of
+from plumbrow.llm.common import Batches, batches_of, bounded_sample, cut, share, utf8_of
 from plumbrow.llm.features import DIMENSIONS, Indicators
 
 
@@ -116,7 +116,7 @@ def memberships(
 ) -> DataFrame:
     """``doc_id, source, tokens, posteriors, carried`` for each row of ``docs``; ``tokens`` counts what stands
     between ASCII white space."""
-    shared = docs.sparkSession.sparkContext.broadcast((*domains[0], domains[1]))  # plain values only
+    shared = share(docs.sparkSession, (*domains[0], domains[1]))  # plain values only
 
     def predicted(batches: Batches) -> Batches:
         names, at, w, prior = shared.value

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbrow.llm.common import Batches, batches_of, bounded_sample, utf8_of
+from plumbrow.llm.common import Batches, batches_of, bounded_sample, share, utf8_of
 from plumbrow.llm.features import DIMENSIONS, Indicators
 
 
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, doc_id: str = "
     """``doc_id, score, predicted`` for each row of ``docs``: the probability of label 1, and whether it is
     ``threshold`` or more. Texts are read whole; null is empty, and an empty text has the score that no
     evidence gives. Repeated rows stay, each with the same score."""
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # plain values only
+    shared = share(docs.sparkSession, tuple(model))  # plain values only
 
     def scored(batches: Batches) -> Batches:
         m = Model(*shared.value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbrow.llm.common import Batches, batches_of, cut, utf8_of
+from plumbrow.llm.common import Batches, batches_of, cut, in_parts, utf8_of
 from plumbrow.llm.components import components
 
 SEED = 42
@@ -62,15 +63,18 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, f0, f1, ...``: a row for each row of ``docs``, 64 bits in each lane.
+def fingerprints(
+    docs: DataFrame, words: int = 3, lanes: int = 1, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """``doc_id, f0, f1, ..., carried``: a row for each row of ``docs``, 64 bits in each lane; ``carried`` is a struct of the
+    columns named in ``carry``, or null.
 
     A text without words, null or empty, has fingerprint zero. Texts are read whole.
     """
     names = [f"f{i}" for i in range(lanes)]
 
     def prints(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in in_parts(batches):
             columns: list[list[int]] = [[] for _ in names]
             for utf8 in batch.column(1).to_pylist():
                 h = shingle_hashes(utf8, words)
@@ -79,11 +83,13 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, doc_id: str =
                     if i + 1 < len(columns):
                         h = _mixed(h)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *names]
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns), batch.column(2)], ["doc_id", *names, "carried"]
             )
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8_of(text).alias("utf8"))
-    return batches_of(rows, prints, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+    carried = (F.struct(*carry) if carry else F.lit(None).cast("int")).alias("carried")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8_of(text).alias("utf8"), carried)
+    kind = rows.schema["carried"].dataType.simpleString()
+    return batches_of(rows, prints, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names) + f", carried {kind}")
 
 
 def variants(pieces: list[Segment]) -> Column:
@@ -162,7 +168,7 @@ def linked_classes(prints: DataFrame, radius: int, pieces: list[Segment], rounds
     group of near copies costs as many comparisons as it has members, and no link is lost that
     could join two components. With several ``rounds`` each takes its part of the pieces, for all nodes.
     """
-    names = [c for c in prints.columns if c.startswith("f")]
+    names = [c for c in prints.columns if c not in ("doc_id", "carried")]
     nodes = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     size = -(-len(pieces) // rounds)
@@ -190,8 +196,9 @@ def near_duplicates(
     rounds: int = 1,
     doc_id: str = "doc_id",
     text: str = "text",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``doc_id, f0, ..., component_id`` for each row of ``docs``.
+    """``doc_id, f0, ..., component_id``, with ``carry`` also ``carried``, for each row of ``docs``.
 
     Two fingerprints link if ``radius`` bits or fewer differ; ``component_id`` is the smallest doc_id
     that links lead to, its own included. With the defaults every such pair is found: of two halves,
@@ -201,10 +208,10 @@ def near_duplicates(
     id is no candidate for the smallest; a component with null ids only has a null component_id.
     Repeated rows stay, each with the same result; an empty table gives an empty one.
     """
-    prints = cut(fingerprints(docs, words, lanes, doc_id, text), "fingerprints")
+    prints = cut(fingerprints(docs, words, lanes, doc_id, text, carry), "fingerprints")
     names = [f"f{i}" for i in range(lanes)]
     classes = linked_classes(prints, radius, segments(lanes, per_lane, wild, width), rounds)
-    return prints.join(classes, names).select("doc_id", *names, "component_id")
+    return prints.join(classes, names).select("doc_id", *names, "component_id", *(["carried"] if carry else []))
 
 
 def hex_of(column: str) -> Column:

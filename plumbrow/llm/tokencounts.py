@@ -10,7 +10,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbrow.llm.common import Batches, batches_of, text_of
+from plumbrow.llm.common import Batches, batches_of, share, text_of
 
 VOCABULARIES = "/opt/tokenizers"
 # The pattern that cuts texts into words for the byte-level vocabularies.
@@ -35,7 +35,7 @@ def count_tokens(docs: DataFrame, vocabularies: Mapping[str, str], text: str = "
     array, only those named in a row are counted there. Strings of special tokens are ordinary text; a null text has none.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast({name: vocabulary(spark, path) for name, path in vocabularies.items()})
+    shared = share(spark, {name: vocabulary(spark, path) for name, path in vocabularies.items()})
     others = [c for c in docs.columns if c not in (text, "tokenizers")]
     wanted = F.col("tokenizers") if "tokenizers" in docs.columns else F.array(*map(F.lit, vocabularies))
     rows = docs.select(text_of(text).alias("text"), wanted.alias("tokenizers"), F.struct(*others).alias("carried"))

@@ -47,6 +47,17 @@ def test_spans_scripts_and_odd_texts(spark, make_docs):
     assert by_id[0].carried.id == "x" and by_id[9].spans[0].words == 20_000
 
 
+def test_letters_are_those_of_unicode(make_docs):
+    """Number signs are no letters; marks belong to their letter's word."""
+    labelled = make_docs(["the thing of that with which " * 20]).unionByName(make_docs([(1, "हिन्दी में यह बात है " * 20)]).replace("en", "hi"))
+    model = langid.fit(labelled)
+    texts = ["10²", "½ ½", "①", "_", "हिन्दी", "\u0301", "é thing of that"]
+    got = {r.doc_id: r for r in langid.label_spans(make_docs(texts), model).collect()}
+    assert all((got[i].lang_pred, got[i].score, got[i].spans) == ("und", 0.0, []) for i in (0, 1, 2, 3, 5))
+    assert got[4].lang_pred == "hi" and got[4].spans[0].words == 1
+    assert got[6].lang_pred == "en" and got[6].spans[0].words == 4
+
+
 def test_nothing_to_learn_from(make_docs):
     docs = make_docs(["a text", None])
     model = langid.fit(docs.filter("false"))
