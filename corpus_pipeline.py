@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import wraps
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from plumbrow.llm import decontaminate, langid, linededup, minhash, mixing
+from plumbrow.llm import common, decontaminate, langid, linededup, mixing, simhash
 from plumbrow.llm.common import cut, table
 from plumbrow.llm.queries import DOMAIN_SHARES, domain_labels
 from plumbrow.sources import shared
@@ -14,30 +15,36 @@ from plumbrow.sources import shared
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # A text is rejected if no language holds so much of its letters.
 LEAST_SHARE = 0.3
-# Near copies share so much of their 5-word shingles.
-NEAR = {"words": 5, "similarity": 0.8}
+# Near copies: words of a shingle, and the bits in which their fingerprints differ at most.
+NEAR = {"words": 3, "radius": 2}
 
 _made_before: list[str] = []
+_shared_before: list[Broadcast] = []
 
 
 def _stage(f):
-    """Intermediate tables of a stage go when the next one begins: by then its result has been written."""
+    """What a stage wrote and shared goes when the next one begins: by then its result has been written."""
 
     @wraps(f)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         shared.drop(spark, _made_before)
-        _made_before.clear()
-        with shared.recorded() as made:
+        for value in _shared_before:
+            value.destroy()
+        with shared.recorded() as made, common.recorded() as sent:
             out = f(spark, docs, sf_dir)
-        _made_before.extend(made)
+        _made_before[:], _shared_before[:] = made, sent
         return out
 
     return stage
 
 
-def _row_key() -> Column:
-    """A number for each id and text, which rows that share an id or have none do not share."""
-    return F.xxhash64("doc_id", "text")
+KEY = ("key", "key2")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The columns, and 128 bits for each id and text, which rows that share an id or have none do not share."""
+    keys: dict[str, Column] = {"key": F.xxhash64("doc_id", "text"), "key2": F.xxhash64("text", "doc_id", F.lit("key2"))}
+    return docs.select(*COLUMNS).withColumns(keys)
 
 
 @_stage
@@ -69,25 +76,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays; of rows with one id, or none, one of them."""
-    rows = docs.select(*COLUMNS).withColumn("row_key", _row_key())
-    found = minhash.near_duplicates(rows, **NEAR, doc_id="row_key")
-    found = found.select(F.col("doc_id").alias("row_key"), "component_id").distinct()
-    found = found.join(rows.select("row_key", "doc_id"), "row_key")
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
-    stay = found.groupBy("component_id").agg(F.min(first).alias("first")).select("first.row_key")
-    kept = rows.join(cut(stay, "stay"), "row_key", "left_semi")
+    rows = _keyed(docs)
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    found = simhash.near_duplicates(numbered, **NEAR, doc_id="row", carry=("doc_id", *KEY))
+    found = cut(found.select("component_id", "carried.*"), "groups")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *KEY)
+    stay = cut(found.groupBy("component_id").agg(F.min(first).alias("first")).select("first.key", "first.key2"), "stay")
+    gone = cut(found.join(stay, list(KEY), "left_anti").select(*KEY).distinct(), "gone")
+    kept = rows.join(gone, list(KEY), "left_anti")
     # Repeated rows share a key: one of them stays.
-    one = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
-    return kept.withColumn("copy_no", one).filter("copy_no = 1").select(*COLUMNS)
+    times = found.join(stay, list(KEY), "left_semi").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    repeated = cut(times.filter("n > 1").select(*KEY), "repeated")
+    if repeated.isEmpty():
+        return kept.select(*COLUMNS)
+    one = F.row_number().over(Window.partitionBy(*KEY).orderBy("key"))
+    again = kept.join(repeated, list(KEY), "left_semi").withColumn("copy_no", one).filter("copy_no = 1")
+    return kept.join(repeated, list(KEY), "left_anti").select(*COLUMNS).union(again.select(*COLUMNS))
 
 
 @_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark, or edited parts of it, go."""
-    rows = docs.select(*COLUMNS).withColumn("row_key", _row_key())
-    found = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), doc_id="row_key")
-    gone = cut(found.select(F.col("doc_id").alias("row_key")).distinct(), "contaminated")
-    return rows.join(gone, "row_key", "left_anti").select(*COLUMNS)
+    rows = _keyed(docs)
+    found = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), doc_id="key")
+    gone = cut(found.select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    return rows.join(gone, "key", "left_anti").select(*COLUMNS)
 
 
 @_stage
