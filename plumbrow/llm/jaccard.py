@@ -94,8 +94,9 @@ class _Sets:
         if keys.count() <= MOST_BROADCAST:
             keys = F.broadcast(keys)
         rows = self.texts.join(keys, "row_key").select("node", "d0", "d1", "utf8")
-        made_sets = batches_of(rows, made, "node bigint, elements array<bigint>")
-        return cut(made_sets.groupBy("node").agg(F.first("elements").alias("elements")), "sets")
+        found = cut(batches_of(rows, made, "node bigint, elements array<bigint>"), "sets")
+        n = found.agg(F.count("node"), F.count_distinct("node")).first()  # repeated rows share a key
+        return found if n[0] == n[1] else cut(found.dropDuplicates(["node"]), "sets")
 
 
 def _index(nodes: DataFrame, sets: _Sets, percent: int, hot_from: int) -> DataFrame:
@@ -149,6 +150,7 @@ class _Pairs:
 
     def __init__(self, entries: DataFrame, percent: int):
         self.percent = percent
+        self.prefixes = cut(entries.groupBy("node").agg(F.collect_list("hash").alias("prefix")), "prefixes")
         size, rank = F.col("size"), F.col("rank")
         of_size = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(STEP)))
         self.index = entries.select("hash", of_size(size).alias("block"), F.col("node").alias("b"), size.alias("b_size"), rank.alias("b_rank"))
@@ -167,6 +169,20 @@ class _Pairs:
         return (b <= a) & (b >= _least(a, self.percent)) & (left >= _common(a, b, self.percent)) & (F.col("a") != F.col("b"))
 
 
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs(a, b, a_size, b_size, ...)`` whose prefixes have enough in common.
+
+        A prefix is longer than one common element needs, the more so the more the sizes are alike: similar sets have one
+        in common, and one for each place by which both prefixes are longer.
+        """
+        size = lambda n: F.col(f"{n}_size")
+        need = _common(size("a"), size("b"), self.percent)
+        spare = F.least(*(need - _least(size(n), self.percent) + 1 for n in ("a", "b")))
+        of = lambda n: self.prefixes.select(F.col("node").alias(n), F.col("prefix").alias(f"{n}_prefix"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
+        return both.filter(F.size(F.array_intersect("a_prefix", "b_prefix")) >= spare).select(*pairs.columns)
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b, both, near`` of ``pairs(a, b)``: how many elements they have in common, and whether they are similar."""
     of = lambda n: sets.select(F.col("node").alias(n), F.col("elements").alias(f"{n}_elements"))
@@ -183,31 +199,38 @@ def _with_roots(rows: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
     return rows
 
 
+def _more_sets(known: DataFrame | None, sets: _Sets, pairs: DataFrame) -> DataFrame:
+    """``known(node, elements)`` and the sets of ``pairs(a, b)`` that are not there yet."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if known is None:
+        return sets.of(wanted)
+    wanted = cut(wanted.join(known.select("node"), "node", "left_anti"), "unread")
+    return known if wanted.isEmpty() else known.union(sets.of(wanted))
+
+
 def linked(nodes: DataFrame, sets: _Sets, percent: int, hot_from: int) -> DataFrame:
     """``node, root`` of the nodes that are similar to another one; root is the smallest that links lead to."""
     pairs = _Pairs(_index(nodes, sets, percent, hot_from), percent)
+    keys = ["hash", "block"]
+    apart = pairs.fits() & (F.col("a_root") != F.col("b_root"))
     # Each block's sets first meet its smallest; large groups of near copies come together by as many comparisons as they have members.
-    leaders = cut(pairs.index.groupBy("hash", "block").agg(F.min(F.struct("b", "b_size", "b_rank")).alias("first")), "leaders")
-    met = pairs.probes.join(leaders.select("hash", "block", "first.*"), ["hash", "block"])
-    stars = cut(met.filter(pairs.fits()).select("a", "b").distinct(), "star-pairs")
-    known = sets.of(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    stars = cut(_overlaps(stars, known, percent), "stars")
-    links = stars.filter("near").select("a", "b")
-    roots = cut(components(links), "roots")
-
+    leaders = cut(pairs.index.groupBy(*keys).agg(F.min(F.struct("b", "b_size", "b_rank")).alias("first")).select(*keys, "first.*"), "leaders")
+    met = pairs.probes.join(leaders, keys).filter(pairs.fits()).select("a", "b", "a_size", "b_size").distinct()
+    met = cut(pairs.plausible(cut(met, "star-pairs")).select("a", "b"), "star-pairs")
+    known = _more_sets(None, sets, met)
+    stars = cut(_overlaps(met, known, percent), "stars")
+    roots = cut(components(stars.filter("near").select("a", "b")), "roots")
     # Pairs in one component need no more; of any other pair in a block, one set is not in the component of the block's first.
-    first = _with_roots(leaders.select("hash", "block", F.col("first.b").alias("first")), roots, "first").select("hash", "block", "first_root")
-    first = cut(first, "block-roots")
-    probes = cut(_with_roots(pairs.probes, roots, "a").join(first, ["hash", "block"]), "probes")
-    index = cut(_with_roots(pairs.index, roots, "b").join(first, ["hash", "block"]), "index")
-    keys = ["hash", "block"]
+    first = cut(_with_roots(leaders.select(*keys, "b"), roots, "b").select(*keys, F.col("b_root").alias("first_root")), "block-roots")
+    probes = cut(_with_roots(pairs.probes, roots, "a").join(first, keys), "probes")
+    index = cut(_with_roots(pairs.index, roots, "b").join(first, keys), "index")
     drop = lambda df: df.drop("first_root")
     one = drop(probes.filter("a_root <> first_root")).join(drop(index), keys)
     two = drop(probes.filter("a_root = first_root")).join(drop(index.filter("b_root <> first_root")), keys)
     columns = ["a", "b", "a_size", "b_size", "a_root", "b_root"]
-    apart = pairs.fits() & (F.col("a_root") != F.col("b_root"))
     cross = one.filter(apart).select(*columns).union(two.filter(apart).select(*columns)).distinct()
     cross = cut(cross.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "cross-pairs")
+    cross = cut(pairs.plausible(cross), "cross-pairs")
     if cross.isEmpty():
         return roots
 
@@ -224,10 +247,9 @@ def linked(nodes: DataFrame, sets: _Sets, percent: int, hot_from: int) -> DataFr
         cross = cross.withColumn(f"{c}_model", F.coalesce(f"{c}_model", c)).drop(f"{c}_both", f"{c}_model_size")
     cross = cut(cross, "modelled")
     models = cut(cross.select(F.col("a_model").alias("a"), F.col("b_model").alias("b")).distinct(), "model-pairs")
-    wanted = models.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node"), "node", "left_anti")
-    known = known.union(sets.of(wanted))
+    known = _more_sets(known, sets, models)
     models = cut(_overlaps(models, known, percent), "model-overlaps")
-    links = links.union(models.filter("near").select("a", "b"))
+    links = stars.filter("near").select("a", "b").union(models.filter("near").select("a", "b"))
     roots = cut(components(links), "roots")
     rest = _with_roots(cross.drop("a_root", "b_root"), roots, "a", "b").filter("a_root <> b_root")
     rest = rest.join(models.select(F.col("a").alias("a_model"), F.col("b").alias("b_model"), "both"), ["a_model", "b_model"])
@@ -237,8 +259,7 @@ def linked(nodes: DataFrame, sets: _Sets, percent: int, hot_from: int) -> DataFr
     links = links.union(rest.filter("sure").select("a", "b"))
     unsure = rest.filter("NOT sure").select("a", "b")
     if not unsure.isEmpty():
-        wanted = unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node"), "node", "left_anti")
-        known = known.union(sets.of(wanted))
+        known = _more_sets(known, sets, unsure)
         links = links.union(cut(_overlaps(unsure, known, percent).filter("near").select("a", "b"), "verified"))
     return cut(components(links), "roots")
 
