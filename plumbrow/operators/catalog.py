@@ -7,7 +7,7 @@ expressions: no explode, no join, no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -127,47 +127,111 @@ def sample_rows(df: DataFrame, limit: int = 5, order_by: Sequence[str] | None =
     return df.orderBy(*order_by).limit(limit) if order_by else df.limit(limit)
 
 
-_PLANS = "org.apache.spark.sql.catalyst.plans.logical."
-_DESCRIBES = ("DescribeRelation", "DescribeColumn", "DescribeQueryCommand", "DescribeFunctionCommand", "DescribeFunction")
+_DESCRIBES = ("DescribeRelation", "DescribeColumn", "DescribeQueryCommand")
+# What a query may be made of, by the names of Spark's plan nodes; anything else is refused.
+_QUERY_NODES = frozenset(
+    "Aggregate Deduplicate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation"
+    " Pivot Project Sample Sort SubqueryAlias Union UnresolvedHaving UnresolvedInlineTable UnresolvedOrdinal UnresolvedRelation"
+    " UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction UnresolvedTVFAliases UnresolvedWith Unpivot View"
+    " Window WithWindowDefinition".split()
+)
+# Groups of built-in functions that read nothing but their arguments, and others one by one.
+_FUNCTION_GROUPS = frozenset(
+    "agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs csv_funcs datetime_funcs generator_funcs"
+    " hash_funcs json_funcs lambda_funcs map_funcs math_funcs predicate_funcs string_funcs struct_funcs url_funcs variant_funcs"
+    " window_funcs xml_funcs".split()
+)
+_FUNCTIONS = frozenset(("typeof", "monotonically_increasing_id"))
+_TABLE_FUNCTIONS = frozenset(
+    "explode explode_outer inline inline_outer json_tuple posexplode posexplode_outer range stack".split()
+)
+
+
+def _items(seq) -> Iterator:
+    return (seq.apply(i) for i in range(seq.size()))
 
 
 def _nodes(plan) -> Iterator:
     """A plan's nodes with those of its named queries and of the queries inside its expressions."""
     yield plan
-    inner = [plan.children(), plan.innerChildren(), plan.subqueries()]
-    for seq in inner:
-        for i in range(seq.size()):
-            child = seq.apply(i)
-            if child.getClass().getName().startswith("org.apache.spark.sql") and hasattr(child, "innerChildren"):
+    for seq in (plan.children(), plan.innerChildren(), plan.subqueries()):
+        for child in _items(seq):
+            if hasattr(child, "innerChildren") and hasattr(child, "subqueries"):
                 yield from _nodes(child)
 
 
-def check_read_only(spark: SparkSession, query: str) -> None:
-    """Raise ValueError unless Spark's own parser sees a query or a DESCRIBE; nothing is run."""
+def _expressions(expression) -> Iterator:
+    yield expression
+    for child in _items(expression.children()):
+        yield from _expressions(child)
+
+
+def _check_function(spark: SparkSession, parts: Sequence[str]) -> None:
+    name = parts[-1].lower()
+    info = None
+    if len(parts) == 1:
+        known = spark._jsparkSession.sessionState().catalog()
+        try:
+            info = known.lookupFunctionInfo(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+        except Exception:  # Spark has no such function
+            info = None
+    if info is None or info.getSource() != "built-in" or not (info.getGroup() in _FUNCTION_GROUPS or name in _FUNCTIONS):
+        raise ValueError(f"function {'.'.join(parts)} is not allowed")
+
+
+def check_read_only(spark: SparkSession, query: str, tables: Iterable[str]) -> None:
+    """Raise ValueError unless Spark's own parser sees a query, or a DESCRIBE, that is made of allowed nodes and functions and
+    reads nothing but ``tables`` and queries that it names itself; nothing is run."""
     from pyspark.errors import ParseException
 
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
     except Exception as e:  # the parser's errors come through as they are or wrapped
         raise ValueError(f"not a query: {e}") from (e if isinstance(e, ParseException) else None)
-    if plan.getClass().getSimpleName() in _DESCRIBES:
-        return
-    jvm = spark._jvm.java.lang.Class
-    writing = [jvm.forName(_PLANS + name) for name in ("Command", "ParsedStatement", "ScriptTransformation")]
-    for node in _nodes(plan):
-        if any(kind.isInstance(node) for kind in writing):
-            raise ValueError(f"only SELECT, WITH or DESCRIBE queries are allowed, not {node.getClass().getSimpleName()}")
+    describes = plan.getClass().getSimpleName() in _DESCRIBES
+    if plan.getClass().getSimpleName() == "DescribeQueryCommand":
+        plan, describes = plan.plan(), False
+    nodes = list(_nodes(plan))
+    given = {n.lower() for n in tables}
+    own = {x._1().lower() for n in nodes if n.getClass().getSimpleName() == "UnresolvedWith" for x in _items(n.cteRelations())}
+    hidden = [n for n in own - given if spark.catalog.tableExists(n)]
+    if hidden:  # outside its scope the name would be another table's
+        raise ValueError(f"queries inside this one need names that no table has: {hidden}")
+    for node in nodes:
+        kind = node.getClass().getSimpleName()
+        if describes and (node is plan or kind == "UnresolvedTableOrView"):
+            if kind == "UnresolvedTableOrView" and (node.multipartIdentifier().size() > 1 or node.multipartIdentifier().apply(0).lower() not in given):
+                raise ValueError("only the given tables can be described")
+            continue
+        if kind not in _QUERY_NODES:
+            raise ValueError(f"only SELECT, WITH or DESCRIBE queries are allowed, not {kind}")
+        if kind == "UnresolvedRelation":
+            name = [x.lower() for x in _items(node.multipartIdentifier())]
+            if len(name) > 1 or name[0] not in given | own:
+                raise ValueError(f"{'.'.join(name)} is none of the given tables")
+        if kind == "UnresolvedTableValuedFunction":
+            name = [x.lower() for x in _items(node.name())]
+            if len(name) > 1 or name[0] not in _TABLE_FUNCTIONS:
+                raise ValueError(f"function {'.'.join(name)} is not allowed")
+        for e in (x for top in _items(node.expressions()) for x in _expressions(top)):
+            named = e.getClass().getSimpleName()
+            if named == "UnresolvedFunction":
+                _check_function(spark, list(_items(e.nameParts())))
+            elif named == "UnresolvedGenerator":
+                _check_function(spark, [e.name().funcName()])
+            elif "Identifier" in named or "Reflect" in named or "Parameter" in named:
+                raise ValueError(f"{named} is not allowed")
 
 
 def audit_sql(spark: SparkSession, tables: Mapping[str, DataFrame], query: str) -> DataFrame:
     """Read-only SQL over the given tables.
 
-    Spark runs commands as soon as it sees them, so the text is parsed first, and refused if any part of it writes,
-    changes anything or runs a script. The tables have their names for this query only: views of the caller
-    with the same names are there again afterwards.
+    Spark runs commands as soon as it sees them, so the text is parsed first, and refused unless all its parts are allowed: no
+    commands, scripts or statements built from text, no other tables, files or user functions, no calls into the JVM. The
+    tables have their names for this query only: views of the caller with the same names are there again afterwards.
     """
     text = query.strip().rstrip(";")
-    check_read_only(spark, text)
+    check_read_only(spark, text, tables)
     views = spark._jsparkSession.sessionState().catalog()
     before = {n: spark.table(n) if views.getTempView(n).isDefined() else None for n in tables}
     try:

@@ -230,6 +230,29 @@ def fix_report(anomalies: DataFrame, schema: T.StructType | None = None) -> Data
     return kept.select("dataset", text.alias("line")).distinct()
 
 
+def column_edges(edges: DataFrame, columns: DataFrame, renames: DataFrame | None = None) -> DataFrame:
+    """``src, dst`` between columns, each named by ``column_key``: how columns pass along ``edges(src, dst)`` of tables.
+
+    A column of a table comes from the column of the same name in the tables above it, or where ``renames(dataset, column,
+    source_column)`` names another one, from that one only. A table above that does not carry it passes nothing on.
+    ``columns(dataset, column)`` has the columns of all tables.
+    """
+    own = columns.select("dataset", "column").distinct()
+    below = own.withColumn("source_column", F.col("column"))
+    if renames is not None:
+        named = renames.select("dataset", "column", "source_column").distinct()
+        below = own.join(named, ["dataset", "column"], "left").withColumn("source_column", F.coalesce("source_column", "column"))
+    links = edges.select("src", "dst").filter("src <> dst").distinct()
+    below = links.join(below, links["dst"] == below["dataset"]).select("src", "source_column", "dst", "column")
+    above = own.select(F.col("dataset").alias("src"), F.col("column").alias("source_column"))
+    carried = below.join(above, ["src", "source_column"], "left_semi")
+    return carried.select(column_key("src", "source_column").alias("src"), column_key("dst", "column").alias("dst"))
+
+
+def column_key(dataset: str, column: str) -> Column:
+    return F.to_json(F.array(dataset, column))
+
+
 def circuit_breaker(
     anomalies: DataFrame,
     edges: DataFrame,
@@ -241,8 +264,9 @@ def circuit_breaker(
     """``dataset, status, defects``: which downstream tables to pause and how many defects reach them.
 
     A defect of an upstream table reaches a table below it if ``watch(dataset, column, issue)``
-    says so, or, without ``watch``, if that table carries the column: ``columns(dataset, column)``,
-    through ``renames(dataset, column, source_column)`` where it has another name.
+    says so, or, without ``watch``, if its column does: it is followed from table to table, by name or through
+    ``renames(dataset, column, source_column)``, and ends at a table that does not carry it (``column_edges``);
+    ``columns(dataset, column)`` has the columns of all tables that do, those with defects too.
     A defect of ``threshold_pct`` percent of the rows or fewer pauses nothing; with 0 a single bad row does.
     A pair of dates in the wrong order is one defect of a table, whichever of the two it carries.
     """
@@ -263,18 +287,17 @@ def circuit_breaker(
             )
         ),
     )
-    reach = downstream(edges, bad.select(F.col("start").alias("id")), hops=None)
-    reach = reach.select("start", F.col("node").alias("dataset"))
-    exposed = bad.join(reach, "start")
     if watch is not None:
+        reach = downstream(edges, bad.select(F.col("start").alias("id")), hops=None)
+        exposed = bad.join(reach.select("start", F.col("node").alias("dataset")), "start")
         hit = exposed.join(watch.select("dataset", "column", "issue"), ["dataset", "column", "issue"], "left_semi")
     else:
-        carried = columns.select("dataset", "column")
-        if renames is not None:
-            carried = carried.join(renames, ["dataset", "column"], "left").select(
-                "dataset", F.coalesce("source_column", "column").alias("column")
-            )
-        hit = exposed.join(carried, ["dataset", "column"], "left_semi")
+        bad = bad.withColumn("at", column_key("start", "column"))
+        sources = bad.select(F.col("start").alias("dataset"), "column")  # a table carries the columns it has defects in
+        carried = columns.select("dataset", "column").union(sources)
+        reach = downstream(column_edges(edges, carried, renames), bad.select(F.col("at").alias("id")), hops=None)
+        reached = reach.select(F.col("start").alias("at"), F.from_json("node", "array<string>")[0].alias("dataset"))
+        hit = bad.join(reached, "at")
     hits = (
         hit.select("dataset", "start", "defect").distinct()
         .groupBy("dataset").agg(F.count(F.lit(1)).alias("defects"))

@@ -162,13 +162,24 @@ def stream_registry(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Datasets that are registered but have no events are numbered from here on.
+QUIET = 1_000_000_000
+
+
+def stream_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """``id`` of the users' datasets, and of one quiet dataset for each nation."""
+    users = table(spark, sf, "events").select("user_id").distinct()
+    quiet = table(spark, sf, "nation").select((F.col("n_nationkey").cast("bigint") + QUIET).alias("user_id"))
+    return users.union(quiet).select(stream_urn(F.col("user_id")).alias("id"))
+
+
 def stream_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Links of large events only, so that there are roots, sinks, lone datasets and orphans among them."""
-    large = table(spark, sf, "events").filter("value > 150")
-    pairs = large.select("user_id", _peer().alias("peer")).distinct()
-    return pairs.filter("peer is not null").select(
-        stream_urn(F.col("user_id")).alias("src"), stream_urn(F.col("peer")).alias("dst")
-    )
+    """Every event links its user's dataset with the one that it names: the lower number feeds the higher one, so there
+    are roots, sinks and orphans."""
+    peer = _peer()
+    ends = F.least("user_id", peer).alias("src"), F.greatest("user_id", peer).alias("dst")
+    pairs = table(spark, sf, "events").filter(peer.isNotNull()).select(*ends).distinct()
+    return pairs.select(stream_urn(F.col("src")).alias("src"), stream_urn(F.col("dst")).alias("dst"))
 
 
 def stream_rows(spark: SparkSession, sf: str) -> DataFrame:

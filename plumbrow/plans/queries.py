@@ -580,8 +580,7 @@ def lineage_unknown_names(spark, sf):
 def _centrality(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     # Written once: the events behind both are read for the graph and again for what is joined to it.
     registry, edges = cut(src.stream_registry(spark, sf), "registry"), cut(src.stream_edges(spark, sf), "lineage")
-    nodes = registry.select(F.col("urn").alias("id"))
-    return registry, edges, graph.betweenness(nodes, edges)
+    return registry, edges, graph.betweenness(src.stream_nodes(spark, sf), edges)
 
 
 @query(
@@ -628,8 +627,8 @@ def downstream_transitive(spark, sf):
     FROM roles"""
 )
 def lineage_node_roles(spark, sf):
-    registry, edges, central = _centrality(spark, sf)
-    return lineage.node_roles(registry.select(F.col("urn").alias("id")), edges, central)
+    _, edges, central = _centrality(spark, sf)
+    return lineage.node_roles(src.stream_nodes(spark, sf), edges, central)
 
 
 # --- risk ----------------------------------------------------------------------------------------
@@ -700,18 +699,14 @@ def risk_vulnerabilities(spark, sf):
     f"""WITH {q.SCORES}, {q.STREAM_ROWS}, found AS ({q.findings(_STREAM_FINDINGS)}),
     listed AS (SELECT dataset, string_agg("column" || ':' || issue || ':' || bad_rows, ',' ORDER BY "column", issue) AS findings
       FROM found GROUP BY dataset),
-    below AS (SELECT src, count(*) AS n FROM links GROUP BY src)
+    below AS (SELECT src, count(*) AS n FROM g_edges GROUP BY src)
     SELECT s.urn, s."table" AS table_name, round(s.centrality, 4) AS centrality, s.risk_score, s.risk_score >= 0.65 AS is_high_risk,
       array_to_string(s.pii_columns, ',') AS pii_columns, coalesce(b.n, 0) AS downstream_count,
       coalesce(l.findings, '') AS findings
     FROM scores s JOIN users u ON u.urn = s.urn LEFT JOIN below b ON b.src = u.user_id LEFT JOIN listed l ON l.dataset = s.urn"""
 )
 def governance_context(spark, sf):
-    registry, edges, central = _centrality(spark, sf)
-    context = risk.governance_context(
-        catalog.detect_pii_columns(registry), edges, _stream_freshness(spark, sf), central,
-        profile.profile(src.stream_rows(spark, sf), by="urn"),
-    )
+    context = _context(spark, sf)
     texts = F.transform(
         "statistical_profile",
         lambda f: F.concat_ws(":", f["column"], f["issue"], f["bad_rows"].cast("string")),
@@ -722,6 +717,22 @@ def governance_context(spark, sf):
     )
 
 
+@query(f"WITH {q.STREAMS} SELECT {q.STREAM_URN.format('src')} AS src, {q.STREAM_URN.format('dst')} AS dst FROM g_edges")
+def governance_edges(spark, sf):
+    """The context as it is written for other tools, read back: its edges."""
+    path = new_path(spark, "context")
+    risk.write_context(_context(spark, sf), path)
+    return spark.read.schema("src string, dst string").json(f"{path}/lineage_edges")
+
+
+def _context(spark: SparkSession, sf: str) -> risk.GovernanceContext:
+    registry, edges, central = _centrality(spark, sf)
+    return risk.governance_context(
+        catalog.detect_pii_columns(registry), edges, _stream_freshness(spark, sf), central,
+        profile.profile(src.stream_rows(spark, sf), by="urn"),
+    )
+
+
 # --- remediation ---------------------------------------------------------------------------------
 
 _CLIPPED = "CASE WHEN TRY_CAST(billing_amount AS DOUBLE) < 0 THEN '0' ELSE billing_amount END"
@@ -888,22 +899,27 @@ def circuit_breaker(spark, sf):
 @query(
     f"""WITH {q.PATIENTS}, found AS ({q.findings([*_NULLS, *_NEGATIVES, *_RANGES, _INVERSION])}),
     carried(dataset, col) AS (VALUES ('staging_patients', 'billing_amount'), ('staging_patients', 'age'),
-      ('mart_billing', 'billing_amount'), ('mart_billing', 'date_of_admission'), ('mart_billing', 'discharge_date'),
-      ('mart_demographics', 'name')),
+      ('staging_patients', 'date_of_admission'), ('mart_billing', 'billing_amount'), ('mart_billing', 'date_of_admission'),
+      ('mart_demographics', 'age')),
     tables(dataset) AS (VALUES ('staging_patients'), ('mart_billing'), ('mart_demographics')),
     hits AS (SELECT t.dataset, count(DISTINCT f."column" || f.issue) AS defects FROM tables t
       LEFT JOIN carried c ON c.dataset = t.dataset LEFT JOIN found f ON c.col IN (f."column", f.column_2) GROUP BY t.dataset)
     SELECT dataset, CASE WHEN defects > 0 THEN 'PAUSED' ELSE 'OPERATIONAL' END AS status, defects FROM hits"""
 )
 def circuit_breaker_renamed(spark, sf):
-    """Defects reach the tables that carry the column, under another name too; a pair of dates counts once."""
+    """Defects reach the tables that carry the column, under another name too, renamed once or twice; a pair of dates counts
+    once. The staging table drops the names, so the demographics, which have a column of that name, do not get their defects."""
     found = profile.profile(src.patients(spark, sf), "raw_patients")
     edges = spark.createDataFrame(_PATIENT_EDGES, "src string, dst string")
     columns = [
-        ("staging_patients", "amount"), ("staging_patients", "age"), ("mart_billing", "billing_amount"),
-        ("mart_billing", "first_day"), ("mart_billing", "discharge_date"), ("mart_demographics", "name"),
+        *(("raw_patients", c) for c in src.SCHEMAS["patients"]), ("staging_patients", "amount"), ("staging_patients", "age"),
+        ("staging_patients", "date_of_admission"), ("mart_billing", "charge"), ("mart_billing", "first_day"),
+        ("mart_demographics", "name"), ("mart_demographics", "years"),
+    ]
+    renames = [
+        ("staging_patients", "amount", "billing_amount"), ("mart_billing", "charge", "amount"),
+        ("mart_billing", "first_day", "date_of_admission"), ("mart_demographics", "years", "age"),
     ]
-    renames = [("staging_patients", "amount", "billing_amount"), ("mart_billing", "first_day", "date_of_admission")]
     return remediate.circuit_breaker(
         found,
         edges,
@@ -912,6 +928,44 @@ def circuit_breaker_renamed(spark, sf):
     )
 
 
+def _visit_lineage(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``edges, columns, renames`` of a pipeline for each hospital: raw, staging, billing and bills behind it. The billing
+    tables rename the amount; hospitals of an even digit pass it on to their bills, renamed again, the others drop it."""
+    hospital = src.patients(spark, sf).select("hospital").distinct().select(F.regexp_replace("hospital", " ", "_").alias("h"))
+    of = lambda stage: F.concat_ws(".", "h", F.lit(stage))
+    even = F.conv(F.substring("h", -1, 1), 16, 10).cast("int") % 2 == 0
+    pair = lambda a, b: F.struct(of(a).alias("src"), of(b).alias("dst"))
+    edges = hospital.select(F.inline(F.array(pair("raw", "staging"), pair("staging", "billing"), pair("billing", "bills"))))
+    column = lambda stage, name: F.struct(of(stage).alias("dataset"), F.lit(name).alias("column"))
+    held = [column("raw", c) for c in src.SCHEMAS["patients"]]
+    held += [column("staging", c) for c in ("name", "age", "billing_amount")] + [column("bills", c) for c in ("total", "name", "billing_amount")]
+    held += [F.when(even, column("billing", "amount")), column("billing", "age")]
+    columns = hospital.select(F.explode(F.array(*held)).alias("x")).filter("x IS NOT NULL").select("x.*")
+    rename = lambda stage, name, old: F.struct(of(stage).alias("dataset"), F.lit(name).alias("column"), F.lit(old).alias("source_column"))
+    renames = hospital.select(F.inline(F.array(rename("billing", "amount", "billing_amount"), rename("bills", "total", "amount"))))
+    return edges, columns, renames
+
+
+@query(
+    f"""WITH {q.PATIENTS}, found AS ({q.findings(_BY_HOSPITAL)}),
+    hospitals AS (SELECT DISTINCT hospital, replace(hospital, ' ', '_') AS h, ('0x' || right(hospital, 1))::INT % 2 = 0 AS even FROM patients),
+    reached AS (SELECT h.h, f."column" AS col, issue, column_2, unnest(CASE
+        WHEN f."column" = 'billing_amount' AND even THEN ['staging', 'billing', 'bills'] WHEN f."column" = 'age' THEN ['staging', 'billing']
+        WHEN f."column" IN ('name', 'billing_amount') THEN ['staging'] ELSE [] END) AS stage
+      FROM found f JOIN hospitals h ON h.hospital = f.dataset),
+    tables AS (SELECT h, unnest(['staging', 'billing', 'bills']) AS stage FROM hospitals)
+    SELECT t.h || '.' || t.stage AS dataset, count(DISTINCT col || issue) AS defects,
+      CASE WHEN count(DISTINCT col || issue) > 0 THEN 'PAUSED' ELSE 'OPERATIONAL' END AS status
+    FROM tables t LEFT JOIN reached r ON r.h = t.h AND r.stage = t.stage GROUP BY t.h, t.stage"""
+)
+def circuit_breaker_by_column(spark, sf):
+    """A pipeline for each hospital, its defects followed from column to column."""
+    edges, columns, renames = _visit_lineage(spark, sf)
+    found = profile.profile(src.patients(spark, sf), by="hospital")
+    found = found.withColumn("dataset", F.concat(F.regexp_replace("dataset", " ", "_"), F.lit(".raw")))
+    return remediate.circuit_breaker(found, edges, columns, renames=renames)
+
+
 # --- pipelines -----------------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from plumbrow.plans.inputs import DOMAINS, KINDS, SCHEMAS
+from plumbrow.plans.inputs import DOMAINS, KINDS, QUIET, SCHEMAS
 
 
 def urn(domain: str, table: str) -> str:
@@ -113,9 +113,9 @@ _PEER = "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)"
 STREAMS = f"""users AS (SELECT user_id, {STREAM_URN.format('user_id')} AS urn, {kind_domain('user_id')} AS domain,
   'user_' || CAST(user_id AS VARCHAR) AS "table", {kind_schema('user_id')} AS columns
   FROM (SELECT DISTINCT user_id FROM events)),
-links AS (SELECT DISTINCT user_id AS src, {_PEER} AS dst FROM events WHERE {_PEER} IS NOT NULL AND value > 150),
+links AS (SELECT DISTINCT least(user_id, {_PEER}) AS src, greatest(user_id, {_PEER}) AS dst FROM events WHERE {_PEER} IS NOT NULL),
 g_edges AS (SELECT src, dst FROM links WHERE src <> dst),
-g_nodes AS (SELECT user_id AS id FROM users UNION SELECT src FROM links UNION SELECT dst FROM links)"""
+g_nodes AS (SELECT user_id AS id FROM users UNION SELECT {QUIET} + n_nationkey FROM nation UNION SELECT src FROM links UNION SELECT dst FROM links)"""
 
 _PII = "|".join(
     ("name", "ssn", "passport", "email", "medical_condition", "phone", "card", "patient", "address")
@@ -133,7 +133,7 @@ FRESHNESS = f"""fresh AS (SELECT user_id, CAST(max(epoch_us(ts) // 1000) AS BIGI
 
 # The number of shortest paths of length d is the number of walks of that length where d is the
 # distance. STEPS are more than the diameter of this graph, which the tests check.
-STEPS = 12
+STEPS = 6
 CENTRALITY = STREAMS + """,
 w1 AS (SELECT src AS s, dst AS t, 1.0::DOUBLE AS c, 1 AS d FROM g_edges),
 """ + "\n".join(

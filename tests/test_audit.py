@@ -48,6 +48,39 @@ def test_audit_sql_reads(spark):
     assert catalog.audit_sql(spark, tables, "DESCRIBE audited").first().col_name == "id"
 
 
+@pytest.mark.parametrize("text", [
+    "EXECUTE IMMEDIATE 'CREATE TABLE evil USING parquet AS SELECT 1 AS x'", "EXECUTE IMMEDIATE 'SELECT 1'",
+    "SELECT java_method('java.lang.System', 'setProperty', 'a', 'b')", "SELECT reflect('java.util.UUID', 'randomUUID')", "SELECT try_reflect('a', 'b')",
+    "SELECT 1 FROM audited WHERE id IN (SELECT length(java_method('java.lang.System', 'getProperty', 'user.dir')))",
+    "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM hidden", "SELECT * FROM default.audited", "SELECT (SELECT max(id) FROM hidden)",
+    "WITH hidden AS (SELECT 1 AS id) SELECT * FROM hidden", "SELECT plus_one(id) FROM audited", "SELECT * FROM IDENTIFIER('hidden')",
+    "SELECT IDENTIFIER('reflect')('java.util.UUID', 'randomUUID')", "SELECT input_file_name()", "SELECT raise_error('x')", "BEGIN SELECT 1; END",
+    "TABLE hidden", "DESCRIBE hidden", "DESCRIBE QUERY SELECT * FROM hidden", "EXPLAIN SELECT 1", "SHOW TABLES", "CACHE TABLE audited", "SELECT current_user()",
+    "SELECT /*+ BROADCAST(audited) */ * FROM hidden",
+    "SELECT * FROM VALUES (reflect('java.util.UUID', 'randomUUID')) AS t(x)", "SELECT exists(array(1), x -> reflect('java.util.UUID', 'randomUUID') = '')",
+    "SELECT * FROM audited LATERAL VIEW explode(split(reflect('java.util.UUID', 'randomUUID'), '-')) t AS x",
+])
+def test_audit_sql_refuses_what_is_not_listed(spark, text):
+    spark.range(3).createOrReplaceTempView("hidden")
+    spark.udf.register("plus_one", lambda x: x + 1, "bigint")
+    with pytest.raises(ValueError):
+        catalog.audit_sql(spark, {"audited": spark.range(5)}, text)
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT a.id % 2 AS odd, count(*) AS n, avg(b.id) AS m FROM audited a JOIN audited b USING (id) GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 3",
+    "WITH x AS (SELECT id FROM audited), y AS (SELECT max(id) AS m FROM x) SELECT x.id FROM x, y WHERE x.id < y.m",
+    "SELECT id, row_number() OVER (PARTITION BY id % 2 ORDER BY id) AS k FROM audited", "SELECT id, sum(id) OVER w AS s FROM audited WINDOW w AS (ORDER BY id)",
+    "SELECT id FROM audited WHERE id IN (SELECT max(id) FROM audited) UNION ALL SELECT 7", "SELECT id FROM audited EXCEPT SELECT 1", "SELECT DISTINCT upper(cast(id AS string)) AS t FROM AUDITED",
+    "SELECT CASE WHEN id BETWEEN 1 AND 2 THEN 'a' END AS c, transform(array(id), x -> x + 1) AS l FROM audited OFFSET 1", "SELECT * FROM VALUES (1, 'a') AS t(k, v)",
+    "SELECT id, x FROM audited LATERAL VIEW explode(array(1, 2)) t AS x", "SELECT * FROM range(3)", "SELECT id FROM audited a WHERE EXISTS (SELECT 1 FROM audited b WHERE b.id = a.id + 1)",
+    "SELECT * FROM (SELECT id, id % 2 AS k FROM audited) PIVOT (sum(id) FOR k IN (0, 1))", "SELECT id, count(*) AS n FROM audited GROUP BY CUBE (id)",
+    "DESCRIBE QUERY SELECT id FROM audited", "DESC audited", "TABLE audited", "SELECT id::string AS t, current_date() >= date'2020-01-01' AS d, extract(year FROM date'2020-01-01') AS y FROM audited",
+])
+def test_audit_sql_runs_queries(spark, text):
+    assert catalog.audit_sql(spark, {"audited": spark.range(5)}, text).count() > 0
+
+
 def test_audit_sql_leaves_the_views_of_the_caller(spark):
     spark.range(2).createOrReplaceTempView("audited")
     got = catalog.audit_sql(spark, {"audited": spark.range(5), "audited_2": spark.range(1)}, "SELECT count(*) AS n FROM audited")

@@ -90,6 +90,22 @@ def test_breaker_by_carried_columns(spark):
     assert status(watch=watch) == {**carried, "staging": "OPERATIONAL", "people": "PAUSED"}
 
 
+def test_breaker_follows_columns_from_table_to_table(spark):
+    """Two renames in a row, a table that drops the column, a column renamed away, a cycle and a name with odd characters."""
+    found_ = spark.createDataFrame([("raw", "amount", None, p.NEGATIVE, 1, 100, 1.0, -1.0)], ANOMALIES)
+    chain = [("raw", "staging"), ("staging", "mart"), ("raw", "other"), ("other", "mart2"), ("staging", "swapped"), ("mart", "staging"), ("mart", 'o"dd, 1')]
+    edges = spark.createDataFrame(chain, "src string, dst string")
+    columns = spark.createDataFrame(
+        [("raw", "amount"), ("staging", "amt"), ("mart", "billing"), ("other", "id"), ("mart2", "amount"), ("swapped", "amt"), ('o"dd, 1', "billing")],
+        "dataset string, column string",
+    )
+    renames = [("staging", "amt", "amount"), ("mart", "billing", "amt"), ("swapped", "amt", "id")]
+    renames = spark.createDataFrame(renames, "dataset string, column string, source_column string")
+    got = {x.dataset: (x.status, x.defects) for x in r.circuit_breaker(found_, edges, columns, renames=renames).collect()}
+    paused, running = ("PAUSED", 1), ("OPERATIONAL", 0)
+    assert got == {"staging": paused, "mart": paused, 'o"dd, 1': paused, "other": running, "mart2": running, "swapped": running}
+
+
 def test_selective_halting(spark, sf_dir):
     """Negative amounts reach the billing mart only, impossible ages the other one only."""
     raw = inputs.patients(spark, sf_dir)
