@@ -39,6 +39,7 @@ def _stage(f):
 
 
 KEY = ("key", "key2")
+MOST_BROADCAST = 400_000  # keys of documents that go: 10 MB; more meet the documents in a shuffle
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *KEY)
     stay = cut(found.groupBy("component_id").agg(F.min(first).alias("first")).select("first.key", "first.key2"), "stay")
     gone = cut(found.join(stay, list(KEY), "left_anti").select(*KEY).distinct(), "gone")
-    kept = rows.join(gone, list(KEY), "left_anti")
+    kept = rows.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, list(KEY), "left_anti")
     # Repeated rows share a key: one of them stays.
     times = found.join(stay, list(KEY), "left_semi").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
     repeated = cut(times.filter("n > 1").select(*KEY), "repeated")
