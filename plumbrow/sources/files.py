@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Doubled quotes inside a quoted field, as CSV writers emit them.
 _CSV = {"header": True, "inferSchema": False, "mode": "FAILFAST", "quote": '"', "escape": '"'}
 
+POINTER = "_current"  # the file that names the version of a stage to be read
+
 
 def clean_name(name: str) -> str:
     """A CSV header as a column name: trimmed, blanks to underscores, lower case."""
@@ -59,13 +62,62 @@ def read_tables(
     return {n: spark.read.format(fmt).load(f"{folder.rstrip('/')}/{n}.{fmt}") for n in names}
 
 
+def _file_system(spark: SparkSession, path: str):
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made, made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder below ``path`` that a stage's pointer names; None if nothing was committed."""
+    pointer, fs = _file_system(spark, f"{path.rstrip('/')}/{POINTER}")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Let the pointer name ``version``: a new file takes the old one's place in one step."""
+    made, fs = _file_system(spark, f"{path}/{POINTER}-{version}")
+    pointer = _file_system(spark, f"{path}/{POINTER}")[0]
+    out = fs.create(made, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    overwrite = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(overwrite, 1)
+    options[0] = overwrite.OVERWRITE
+    files = hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(made), fs.makeQualified(pointer), options)
+
+
+def read_stage(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """The stage that was last committed at ``path``."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no stage was written to {path}")
+    return spark.read.format(fmt).load(f"{path.rstrip('/')}/{version}")
+
+
 def materialize(df: DataFrame, path: str, view: str | None = None, fmt: str = "parquet") -> DataFrame:
     """Write a pipeline stage, replacing what was there, and return the written table.
 
-    The stage must not be read from ``path`` itself. ``view`` also registers it under a name.
+    Each write is a version, a folder of its own below ``path``; once it is whole, the pointer names it. A write that breaks off
+    leaves the stage as it was, and ``df`` may read the stage that it replaces. The version before stays for those who
+    still read it; older ones, and what broken writes left, go. ``view`` also registers the table under a name. One writer at a time.
     """
-    df.write.mode("overwrite").format(fmt).save(path)
-    out = df.sparkSession.read.format(fmt).schema(df.schema).load(path)
+    spark, path = df.sparkSession, path.rstrip("/")
+    before, version = current_version(spark, path), f"version-{uuid.uuid4().hex}"
+    df.write.format(fmt).save(f"{path}/{version}")
+    _point(spark, path, version)
+    folder, fs = _file_system(spark, path)
+    for status in fs.listStatus(folder):
+        if status.isDirectory() and status.getPath().getName().startswith("version-") and status.getPath().getName() not in (before, version):
+            fs.delete(status.getPath(), True)
+    out = spark.read.format(fmt).schema(df.schema).load(f"{path}/{version}")
     if view:
         out.createOrReplaceTempView(view)
     return out

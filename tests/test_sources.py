@@ -44,6 +44,23 @@ def test_materialize_replaces(spark, tmp_path):
     assert out.count() == spark.table("stage_view").count() == 3
 
 
+def test_a_broken_write_leaves_the_stage_before(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    with pytest.raises(FileNotFoundError):
+        files.read_stage(spark, path)
+    before = files.materialize(spark.range(10), path)
+    failing = spark.range(100).selectExpr("CASE WHEN id < 90 THEN id ELSE raise_error('broken off') END AS id").repartition(8)
+    with pytest.raises(Exception, match="broken off"):
+        files.materialize(failing, path)
+    assert files.read_stage(spark, path).count() == before.count() == 10
+    # The next stage may read the one it replaces, whose readers go on; what the broken write left goes.
+    after = files.materialize(files.read_stage(spark, path).filter("id < 4"), path)
+    assert files.read_stage(spark, path).count() == after.count() == 4 and before.count() == 10
+    assert sum(f.name.startswith("version-") for f in (tmp_path / "stage").iterdir()) == 2
+    files.materialize(spark.range(1), path)
+    assert files.read_stage(spark, path).count() == 1 and sum(f.is_dir() for f in (tmp_path / "stage").iterdir()) == 2
+
+
 def test_tables_by_format(spark, tmp_path):
     spark.range(4).write.orc(str(tmp_path / "t.orc"))
     assert files.read_tables(spark, str(tmp_path), ["t"], "orc")["t"].count() == 4
