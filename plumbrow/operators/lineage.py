@@ -155,9 +155,9 @@ def downstream(edges: DataFrame, starts: DataFrame, hops: int | None = 1) -> Dat
     """``start, node, distance``: what lies below each of ``starts(id)``.
 
     ``hops=1`` gives the direct ones in a single join; None goes on until nothing new is found. Rounds
-    work on numbers instead of names. Each is one shuffle join from the nodes found last; pairs already found are dropped before
-    the next round, so cycles end and a pair keeps its shortest distance. A start that a cycle
-    leads back to is not below itself.
+    work on numbers instead of names, and on the starts of a node as bits, 64 to a number: a round moves the bits found last along the
+    edges and keeps those that are new, so cycles end and a pair keeps its shortest distance. Earlier rounds are not
+    read again, only what they add up to. A start that a cycle leads back to is not below itself.
     """
     roots = starts.select(F.col("id").alias("start")).distinct()
     if hops == 1:
@@ -165,22 +165,31 @@ def downstream(edges: DataFrame, starts: DataFrame, hops: int | None = 1) -> Dat
         near = roots.join(direct, roots["start"] == direct["src"])
         return near.select("start", F.col("dst").alias("node")).distinct().withColumn("distance", F.lit(1))
     ids, links = numbered(roots.select(F.col("start").alias("id")), edges)
-    roots = roots.join(ids.withColumnRenamed("id", "start"), "start").select(F.col("n").alias("start"))
-    levels = [cut(roots.withColumn("node", F.col("start")), "reach")]
-    while hops is None or len(levels) <= hops:
-        step = levels[-1].join(links, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
-        seen = reduce(DataFrame.union, levels)
-        level = cut(step.distinct().join(seen, ["start", "node"], "left_anti"), "reach")
+    own = roots.join(ids.withColumnRenamed("id", "start"), "start").select(F.col("n").alias("node"))
+    own = cut(own.withColumn("start", F.monotonically_increasing_id()), "starts")
+    # The starts that have reached a node, 64 in a number: ``word`` and the bits of ``mask``.
+    bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(start % 64 AS INT))")
+    seen = own.select("node", F.floor(F.col("start") / 64).alias("word"), bit.alias("mask"))
+    level, levels = seen, []
+    while hops is None or len(levels) < hops:
+        step = level.join(links, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("mask").alias("mask"))
+        known = seen.select("node", "word", F.col("mask").alias("known"))
+        fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("bigint"))))
+        level = step.join(known, ["node", "word"], "left").select("node", "word", fresh.alias("mask")).filter("mask <> 0")
+        level = cut(level, "reach")
         if level.isEmpty():
             break
         levels.append(level)
-    found = [x.withColumn("distance", F.lit(d)) for d, x in enumerate(levels)][1:]
-    if not found:
+        seen = cut(seen.union(level).groupBy("node", "word").agg(F.bit_or("mask").alias("mask")), "seen")
+    if not levels:
         return starts.sparkSession.createDataFrame([], "start string, node string, distance int")
-    named = reduce(DataFrame.union, found)
-    for end in ("start", "node"):
-        named = named.join(ids.select(F.col("n").alias(end), F.col("id").alias(f"{end}_id")), end)
-    return named.select(F.col("start_id").alias("start"), F.col("node_id").alias("node"), "distance")
+    found = reduce(DataFrame.union, [x.withColumn("distance", F.lit(d)) for d, x in enumerate(levels, 1)])
+    bits = "explode(filter(sequence(0, 63), b -> getbit(mask, b) = 1)) AS bit"
+    pairs = found.selectExpr("node AS at", "word", "distance", bits).selectExpr("at", "word * 64 + bit AS start", "distance")
+    pairs = pairs.join(own.withColumnRenamed("node", "from"), "start").select("from", "at", "distance")
+    for end, name in (("from", "start"), ("at", "node")):
+        pairs = pairs.join(ids.select(F.col("n").alias(end), F.col("id").alias(name)), end)
+    return pairs.select("start", "node", "distance")
 
 
 def node_roles(

@@ -211,3 +211,23 @@ def test_a_wide_layered_graph_keeps_little_state(spark, caplog):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     state = int(caplog.messages[-1].split(": ")[1].split()[0])
     assert state < 10 * n
+
+
+def test_downstream_of_many_starts(spark):
+    """10,000 starts, more than fit one number, on a graph with cycles."""
+    n = 10_000
+    edges = [(f"n{i}", f"n{(i + 1) % n if i % 5 else i + 2}") for i in range(n)] + [(f"n{i}", f"n{i - 3}") for i in range(3, n, 50)]
+    below = {}
+    for a, b in edges:
+        if a != b:
+            below.setdefault(a, set()).add(b)
+    want = set()
+    for i in range(n):
+        level, found = {f"n{i}"}, {f"n{i}"}
+        for d in (1, 2, 3):
+            level = {y for x in level for y in below.get(x, ())} - found
+            found |= level
+            want |= {(f"n{i}", x, d) for x in level}
+    starts = spark.createDataFrame([(f"n{i}",) for i in range(n)], "id string").repartition(7)
+    got = lineage.downstream(spark.createDataFrame(edges, "src string, dst string"), starts, hops=3)
+    assert {tuple(r) for r in got.collect()} == want
