@@ -29,14 +29,14 @@ def encoding(name: str, content: bytes) -> tiktoken.Encoding:
 
 
 def count_tokens(docs: DataFrame, vocabularies: Mapping[str, str], text: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``tokens``: a map from each tokenizer to the number of tokens.
+    """``docs`` without its text, with ``tokens``: a map from each tokenizer to the number of tokens, in place of a column of that name.
 
     ``vocabularies`` gives the file of each tokenizer version. If ``docs`` has a column ``tokenizers``, an
     array, only those named in a row are counted there. Strings of special tokens are ordinary text; a null text has none.
     """
     spark = docs.sparkSession
     shared = share(spark, {name: vocabulary(spark, path) for name, path in vocabularies.items()})
-    others = [c for c in docs.columns if c not in (text, "tokenizers")]
+    others = [c for c in docs.columns if c.lower() not in (text.lower(), "tokenizers", "tokens")]  # a column tokens is replaced
     wanted = F.col("tokenizers") if "tokenizers" in docs.columns else F.array(*map(F.lit, vocabularies))
     rows = docs.select(text_of(text).alias("text"), wanted.alias("tokenizers"), F.struct(*others).alias("carried"))
 

@@ -36,6 +36,8 @@ def test_counts_of_odd_texts(spark, make_docs):
     assert all(by_id[i][v] == len(coder[v].encode_ordinary(texts[i])) for i in (2, 3, 4) for v in FILES)
     assert got[0].f0 == 7 and "text" not in got[0].asDict()
     assert t.count_tokens(make_docs([]), FILES).count() == 0
+    clash = make_docs(["plain words"]).withColumnRenamed("f0", "Tokens")
+    assert t.count_tokens(clash, FILES).first().tokens == by_id[2]
 
 
 def rows_of(rollup):
