@@ -43,7 +43,8 @@ def clip_sql(name: str, dtype: T.DataType) -> str:
     return f"CASE WHEN {_number(name, dtype)} < 0 THEN {zero} ELSE {c} END"
 
 
-def range_sql(name: str, dtype: T.DataType, lo: float, hi: float) -> str:
+def range_sql(name: str, dtype: T.DataType, lo: float | str, hi: float | str) -> str:
+    """Numbers outside the bounds become NULL; the bounds are numbers or expressions."""
     c, x = _quoted(name), _number(name, dtype)
     return f"CASE WHEN {x} < {lo} OR {x} > {hi} THEN NULL ELSE {c} END"
 
@@ -159,6 +160,72 @@ def remediate(df: DataFrame, anomalies: DataFrame) -> DataFrame:
     return df
 
 
+def _fixes(anomalies: DataFrame, kinds: Sequence[Finding]) -> DataFrame:
+    """``dataset, fixes``: the findings of each dataset as a map from the place of their kind in ``kinds`` to their bounds.
+
+    A map holds no more than the kinds do, however many rows or datasets there are. If a dataset has two findings of a kind
+    with different bounds, a value must lie within both.
+    """
+    listed = [(i, k.column, k.column_2, k.issue) for i, k in enumerate(kinds)]
+    kind = anomalies.sparkSession.createDataFrame(listed, "kind int, c1 string, c2 string, i string")
+    same = (F.col("column") == F.col("c1")) & F.col("column_2").eqNullSafe(F.col("c2")) & (F.col("issue") == F.col("i"))
+    one = anomalies.join(kind, same).groupBy("dataset", "kind").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    bounds = F.collect_list(F.struct("kind", F.struct("low", "high")))
+    return one.groupBy("dataset").agg(F.map_from_entries(bounds).alias("fixes"))
+
+
+def _free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer if a column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def remediate_datasets(df: DataFrame, anomalies: DataFrame, by: str) -> DataFrame:
+    """The cleaned rows of many datasets in one table, each repaired by its own findings, as ``remediate`` repairs one.
+
+    ``by`` is the column that ``profile(by=)`` took the datasets from; the findings may be of millions of them. They are data here:
+    one map a dataset, which its rows are joined with, so the table is read once and nothing of a dataset is collected.
+    What the driver gets is the kinds of findings, at most a few for each column and pair of columns. Rows without a dataset
+    are repaired by the findings of a null one; those of a dataset without findings stay as they are. Rows, columns and types are kept.
+    """
+    types, place = _types(df), {c: i for i, c in enumerate(df.columns)}
+    found = cut(anomalies.select("dataset", "column", "column_2", "issue", "low", "high"), "findings")
+    kinds = [Finding(*k) for k in sorted(found.select("column", "column_2", "issue").distinct().collect(), key=str)]
+    if not kinds:
+        return df
+    dataset, fixes = _free_name(df, "fixed_dataset"), _free_name(df, "fixes")
+    # Written, so that its size is known and a dataset with many rows can be split: its map is one row.
+    maps = cut(_fixes(found, kinds).toDF(dataset, fixes), "fixes")
+    out = df.join(maps, F.col(_quoted(by)).eqNullSafe(F.col(dataset)), "left").select(*map(_quoted, df.columns), fixes)
+
+    repairs: dict[str, dict[str, str]] = {}  # by column and issue: the branch of its repair
+    for i, (column, _, issue, *_) in enumerate(kinds):
+        dtype, bound = types[column], f"{fixes}[{i}]"
+        if issue == NEGATIVE:
+            fixed = clip_sql(column, dtype)
+        elif issue == INVALID_AGE:
+            fixed = range_sql(column, dtype, f"{bound}.low", f"{bound}.high")
+        elif issue == NULL_OR_BLANK:
+            fixed = fill_sql(column, dtype)
+        else:
+            continue
+        if fixed:
+            repairs.setdefault(column, {})[issue] = f"WHEN {bound} IS NOT NULL THEN {fixed}"
+    # The first that a dataset has stands: the range, then the sign, then the missing values.
+    order = (INVALID_AGE, NEGATIVE, NULL_OR_BLANK)
+    branches = {c: " ".join(r[i] for i in order if i in r) for c, r in repairs.items()}
+    steps = [{c: f"CASE {b} ELSE {_quoted(c)} END" for c, b in branches.items()}]
+    pairs = [(k.column, k.column_2, i) for i, k in enumerate(kinds) if k.issue == DATE_INVERSION]
+    for a, b, i in sorted(pairs, key=lambda p: (place[p[0]], place[p[1]])):
+        swapped = _swap_sql(df, a, b)
+        steps.append({c: f"CASE WHEN {fixes}[{i}] IS NOT NULL THEN {e} ELSE {_quoted(c)} END" for c, e in swapped.items()})
+    for step in steps:
+        out = _replace(out, step)
+    return out.drop(fixes)
+
+
 def fix_script(df: DataFrame, anomalies: DataFrame, table: str) -> str:
     """The SQL that builds ``cleaned_<table>``, from the same expressions as ``remediate``."""
     findings = findings_of(anomalies)

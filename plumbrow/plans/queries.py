@@ -801,6 +801,27 @@ def drop_invalid_rows(spark, sf):
     return remediate.drop_invalid(src.patients(spark, sf), "billing_amount")
 
 
+def _filled(column: str, filler: str, bad: str = "false") -> str:
+    """A dataset's missing values are filled if it has no rows that are ``bad``."""
+    return f"CASE WHEN bool_or({bad}) OVER (PARTITION BY urn) THEN {column} ELSE coalesce({column}, {filler}) END"
+
+
+@query(
+    f"""WITH {q.STREAM_ROWS}, partly AS (SELECT * REPLACE (CASE WHEN event_type = 'click' THEN NULL ELSE value END AS value)
+      FROM stream_rows)
+    SELECT urn, coalesce(event_type, 'UNKNOWN') AS event_type,
+      CASE WHEN value < 0 THEN 0.0 ELSE {_filled('value', '0.0', 'coalesce(value, 0) < 0')} END AS value,
+      CASE WHEN age < 0 OR age > 120 THEN NULL ELSE age END AS age,
+      least(start_ts, end_ts) AS start_ts, greatest(start_ts, end_ts) AS end_ts FROM partly"""
+)
+def cleaned_datasets(spark, sf):
+    """Many datasets held in one table, each repaired by its own findings: amounts that are missing become 0 only where
+    a dataset has no negative ones."""
+    rows = src.stream_rows(spark, sf)
+    rows = rows.withColumn("value", F.when(~F.col("event_type").eqNullSafe("click"), F.col("value")))
+    return remediate.remediate_datasets(rows, profile.profile(rows, by="urn"), "urn")
+
+
 _CHARGED = """charged AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END AS charge
   FROM orders)"""
 

@@ -163,3 +163,35 @@ def test_columns_are_found_in_any_case(spark):
     assert p.date_order_profile(df, [("start_date", "END_DATE")]).first().column_2 == "End_Date"
     trips = spark.createDataFrame([("2024-01-01 10:00:00", 2.0, 5.0)], "Pickup_DateTime string, Trip_Distance double, FARE_AMOUNT double")
     assert pipeline.stage_trips(trips).count() == 1
+
+
+def test_each_dataset_is_repaired_as_if_alone(spark):
+    """Null and clean datasets, repeated rows, a range in one dataset only, columns named like those the operator adds."""
+    schema = "fixes string, amount double, age int, title string, start_a string, start_b string, end_c string, fixed_dataset int"
+    rows = [
+        ("a", -1.0, 150, None, "2024-01-03", "2024-01-02", "2024-01-01", 1), ("a", None, None, "x", "2024-01-01", None, "2024-01-02", None),
+        ("b", None, 40, "x", "2024-01-01", "2024-01-03", "2024-01-02", 2), ("b", None, 40, "x", "2024-01-01", "2024-01-03", "2024-01-02", 2),
+        ("b", 2.0, -3, "", None, None, None, -4), (None, -3.0, 130, None, "2024-01-02", "2024-01-01", None, 3),
+        (None, 1.0, None, "y", None, None, None, 3), ("clean", 1.0, 5, "z", "2024-01-01", "2024-01-02", "2024-01-03", 0),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = r.remediate_datasets(df, p.profile(df, by="fixes"), "fixes")
+    assert got.schema.simpleString() == df.schema.simpleString()
+    want = None
+    for name in ("a", "b", None, "clean"):
+        part = df.filter(df["fixes"].eqNullSafe(F.lit(name)))
+        found_ = p.profile(part, by="fixes").filter(F.col("column") != "fixes")
+        part = r.remediate(part, found_)
+        want = part if want is None else want.union(part)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert r.remediate_datasets(df.limit(0), p.profile(df.limit(0), by="fixes"), "fixes").count() == 0
+
+
+def test_datasets_with_bounds_of_their_own(spark):
+    df = spark.createDataFrame([("a", 5), ("a", -5), ("b", 5), ("b", -5), ("c", -5)], "d string, x int")
+    cols = "dataset string, column string, column_2 string, issue string, low double, high double"
+    found_ = spark.createDataFrame(
+        [("a", "x", None, p.INVALID_AGE, 0.0, 10.0), ("b", "x", None, p.INVALID_AGE, -9.0, 3.0), ("c", "x", None, p.NEGATIVE, None, None)], cols
+    )
+    got = r.remediate_datasets(df, found_, "d").collect()
+    assert sorted(map(tuple, got), key=str) == [("a", 5), ("a", None), ("b", -5), ("b", None), ("c", 0)]
