@@ -57,8 +57,8 @@ def layer_edges(registry: DataFrame) -> DataFrame:
     """Edges by naming convention: within a domain every raw table feeds every staging table, and
     every staging table every mart.
 
-    The edge list is the answer itself, so its size is what this costs; use ``layer_links`` where a
-    domain has so many tables that the list cannot be written out.
+    The edge list is the answer itself, so its size is what this costs; where a domain has so many tables that the
+    list cannot be written out, ``layer_links`` holds the same lineage, ``layer_downstream`` follows it and ``layer_roles`` tells the ends.
     """
     nodes = _layered(registry)
     src = nodes.selectExpr("domain", "urn AS src", "layers AS a", "explode(transform(layers, x -> x + 1)) AS layer")
@@ -73,7 +73,7 @@ def layer_links(registry: DataFrame) -> DataFrame:
     """The same lineage through one junction per domain and layer change: two links per table.
 
     ``a`` feeds ``b`` in ``layer_edges`` exactly if ``a`` links to a junction that links to ``b``
-    (a table does not feed itself). Linear in the registry, a map over it, and nothing is paired.
+    (a table does not feed itself, and one without a domain nothing). Linear in the registry, a map over it, and nothing is paired.
     """
     last = len(LAYERS) - 1
 
@@ -85,7 +85,7 @@ def layer_links(registry: DataFrame) -> DataFrame:
         F.when(layer < last, F.struct(F.col("urn").alias("src"), junction(layer + 1).alias("dst"))),
         F.when(layer > 0, F.struct(junction(layer).alias("src"), F.col("urn").alias("dst"))),
     )
-    nodes = _layered(registry).select("domain", "urn", F.explode("layers").alias("layer"))
+    nodes = _layered(registry).filter("domain IS NOT NULL").select("domain", "urn", F.explode("layers").alias("layer"))
     links = nodes.select(F.explode(ends).alias("e")).filter("e is not null")
     return links.select("e.src", "e.dst")
 
@@ -192,6 +192,49 @@ def downstream(edges: DataFrame, starts: DataFrame, hops: int | None = 1) -> Dat
     return pairs.select("start", "node", "distance")
 
 
+def layer_downstream(registry: DataFrame, starts: DataFrame, hops: int | None = 1) -> DataFrame:
+    """``downstream`` over ``layer_edges``, without that list: ``start, node, distance``.
+
+    It goes along ``layer_links``, where every second node is a junction, so a hop is two rounds and distances are halved. A
+    junction passes on each start once, however many tables feed it: the work grows with the tables and the pairs that
+    come out, not with the pairs of tables that feed each other.
+    """
+    links = layer_links(registry)
+    found = downstream(links, starts, None if hops is None else 2 * hops).filter("distance % 2 = 0")
+    return found.select("start", "node", F.expr("distance div 2").cast("int").alias("distance"))
+
+
+def discover_downstream(registry: DataFrame, fks: DataFrame, starts: DataFrame, hops: int | None = 1) -> DataFrame:
+    """``downstream`` over ``discover_edges``: foreign keys or, if there are none, the naming convention, whose pairs are not written out."""
+    edges = cut(fk_edges(registry, fks), "fk-edges")
+    if edges.isEmpty():
+        return layer_downstream(registry, starts, hops)
+    return downstream(edges, starts, hops)
+
+
+def layer_roles(registry: DataFrame) -> DataFrame:
+    """``id, is_root, is_sink, is_isolated`` by ``layer_edges``, as ``node_roles`` has them, from the numbers of tables in each layer.
+
+    A table has something below it if the layer after one of its own holds a table other than itself. Numbers are pre-aggregated, so a
+    domain with a third of all tables is one row of each task, and the table joined with is as small as the domains.
+    """
+    nodes = _layered(registry)
+    layers = nodes.select("domain", F.explode("layers").alias("layer")).groupBy("domain", "layer").agg(F.count(F.lit(1)).alias("n"))
+    tables = [F.coalesce(F.max(F.when(F.col("layer") == i, F.col("n"))), F.lit(0)) for i in range(len(LAYERS))]
+    counts = cut(layers.groupBy(F.col("domain").alias("of")).agg(F.array(*tables).alias("tables")), "layers")
+    joined = nodes.join(counts, F.col("domain") == F.col("of"), "left")
+
+    def other(step: int) -> Column:
+        def feeds(x: Column) -> Column:
+            inside = (x + step).between(0, len(LAYERS) - 1)
+            return inside & (F.get("tables", x + step) > F.array_contains("layers", x + step).cast("int"))
+
+        return F.col("of").isNotNull() & F.exists("layers", feeds)
+
+    above, below = other(-1), other(1)
+    return joined.select(F.col("urn").alias("id"), (~above).alias("is_root"), (~below).alias("is_sink"), (~above & ~below).alias("is_isolated"))
+
+
 def node_roles(
     nodes: DataFrame | None, edges: DataFrame, centrality: DataFrame | None = None
 ) -> DataFrame:

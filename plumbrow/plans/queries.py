@@ -622,6 +622,29 @@ def downstream_transitive(spark, sf):
     return lineage.downstream(_entity_edges(spark, sf), _starts(spark, sf, "region"), hops=None)
 
 
+_LAYER_PAIRS = _LAYERS + """,
+pairs AS (SELECT a.urn AS src, b.urn AS dst FROM layered a JOIN layered b ON a.domain = b.domain AND b.layer = a.layer + 1)"""
+
+
+@query(
+    f"""WITH {_LAYER_PAIRS} SELECT src AS start, dst AS node, 1 AS distance FROM pairs
+    UNION SELECT a.src, b.dst, 2 FROM pairs a JOIN pairs b ON a.dst = b.src"""
+)
+def downstream_layers(spark, sf):
+    """What lies below every table by the naming convention, through junctions: no foreign keys, and no pairs of tables as edges."""
+    registry = src.catalogue(spark, sf)
+    none = src.entity_fks(spark, sf).filter(F.col("target_table").isNull())
+    return lineage.discover_downstream(registry, none, registry.select(F.col("urn").alias("id")), hops=None)
+
+
+@query(
+    f"""WITH {_LAYER_PAIRS} SELECT urn AS id, urn NOT IN (SELECT dst FROM pairs) AS is_root, urn NOT IN (SELECT src FROM pairs) AS is_sink,
+    urn NOT IN (SELECT dst FROM pairs) AND urn NOT IN (SELECT src FROM pairs) AS is_isolated FROM layered"""
+)
+def lineage_layer_roles(spark, sf):
+    return lineage.layer_roles(src.catalogue(spark, sf))
+
+
 @query(
     f"""WITH {q.CENTRALITY} SELECT {q.STREAM_URN.format('id')} AS id, is_root, is_sink, is_isolated, is_orphan
     FROM roles"""

@@ -3,6 +3,7 @@ import collections
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbrow.operators import graph, lineage
 from plumbrow.operators.catalog import build_registry
@@ -231,3 +232,37 @@ def test_downstream_of_many_starts(spark):
     starts = spark.createDataFrame([(f"n{i}",) for i in range(n)], "id string").repartition(7)
     got = lineage.downstream(spark.createDataFrame(edges, "src string, dst string"), starts, hops=3)
     assert {tuple(r) for r in got.collect()} == want
+
+
+def _tables(spark, rows):
+    return spark.createDataFrame([(d, f"{d}.{t}", t) for d, t in rows], "domain string, urn string, table string")
+
+
+def test_layers_by_junctions_as_by_pairs(spark):
+    """Tables of two layers, of none, a domain without a middle layer, one of a single table, and rows without a domain."""
+    rows = [("d", t) for t in ("raw_a", "raw_b", "staging_a", "raw_staging_c", "mart_a", "staging_mart_b", "other")]
+    rows += [("e", "raw_a"), ("e", "mart_a"), ("f", "raw_staging_a"), (None, "raw_x"), (None, "staging_x")]
+    registry = _tables(spark, rows).withColumn("urn", F.concat_ws(".", "domain", "table"))
+    edges, starts = lineage.layer_edges(registry), registry.selectExpr("urn AS id")
+    for hops in (1, 2, None):
+        want = lineage.downstream(edges, starts, hops)
+        got = lineage.layer_downstream(registry, starts, hops)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    want = lineage.node_roles(starts, edges).select("id", "is_root", "is_sink", "is_isolated")
+    assert sorted(map(tuple, lineage.layer_roles(registry).collect())) == sorted(map(tuple, want.collect()))
+    none = registry.filter("false")
+    assert lineage.layer_downstream(none, starts).count() == 0 and lineage.layer_roles(none).count() == 0
+
+
+def test_a_domain_of_many_tables_is_not_paired(spark):
+    n = 10_000
+    registry = spark.range(2 * n).selectExpr(
+        "'d' AS domain", "concat('t', id) AS urn", f"concat(if(id < {n}, 'raw_', 'staging_'), id) AS table"
+    )
+    starts = spark.createDataFrame([("t0",), ("t1",), (f"t{n}",)], "id string")
+    fks = spark.createDataFrame([], "urn string, target_table string")
+    got = lineage.discover_downstream(registry, fks, starts, hops=None)
+    assert {tuple(x) for x in got.groupBy("start", "distance").count().collect()} == {("t0", 1, n), ("t1", 1, n)}
+    assert lineage.layer_links(registry).count() == 3 * n  # not n * n
+    roles = lineage.layer_roles(registry).groupBy("is_root", "is_sink").count().collect()
+    assert {tuple(x) for x in roles} == {(True, False, n), (False, True, n)}
