@@ -20,13 +20,17 @@ _DIGITS = 4  # hexadecimal digits looked at per round: 65536 counters
 
 @dataclass(frozen=True)
 class Rule:
-    """Rewrite ``columns`` on exactly ``rows`` rows (or ``int(rate * all rows)``) that meet ``where``."""
+    """Rewrite ``columns`` on exactly ``rows`` rows (or ``int(rate * all rows)``) that meet ``where``.
+
+    ``reads`` names the columns that ``where`` and the new values read; None stands for any.
+    """
 
     seed: str
     columns: Mapping[str, Column]
     rate: float = 0.0
     rows: int | None = None
     where: Column | None = None
+    reads: Sequence[str] | None = None
 
 
 def pick_order(key: str, seed: str) -> Column:
@@ -34,57 +38,99 @@ def pick_order(key: str, seed: str) -> Column:
     return F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(seed)))
 
 
-def _threshold(order: DataFrame, n: int) -> str | None:
-    """A text such that exactly ``n`` values of ``h`` in ``order`` have it, or less, as their head.
+def _thresholds(orders: Mapping[int, Column], df: DataFrame, wanted: Mapping[int, int]) -> dict[int, str | None]:
+    """For each number in ``wanted`` a text such that exactly so many values of its order, a column of ``df``, have it, or less, as head.
 
-    Counts values by their next four digits, steps into the one group in which the n-th value
-    lies, and counts again. Each round is a small aggregate, so no task ever sorts or holds the
-    picked rows, however many they are. None if there are no more than ``n`` values.
+    Counts the values of all orders by their next four digits in one aggregate, steps into the one group of each in which
+    its n-th value lies, and counts again. Each round is one scan and a small aggregate for all orders together, so no
+    task ever sorts or holds the picked rows, however many they are. Values that are null do not count; None if there are no more
+    than the number wanted.
     """
-    head, left = "", n
-    while len(head) < 32:
-        digits = F.substring("h", len(head) + 1, _DIGITS).alias("g")
-        groups = order.filter(F.startswith("h", F.lit(head))).groupBy(digits).count()
-        # At most 65536 rows, whatever the table: one task can add them up.
-        upto = groups.withColumn("upto", F.sum("count").over(Window.orderBy("g")))
-        row = upto.filter(F.col("upto") >= left).orderBy("g").first()
-        if row is None:
-            return None
-        head += row["g"]
-        left -= row["upto"] - row["count"]
-        if left == row["count"]:
-            return head
-    raise ValueError("the key of a planted table must be unique")
+    heads, left, found = dict.fromkeys(wanted, ""), dict(wanted), {}
+    while heads:
+        if any(len(h) >= 32 for h in heads.values()):
+            raise ValueError("the key of a planted table must be unique")
+        nexts = [
+            F.when(F.startswith(orders[k], F.lit(h)), F.struct(F.lit(k).alias("rule"), F.substring(orders[k], len(h) + 1, _DIGITS).alias("g")))
+            for k, h in heads.items()
+        ]
+        groups = df.select(F.inline(F.array_compact(F.array(*nexts)))).groupBy("rule", "g").count()
+        # At most 65536 rows for a rule, whatever the table: one task can add them up.
+        upto = groups.withColumn("upto", F.sum("count").over(Window.partitionBy("rule").orderBy("g")))
+        goal = F.create_map(*[F.lit(x) for k in heads for x in (k, left[k])])[F.col("rule")]
+        rows = {r["rule"]: r for r in upto.filter((F.col("upto") >= goal) & (F.col("upto") - F.col("count") < goal)).collect()}
+        for k in list(heads):
+            row = rows.get(k)
+            if row is None:
+                found[k] = None
+                del heads[k]
+                continue
+            heads[k] += row["g"]
+            left[k] -= row["upto"] - row["count"]
+            if left[k] == row["count"]:
+                found[k] = heads.pop(k)
+    return found
+
+
+def _hit(order: Column, eligible: Column, n: int, limit: str | None) -> Column:
+    if n <= 0:
+        return F.lit(False)
+    return eligible if limit is None else eligible & (F.substring(order, 1, len(limit)) <= limit)
+
+
+def _eligible(where: Column | None) -> Column:
+    return F.lit(True) if where is None else F.coalesce(where, F.lit(False))
 
 
 def pick(df: DataFrame, key: str, seed: str, n: int, where: Column | None = None) -> Column:
     """A condition that holds for exactly ``n`` rows of ``df``, or for all that meet ``where``."""
-    h = pick_order(key, seed)
-    eligible = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    if n <= 0:
-        return F.lit(False)
-    limit = _threshold(df.filter(eligible).select(h.alias("h")), n)
-    if limit is None:
-        return eligible
-    return eligible & (F.substring(h, 1, len(limit)) <= limit)
+    order, eligible = pick_order(key, seed), _eligible(where)
+    limit = _thresholds({0: F.when(eligible, order)}, df, {0: n})[0] if n > 0 else None
+    return _hit(order, eligible, n, limit)
+
+
+def _waves(key: str, rules: Sequence[Rule]) -> list[int]:
+    """For each rule the wave in which its rows can be found: the one after those of all earlier rules that write what it reads."""
+    out: list[int] = []
+    for k, rule in enumerate(rules):
+        reads = None if rule.reads is None else {c.lower() for c in (key, *rule.reads)}
+        needs = [out[j] for j in range(k) if reads is None or reads & {c.lower() for c in rules[j].columns}]
+        out.append(max(needs, default=-1) + 1)
+    return out
 
 
 def plant(df: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:
     """Apply the rules one after the other; a later one may hit rows that an earlier one changed.
 
     ``key`` must be unique. The result is a map over ``df``: the picked rows are known by one
-    comparison with their hash, so nothing is joined or sorted.
+    comparison with their hash, so nothing is joined or sorted. The hashes to compare with are found for all rules of
+    a wave in the same scans: a rule waits only for earlier ones that write a column it reads (``Rule.reads``).
     """
-    total = None
-    for rule in rules:
-        n = rule.rows
-        if n is None:
-            total = df.count() if total is None else total
-            n = int(total * rule.rate)
-        hit = pick(df, key, rule.seed, n, rule.where)
+    total = df.count() if any(r.rows is None for r in rules) else 0
+    wanted = [int(total * r.rate) if r.rows is None else r.rows for r in rules]
+    waves, limits = _waves(key, rules), {}
+    name = "order_of_rule_"
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+
+    def applied(out: DataFrame, k: int) -> DataFrame:
+        hit = _hit(pick_order(key, rules[k].seed), _eligible(rules[k].where), wanted[k], limits.get(k))
         # All new values come from the row as it was, so two columns can be exchanged.
-        new = {c: F.when(hit, v).otherwise(F.col(c)).alias(c) for c, v in rule.columns.items()}
-        df = df.select(*[new.get(c, F.col(c)) for c in df.columns])
+        new = {c: F.when(hit, v).otherwise(F.col(c)).alias(c) for c, v in rules[k].columns.items()}
+        return out.select(*[new.get(c, F.col(c)) for c in out.columns])
+
+    for wave in range(max(waves, default=-1) + 1):
+        seen, searched = df, {}
+        for k, rule in enumerate(rules):
+            if waves[k] < wave:
+                seen = applied(seen, k)
+            elif waves[k] == wave and wanted[k] > 0:
+                searched[k] = wanted[k]
+                seen = seen.withColumn(f"{name}{k}", F.when(_eligible(rule.where), pick_order(key, rule.seed)))
+        if searched:
+            limits |= _thresholds({k: F.col(f"{name}{k}") for k in searched}, seen, searched)
+    for k in range(len(rules)):
+        df = applied(df, k)
     return df
 
 
@@ -101,24 +147,28 @@ def patient_rules(total: int) -> list[Rule]:
             "billing",
             {"billing_amount": F.when(amount.try_cast("double").isNotNull(), minus).otherwise(amount)},
             rows=int(total * NEGATIVE_RATE),
+            reads=["billing_amount"],
         ),
         Rule(
             "name",
             {"name": F.lit(None).cast("string")},
             rows=int(total * NULL_RATE),
             where=F.col("name").isNotNull(),
+            reads=["name"],
         ),
         Rule(
             "age-low",
             {"age": F.coalesce((-F.abs(age)).cast("string"), F.col("age"))},
             rows=ages // 2,
+            reads=["age"],
         ),
-        Rule("age-high", {"age": (F.abs(age) + 200).cast("string")}, rows=ages - ages // 2, where=age > 0),
+        Rule("age-high", {"age": (F.abs(age) + 200).cast("string")}, rows=ages - ages // 2, where=age > 0, reads=["age"]),
         Rule(
             "dates",
             {"date_of_admission": F.col("discharge_date"), "discharge_date": F.col("date_of_admission")},
             rows=int(total * SWAP_RATE),
             where=F.col("date_of_admission") < F.col("discharge_date"),
+            reads=["date_of_admission", "discharge_date"],
         ),
     ]
 

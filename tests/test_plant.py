@@ -66,3 +66,31 @@ def test_cut_and_empty_day(spark):
     zero = plant.zero_day(cut, "d", ["n", "x"], plant.days_before_last(days, "d", 10))
     assert [(str(r.d), r.n, r.x) for r in zero.filter("n = 0").collect()] == [("2024-01-21", 0, 0.0)]
     assert zero.schema == cut.schema or zero.schema.simpleString() == cut.schema.simpleString()
+
+
+def test_rules_share_scans_and_pick_the_rows_they_pick_alone(spark, monkeypatch):
+    """Five rules in two waves; what each picks does not depend on which rules it is searched with."""
+    df = spark.range(3000).selectExpr("id", "CAST(id % 90 AS string) AS age", "'x' AS name", "5 AS amount", "1 AS order_of_rule_1")
+    age = F.col("age").try_cast("int")
+
+    def rules(told):
+        return [
+            plant.Rule("m", {"amount": -F.col("amount")}, rate=0.02, reads=told and ["amount"]),
+            plant.Rule("n", {"name": F.lit(None).cast("string")}, rows=30, where=F.col("name").isNotNull(), reads=told and ["name"]),
+            plant.Rule("low", {"age": (-age).cast("string")}, rows=40, reads=told and ["age"]),
+            plant.Rule("high", {"age": (age + 200).cast("string")}, rows=50, where=age > 0, reads=told and ["age"]),
+            plant.Rule("none", {"amount": F.lit(9)}, rows=0, reads=told and []),
+            plant.Rule("all", {"order_of_rule_1": F.lit(2)}, rows=10_000, where=F.col("id") < 10, reads=told and ["id"]),
+        ]
+
+    searches, search = [], plant._thresholds
+    monkeypatch.setattr(plant, "_thresholds", lambda orders, *rest: searches.append(sorted(orders)) or search(orders, *rest))
+    together, apart = plant.plant(df, "id", rules(True)), None
+    assert searches == [[0, 1, 2, 5], [3]]
+    searches.clear()
+    apart = plant.plant(df, "id", rules(None))
+    assert searches == [[0], [1], [2], [3], [5]]
+    got = sorted(map(tuple, together.collect()))
+    assert got == sorted(map(tuple, apart.collect())) and together.columns == df.columns
+    assert [sum(x) for x in zip(*((r[3] == -5, r[2] is None, r[1].startswith("-"), int(r[1]) > 200, r[4] == 2) for r in got))][:2] == [60, 30]
+    assert sum(r[4] == 2 for r in got) == 10 and sum(int(r[1]) > 200 for r in got) == 50
