@@ -1,3 +1,4 @@
+import shutil
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -62,6 +63,39 @@ def test_batches_commit_once_and_add_up(spark, tmp_path):
     assert rollup.commit("3", load.filter("false")) and len(rows_of(t.Rollup(spark, str(tmp_path / "rollup")))) == 3
 
 
+def test_of_two_committers_the_first_stands(spark, tmp_path):
+    """Both found the id missing and wrote; then one after the other takes the name."""
+    rollup = t.Rollup(spark, str(tmp_path / "rollup"))
+    make = lambda n: spark.createDataFrame([("a", "en", "v1", 1, n)], t.Rollup._SCHEMA)
+    for name, n in (("_writing-a", 10), ("_writing-b", 99)):
+        make(n).write.parquet(str(tmp_path / "rollup" / name))
+    assert rollup.totals().count() == 0
+    assert rollup._named("_writing-a", "x") and not rollup._named("_writing-b", "x")
+    assert rows_of(rollup) == {("a", "en", "v1"): (1, 10)} and rollup.batches() == ["x"]
+    assert not (tmp_path / "rollup" / "_writing-b").exists() and not (tmp_path / "rollup" / "batch=x" / "_writing-b").exists()
+
+
+def test_compacted_batches_stay_committed(spark, tmp_path):
+    folder = tmp_path / "rollup"
+    rollup = t.Rollup(spark, str(folder))
+    rollup.compact()
+    make = lambda *rows: spark.createDataFrame(rows, t.Rollup._SCHEMA)
+    for k in range(4):
+        assert rollup.commit(str(k), make(("a", "en", "v1", 1, k), (None, None, "v1", 1, 1)))
+    kept = folder / "kept"
+    shutil.copytree(folder / "batch=2", kept)
+    want = {("a", "en", "v1"): (4, 6), (None, None, "v1"): (4, 4)}
+    rollup.compact()
+    assert rows_of(rollup) == want and rollup.batches() == ["0", "1", "2", "3"] and not list(folder.glob("batch=*"))
+    assert not rollup.commit("2", make(("a", "en", "v1", 1, 100)))
+    # A folder that a broken compaction did not come to delete counts once.
+    shutil.copytree(kept, folder / "batch=2")
+    assert rows_of(rollup) == want and rollup.batches() == ["0", "1", "2", "3"]
+    assert rollup.commit("4", make(("a", "en", "v1", -4, -6)))
+    rollup.compact()
+    assert rows_of(t.Rollup(spark, str(folder))) == {(None, None, "v1"): (4, 4)} and rollup.batches() == ["0", "1", "2", "3", "4"]
+
+
 def test_signed_changes(spark):
     df = spark.createDataFrame([("a", "en", {"v1": 3}), ("a", None, None)], "source string, lang string, tokens map<string,bigint>")
     got = t.change(df, "v1", -1, F.col("source") == "a").collect()
