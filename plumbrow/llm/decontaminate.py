@@ -1,4 +1,4 @@
-"""Benchmark passages in training texts: n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark passages in training texts: rare n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -8,13 +8,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbrow.llm import tokens
 from plumbrow.llm.common import Batches, batches_of, cut, share, text_of
 
-GRAM = 3  # words of a seed: a copy with so many unchanged words in a row meets one
-CHUNK = 64  # words of an item that are aligned together, twice as many at most
+GRAM = 3  # words of a run
+FREQUENT = 6  # one run of a chunk in so many, the most frequent ones, is no seed
+CHUNK = 64  # words of a long item that are aligned together; items of less than twice as many are one chunk
 MATCH, MISMATCH, GAP = 2, -1, -1
 FILTER_BITS = 23  # 1 MB: what tasks get to tell words of no seed; growing with nothing
 _PLAIN = bytes(32 if c in tokens.PUNCTUATION else c for c in range(256))
@@ -65,8 +66,9 @@ def _slot(grams: np.ndarray) -> np.ndarray:
 
 
 def chunks_of(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """``chunk, item_id, words, grams``: items cut into pieces of CHUNK words, the rest joining the last,
-    with the hashes of their runs of words. Items of fewer than GRAM words have none and match nothing."""
+    """``chunk, item_id, words, grams``: items, and of long ones pieces of CHUNK words that begin every half CHUNK and, the last
+    one, at the end less CHUNK, with the hashes of their runs of words. So CHUNK words in a row are three quarters of a piece
+    wherever they begin. Items of fewer than GRAM words have no runs and match nothing."""
 
     def cut_up(batches: Batches) -> Batches:
         hasher = tokens.Hasher()
@@ -75,9 +77,9 @@ def chunks_of(items: DataFrame, item_id: str, text: str) -> DataFrame:
             for first, end, found in _texts(batch.column(1), hasher):
                 for i in range(end - first):
                     a, b = np.searchsorted(found.text, [i, i + 1]).tolist()
-                    starts = range(a, a + max(1, (b - a) // CHUNK) * CHUNK, CHUNK)
-                    for s in starts:
-                        stop = s + CHUNK if s != starts[-1] else b
+                    long = b - a >= 2 * CHUNK
+                    for s in [*range(a, b - CHUNK, CHUNK // 2), b - CHUNK] if long else [a]:
+                        stop = s + CHUNK if long else b
                         g = _grams(found.hashes[s:stop])
                         if len(g):
                             ids.append(batch.column(0)[first + i].as_py())
@@ -117,24 +119,39 @@ def _met(column: pa.Array, hasher: tokens.Hasher, bitmap: np.ndarray) -> Iterato
         yield first, found, g, np.flatnonzero(_in(bitmap, g) & inside)
 
 
-def seeds_of(chunks: DataFrame) -> DataFrame:
-    """``gram, chunk``: every run of words of each chunk. None is preferred: whichever runs the edits of a
-    copy leave whole, it meets its chunk by them; a run that no document holds meets nothing."""
+def grams_of(chunks: DataFrame) -> DataFrame:
+    """``gram, chunk``: the distinct runs of words of each chunk."""
     return chunks.select(F.explode("grams").alias("gram"), "chunk").distinct()
 
 
+def rare_seeds(grams: DataFrame, hits: DataFrame) -> DataFrame:
+    """``gram, chunk``: of each chunk in ``grams`` the runs that are seeds, by how many rows of ``hits(gram)`` have them.
+
+    Of n runs the floor(n / FREQUENT) most frequent ones are none (ties by hash). A passage with more than n / FREQUENT runs in common
+    with the chunk has a seed among them, whichever are left out; so phrases that many items and documents share do
+    not make them meet. Runs that no passage has count as the rarest and are left out as well, as they meet nothing.
+    """
+    counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("passages"))
+    known = grams.join(counts, "gram", "left").withColumn("passages", F.coalesce("passages", F.lit(0)))
+    of_chunk = Window.partitionBy("chunk")  # fewer than 2 * CHUNK runs
+    place = F.row_number().over(of_chunk.orderBy(F.desc("passages"), "gram"))
+    most = F.floor(F.count(F.lit(1)).over(of_chunk) / FREQUENT)
+    ranked = known.select("gram", "chunk", "passages", (place > most).alias("rare"))
+    return ranked.filter("rare AND passages > 0").select("gram", "chunk")
+
+
 def _passages(rows: DataFrame, bitmap: np.ndarray, reach: int) -> DataFrame:
-    """``doc_id, passage, words, seeds``: stretches of documents around seeds, ``reach`` words to each side.
+    """``doc_id, passage, words, grams``: stretches of documents around runs of items, ``reach`` words to each side.
 
-    Seeds closer than ``reach`` share a stretch, until it has 4 * ``reach`` words between its first and
-    last seed; then the next begins, with its own words to the left.
+    Runs closer than ``reach`` share a stretch, until it has 4 * ``reach`` words between its first and
+    last one; then the next begins, with its own words and runs to the left.
     """
     shared = share(rows.sparkSession, bitmap)
 
     def found(batches: Batches) -> Batches:
         hasher = tokens.Hasher()
         for batch in batches:
-            row_no, words, seeds = [], [], []
+            row_no, words, grams = [], [], []
             for first, found, g, at in _met(batch.column(1), hasher, shared.value):
                 places, text = at.tolist(), found.text[at].tolist()
                 start = 0
@@ -145,14 +162,15 @@ def _passages(rows: DataFrame, bitmap: np.ndarray, reach: int) -> DataFrame:
                     a, b = np.searchsorted(found.text, [text[start], text[start] + 1]).tolist()
                     row_no.append(first + text[start])
                     words.append(b" ".join(found.words(max(a, places[start] - reach), min(b, places[i - 1] + GRAM + reach))))
-                    seeds.append(np.unique(g[at[start:i]]).view(np.int64))
+                    low = np.searchsorted(at, max(a, places[start] - reach))
+                    grams.append(np.unique(g[at[low:i]]).view(np.int64))
                     start = i
             ids = batch.column(0).take(pa.array(row_no, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(words, pa.binary()), pa.array(seeds, pa.list_(pa.int64()))], ["doc_id", "words", "seeds"]
+                [ids, pa.array(words, pa.binary()), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "words", "grams"]
             )
 
-    out = batches_of(rows, found, "doc_id bigint, words binary, seeds array<bigint>")
+    out = batches_of(rows, found, "doc_id bigint, words binary, grams array<bigint>")
     return out.withColumn("passage", F.monotonically_increasing_id())
 
 
@@ -217,18 +235,20 @@ def contaminated(
     """``doc_id, item_id, score``: documents that hold an item, or CHUNK words of it, whole, in part or edited.
 
     ``score`` is the best local alignment of a chunk of the item with the document, by that of the chunk
-    with itself: 1 for a whole copy, ``threshold`` or more for all rows returned. A copy without GRAM unchanged
-    words in a row meets no seed and is not found, whatever its score. One row for each pair
+    with itself: 1 for a whole copy, ``threshold`` or more for all rows returned. Copies that keep more than one in FREQUENT
+    of the chunk's runs of GRAM words are met for certain; those that keep fewer, if one of the kept is rare enough
+    to be a seed; those without any are not found, whatever their score. One row for each pair
     of ids. Null and empty texts, and items of fewer than three words, match nothing; rows of one id are
     one document; rows with a null id have results under a null id. Either table may be empty.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
     chunks = cut(chunks_of(items, item_id, item_text), "chunks")
-    seeds = cut(seeds_of(chunks), "seeds")
+    grams = cut(grams_of(chunks), "grams")
     reach = chunks.agg(F.max(F.size("grams"))).first()[0] or 0
-    passages = cut(_passages(rows, _filter_of(seeds), reach + GRAM), "passages")
-    met = passages.select("passage", F.explode("seeds").alias("gram")).join(seeds, "gram")
-    met = cut(met.select("passage", "chunk").distinct(), "met")
+    passages = cut(_passages(rows, _filter_of(grams), reach + GRAM), "passages")
+    hits = passages.select("passage", F.explode("grams").alias("gram"))
+    seeds = cut(rare_seeds(grams, hits), "seeds")
+    met = cut(hits.join(seeds, "gram").select("passage", "chunk").distinct(), "met")
     pairs = (
         met.join(passages.select("passage", "doc_id", F.col("words").alias("passage_words")), "passage")
         .join(chunks.select("chunk", "item_id", "words"), "chunk")

@@ -87,3 +87,62 @@ def test_copies_with_an_edit_every_few_words(spark, make_docs):
     scores = {(i, k): brute_alignment(x, t) / (2 * len(x)) for i, t in enumerate(texts) for k, x in enumerate(items)}
     assert got == {p: s for p, s in scores.items() if s >= 0.5}
     assert len(got) >= 20
+
+
+def bench_of(spark, items):
+    return spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+
+
+def test_frequent_runs_are_no_seeds(spark):
+    rnd = random.Random(3)
+    grams = [(g, c) for c in range(12) for g in rnd.sample(range(60), 3 + 4 * c)]
+    hits = [rnd.randrange(45) for _ in range(400)]
+    seeds = d.rare_seeds(spark.createDataFrame(grams, "gram long, chunk long"), spark.createDataFrame([(h,) for h in hits], "gram long"))
+    want = set()
+    for c in range(12):
+        own = sorted((g for g, x in grams if x == c), key=lambda g: (-hits.count(g), g))
+        want |= {(g, c) for g in own[len(own) // d.FREQUENT :] if g in hits}
+    assert {(r.gram, r.chunk) for r in seeds.collect()} == want
+
+
+def test_items_that_begin_alike_do_not_meet_all_documents(spark, make_docs, monkeypatch):
+    rnd = random.Random(5)
+    passage = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    items = [["which", "of", "the", "following"] + passage(14) for _ in range(400)]
+    texts = [" ".join(passage(5) + ["which", "of", "the"] + passage(5)) for _ in range(2000)]
+    texts += [" ".join(passage(5) + x) for x in items[:20]]
+    pairs, aligned = [], d._aligned
+    monkeypatch.setattr(d, "_aligned", lambda rows, threshold: pairs.append(rows.count()) or aligned(rows, threshold))
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(make_docs(texts), bench_of(spark, items)).collect()}
+    assert got == {(2000 + k, k) for k in range(20)} and pairs[0] < 1000
+
+
+def test_copies_across_borders_of_long_items(spark, make_docs):
+    rnd = random.Random(6)
+    passage = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    items = [passage(n) for n in (64, 127, 128, 191, 400)]
+    starts = [(k, s) for k, x in enumerate(items) for s in {0, 31, 48, 96, len(x) // 2, len(x) - 64} if 0 <= s <= len(x) - 64]
+    texts = [" ".join(passage(30) + items[k][s : s + 64] + passage(30)) for k, s in starts]
+    got = {(r.doc_id, r.item_id): r.score for r in d.contaminated(make_docs(texts), bench_of(spark, items)).collect()}
+    assert set(got) == {(i, k) for i, (k, _) in enumerate(starts)}
+    assert all(score >= 0.7 for (_, k), score in got.items() if k > 1)
+
+
+def test_recall_of_random_edits(spark, make_docs):
+    """Against full alignment, with one word in three, four, six or ten changed, dropped or added, and every phrase common."""
+    rnd = random.Random(8)
+    phrases = [[f"w{rnd.randrange(300)}" for _ in range(4)] for _ in range(150)]
+    passage = lambda n: sum((rnd.choice(phrases) for _ in range(n // 4)), [])
+    items, texts = [passage(rnd.randrange(16, 64)) for _ in range(40)], []
+    for item in items:
+        for rate in (3, 4, 6, 10):
+            edits = (rnd.choice(([], ["x"], ["x", w])) if rnd.randrange(rate) == 0 else [w] for w in item)
+            texts.append(passage(20) + sum(edits, []) + passage(20))
+    got = {(r.doc_id, r.item_id): r.score for r in d.contaminated(make_docs([" ".join(t) for t in texts]), bench_of(spark, items)).collect()}
+    scores = {}
+    for k, item in enumerate(items):
+        number = {w: n for n, w in enumerate(dict.fromkeys(item))}
+        full = d.smith_waterman([np.array([number[w] for w in item])] * len(texts), [np.array([number.get(w, -5) for w in t]) for t in texts])
+        scores |= {(i, k): s / (2 * len(item)) for i, s in enumerate(full.tolist()) if s >= len(item)}
+    assert all(got[p] == scores[p] for p in got)
+    assert len(scores) >= 100 and len(got) >= 0.97 * len(scores)
