@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Doubled quotes inside a quoted field, as CSV writers emit them.
 _CSV = {"header": True, "inferSchema": False, "mode": "FAILFAST", "quote": '"', "escape": '"'}
 
+SMALL = 1 << 20  # bytes: headers of smaller files are read together, whole files as they are
 POINTER = "_current"  # the file that names the version of a stage to be read
 
 
@@ -36,22 +40,47 @@ class CsvFiles(NamedTuple):
     left_out: DataFrame
 
 
+def _headers(spark: SparkSession, paths: Sequence[str], multiline: bool) -> list[tuple[str, ...]]:
+    """The columns of each of ``paths``, as the CSV reader names them.
+
+    One job reads all files of up to SMALL bytes and sends a hash of each header, so the reader parses one file for each
+    header that there is. Larger files and folders are asked one by one, some at a time; each such job reads one line.
+    """
+    named = [_file_system(spark, p) for p in paths]
+    named = [fs.makeQualified(path).toString() for path, fs in named]
+    # With ``multiline`` a header ends at the first line break outside quotes; lines of blanks before it are not the header.
+    header = r'^\s*(?:[^"\r\n]|"[^"]*")*' if multiline else r"^\s*[^\r\n]*"
+    small = spark.read.format("binaryFile").load(list(paths)).filter(F.col("length") <= SMALL)
+    line = F.regexp_extract(F.col("content").cast("string"), header, 0)
+    hashes = {r[0]: r[1] for r in small.select("path", F.sha2(line, 256)).collect()}
+    groups = [hashes.get(n, p) for n, p in zip(named, paths)]
+    reader = spark.read.options(**_CSV, multiLine=multiline)
+    columns = inheritable_thread_target(spark)(lambda path: tuple(reader.csv(path).columns))
+    examples = dict(zip(groups, paths))
+    with ThreadPoolExecutor(8) as pool:
+        found = dict(zip(examples, pool.map(columns, examples.values())))
+    return [found[g] for g in groups]
+
+
 def read_csv_files(spark: SparkSession, paths: Sequence[str], multiline: bool = False) -> CsvFiles:
     """All rows of several CSV files with header lines. The first file names the columns; a file with another number
     of columns is not read but listed with its number. Large files are split among tasks.
 
-    Files with the first one's header are read in one scan; those that only have its width, by position.
+    Files of one header are read in one scan; those whose header only has the first one's width, by position.
     """
     if not paths:
         raise ValueError("no files")
+    headers = _headers(spark, paths, multiline)
+    width = len(headers[0])
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for path, columns in zip(paths, headers):
+        if len(columns) == width:
+            alike.setdefault(columns, []).append(path)
     reader = spark.read.options(**_CSV, multiLine=multiline)
-    headers = {p: reader.csv(p).columns for p in paths}
-    first = headers[paths[0]]
-    alike = [p for p in paths if headers[p] == first]
-    by_position = [p for p in paths if headers[p] != first and len(headers[p]) == len(first)]
-    names = [c.strip() for c in first]
-    parts = [reader.csv(alike).toDF(*names), *(reader.csv(p).toDF(*names) for p in by_position)]
-    left = [(p, len(headers[p])) for p in paths if len(headers[p]) != len(first)]
+    names = [c.strip() for c in headers[0]]
+    schema = StructType([StructField(n, StringType()) for n in headers[0]])  # so that no header is read again
+    parts = [reader.schema(schema).csv(same).toDF(*names) for same in alike.values()]
+    left = [(p, len(c)) for p, c in zip(paths, headers) if len(c) != width]
     return CsvFiles(reduce(DataFrame.unionByName, parts), spark.createDataFrame(left, "path string, columns int"))
 
 

@@ -37,6 +37,38 @@ def test_several_files(spark, tmp_path):
     assert [tuple(r) for r in found.left_out.collect()] == [(c, 3)]
 
 
+def test_headers_of_many_files_are_one_job(spark, tmp_path):
+    paths = [write(tmp_path / f"a {i}%.csv", f"x,y\n{i},1\n") for i in range(150)]
+    paths += [write(tmp_path / f"b{i}.csv", f"y,x\n{i},2\n") for i in range(50)]
+    paths += [write(tmp_path / f"c{i}.csv", "one\n1\n") for i in range(30)]
+    spark.sparkContext.setJobGroup("headers", "headers")
+    found = files.read_csv_files(spark, paths)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 10  # listings, one job for all files, and one for each of the three headers
+    assert sorted(tuple(map(int, r)) for r in found.rows.collect()) == sorted([(i, 1) for i in range(150)] + [(i, 2) for i in range(50)])
+    assert sorted(tuple(r) for r in found.left_out.collect()) == sorted((p, 1) for p in paths[200:])
+
+
+def test_headers_of_large_files_folders_and_repeated_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "SMALL", 30)
+    large = write(tmp_path / "large.csv", "x,y\n" + "1,2\n" * 50)
+    small = write(tmp_path / "small.csv", "x,y\n3,4\n")
+    folder = str(tmp_path / "folder")
+    spark.createDataFrame([("5", "6")], "x string, y string").write.option("header", True).csv(folder)
+    found = files.read_csv_files(spark, [large, small, folder, small, write(tmp_path / "empty.csv", "")])
+    assert sorted(tuple(r) for r in found.rows.collect()) == [("1", "2")] * 50 + [("3", "4")] * 2 + [("5", "6")]
+    assert [r.columns for r in found.left_out.collect()] == [0]
+
+
+def test_headers_with_line_breaks(spark, tmp_path):
+    a = write(tmp_path / "a.csv", 'x,"y\n1"\n1,2\n')
+    b = write(tmp_path / "b.csv", 'x,"y\n1",z\n1,2,3\n')
+    found = files.read_csv_files(spark, [a, b], multiline=True)
+    assert found.rows.columns == ["x", "y\n1"] and found.rows.count() == 1
+    assert [tuple(r) for r in found.left_out.collect()] == [(b, 3)]
+
+
 def test_materialize_replaces(spark, tmp_path):
     path = str(tmp_path / "stage")
     files.materialize(spark.range(10), path)
