@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import logging
+from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -12,7 +13,10 @@ from pyspark.sql import DataFrame, functions as F
 from plumbrow.llm.common import Batches, batches_of, bounded_sample, cut, share, utf8_of
 from plumbrow.llm.features import DIMENSIONS, Indicators
 
+log = logging.getLogger(__name__)
 
+CLOSE = 1e-3  # targets are met if the error is below this share of them
+POWERS = 4  # passes that bound the largest eigenvalue more closely
 SMALLEST = 0.01  # errors of targets below this share of all tokens are measured against it
 
 
@@ -163,23 +167,44 @@ class Fit(NamedTuple):
     gradients: np.ndarray  # of each round; a document's rate follows from them and its memberships
     step: float
     ridge: float
+    everything: float  # tokens of all documents
 
 
-def _memberships_matrix(batch: pa.RecordBatch, sources: dict[str, int], domains: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, targets): posteriors, then 1 under the row's source; and the rows' tokens."""
-    p = np.zeros((batch.num_rows, domains + len(sources)))
-    p[:, :domains] = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, domains)
-    for i, s in enumerate(batch.column(0).to_pylist()):
-        if s in sources:
-            p[i, domains + sources[s]] = 1.0
-    return p, batch.column(1).to_numpy().astype(float)
+def missed(fit: Fit, close: float = CLOSE) -> dict[str, tuple[float, float]]:
+    """Target and what the rates reach, in tokens, of the targets that the fit does not meet to ``close``."""
+    scale = np.maximum(fit.targets, SMALLEST * max(fit.everything, 1.0))
+    off = np.flatnonzero(np.abs(fit.reached - fit.targets) >= close * scale)
+    return {fit.names[i]: (float(fit.targets[i]), float(fit.reached[i])) for i in off}
 
 
-def _replayed(p: np.ndarray, gradients: np.ndarray, step: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+class _Members:
+    """Rows of a matrix of memberships: posteriors of domains, then 1 under the row's source. Sources are kept as
+    numbers, so a row takes no more memory however many there are."""
+
+    def __init__(self, batch: pa.RecordBatch, sources: dict[str, int], domains: int):
+        self.posteriors = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, domains)
+        self.source = np.array([sources.get(s, -1) for s in batch.column(0).to_pylist()], np.int64)
+        self.tokens = batch.column(1).to_numpy().astype(float)
+        self._known = self.source >= 0
+        self._sources, self._domains = len(sources), domains
+
+    def along(self, x: np.ndarray) -> np.ndarray:
+        """The matrix times ``x``, a number for each target."""
+        out = self.posteriors @ x[: self._domains]
+        out[self._known] += x[self._domains :][self.source[self._known]]
+        return out
+
+    def summed(self, x: np.ndarray) -> np.ndarray:
+        """``x``, a number for each row, times the matrix."""
+        of_sources = np.bincount(self.source[self._known], x[self._known], self._sources)
+        return np.concatenate([x @ self.posteriors, of_sources])
+
+
+def _replayed(m: _Members, gradients: np.ndarray, step: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
     """Rates of documents, and where the next gradient is taken, after the rounds of ``gradients``."""
-    rate = np.ones(len(p))
+    rate = np.ones(len(m.tokens))
     ahead, t = rate, 1.0
-    for pull in (p @ g for g in gradients):
+    for pull in map(m.along, gradients):
         new = np.maximum(0.0, ahead - step * (pull + ridge * (ahead - 1.0)))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, rate, t = new + (t - 1) / t_new * (new - rate), new, t_new
@@ -193,7 +218,7 @@ def fit_rates(
     source_shares: Mapping[str, float],
     ridge: float = 1e-3,
     rounds: int = 40,
-    close: float = 1e-3,
+    close: float = CLOSE,
 ) -> Fit:
     """Nonnegative rates whose expected tokens come close to shares of all tokens, by domain and by source.
 
@@ -201,37 +226,47 @@ def fit_rates(
     targets (to SMALLEST of all tokens, for smaller targets), plus ``ridge`` times the squared distance of rates from 1, by
     accelerated projected gradients: a round sums tokens * memberships * rates over all documents
     and sends one number per target to the driver. Rates are not stored: each task recomputes them
-    from the gradients so far. Ends after ``rounds``, or when all targets are met to ``close``.
+    from the gradients so far. Ends after ``rounds``, or when all targets are met to ``close``; ``missed`` tells which are not.
+
+    The step follows from a bound of the largest eigenvalue of the least squares: their matrix has no negative entries, so
+    for positive y no eigenvalue is above the greatest ratio of (matrix * y) to y (Collatz and Wielandt). POWERS products with a
+    vector, each a sum over documents, bring the two together; the matrix itself is never built.
     """
     domains, sources = len(domain_names), {s: i for i, s in enumerate(source_shares)}
     k = domains + len(sources)
     rows = members.select("source", "tokens", "posteriors")
 
-    def summed(f) -> np.ndarray:
-        """The sum over all documents of f(memberships, tokens), an array of fixed length."""
+    def summed(f: Callable[[_Members], np.ndarray], size: int = k) -> np.ndarray:
+        """The sum over all documents of f(memberships), an array of ``size`` numbers."""
 
         def partial(batches: Batches) -> Batches:
-            total = None
+            total = np.zeros(size)
             for batch in batches:
-                p, t = _memberships_matrix(batch, sources, domains)
-                part = f(p, t)
-                total = part if total is None else total + part
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["at", "x"])
+                total += f(_Members(batch, sources, domains))
+            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total)], ["at", "x"])
 
         sums = batches_of(rows, partial, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(1 + k + k * k)
+        out = np.zeros(size)
         for r in sums:
             out[r.at] = r.x
         return out
 
-    first = summed(lambda p, t: np.concatenate([[t.sum()], t @ p, ((p * t[:, None]).T @ p).ravel()]))
-    everything, plain, square = first[0], first[1 : 1 + k], first[1 + k :].reshape(k, k)
+    def first(m: _Members) -> np.ndarray:
+        return np.concatenate([[m.tokens.sum()], m.summed(m.tokens), m.summed(m.tokens * m.along(np.ones(k)))])
+
+    found = summed(first, 1 + 2 * k)
+    everything, plain, product = found[0], found[1 : 1 + k], found[1 + k :]
     of_domains = sum(domain_shares.get(n, 0.0) for n in domain_names) or 1.0
     wanted = np.array([domain_shares.get(n, 0.0) for n in domain_names]) / of_domains * everything
     targets = np.concatenate([wanted, np.array(list(source_shares.values())) * plain[domains:].sum()])
     scale = np.maximum(targets, SMALLEST * max(everything, 1.0))
-    largest = float(np.linalg.eigvalsh(square / np.sqrt(np.outer(scale, scale)))[-1]) if everything and k else 1.0
+    y, largest = np.ones(k), 1.0
+    if everything and k:
+        largest = (product / scale).max()
+        for _ in range(POWERS):
+            y = np.maximum(product / scale / (product / scale).max(), 1e-9)
+            product = summed(lambda m: m.summed(m.tokens * m.along(y)))
+            largest = min(largest, (product / scale / y).max())
     step = 1.0 / (largest + ridge)
     gradients: list[np.ndarray] = []
     at = plain
@@ -241,11 +276,11 @@ def fit_rates(
             break
         gradients.append(error)
         so_far = np.array(gradients)
-        at = summed(lambda p, t: (t * _replayed(p, so_far, step, ridge)[1]) @ p)[:k]
+        at = summed(lambda m: m.summed(m.tokens * _replayed(m, so_far, step, ridge)[1]))
     history = np.array(gradients).reshape(len(gradients), k)
-    reached = summed(lambda p, t: (t * _replayed(p, history, step, ridge)[0]) @ p)[:k]
+    reached = summed(lambda m: m.summed(m.tokens * _replayed(m, history, step, ridge)[0]))
     names = [*(f"domain:{n}" for n in domain_names), *(f"source:{s}" for s in source_shares)]
-    return Fit(names, targets, reached, history, step, ridge)
+    return Fit(names, targets, reached, history, step, ridge, everything)
 
 
 def rated(members: DataFrame, domain_names: Sequence[str], source_shares: Mapping[str, float], fit: Fit) -> DataFrame:
@@ -255,8 +290,8 @@ def rated(members: DataFrame, domain_names: Sequence[str], source_shares: Mappin
 
     def with_rates(batches: Batches) -> Batches:
         for batch in batches:
-            p, _ = _memberships_matrix(batch.select(["source", "tokens", "posteriors"]), sources, domains)
-            rate, _ = _replayed(p, fit.gradients, fit.step, fit.ridge)
+            m = _Members(batch.select(["source", "tokens", "posteriors"]), sources, domains)
+            rate, _ = _replayed(m, fit.gradients, fit.step, fit.ridge)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*names, "rate"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", rate double"
@@ -281,7 +316,7 @@ def mix(
     ``posteriors``, in the order of the domains' names. ``domain_shares`` and ``source_shares`` (by default the
     shares of tokens to the power ``power``) are the wanted shares of all tokens; labelled domains without one
     are wanted at 0, and shares of domains that no row is labelled with are spread over the others. ``rate`` is 0 or more; ``copies`` is the rate rounded up or down by a hash of the id so
-    that it is right on average. Null and empty texts have no tokens and keep a rate by their
+    that it is right on average. Targets that the rates miss are logged. Null and empty texts have no tokens and keep a rate by their
     memberships; a null source belongs to no source's total. An empty table gives an empty one.
     """
     domains = fit_domains(docs, labels, label=label, doc_id=doc_id, text=text)
@@ -291,6 +326,8 @@ def mix(
         source_shares = tempered({r.source: float(r.n) for r in sorted(totals)}, power)
     names = domains[0].names
     fit = fit_rates(members, names, domain_shares, source_shares)
+    if off := missed(fit):
+        log.warning("targets missed (tokens wanted, reached): %s", off)
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     whole = F.floor("rate")
     copies = whole + (place < F.col("rate") - whole).cast("int")

@@ -49,6 +49,50 @@ def test_rates_are_the_projected_least_squares(spark):
     assert len(fit.gradients) == 150 and fit.reached == pytest.approx((tokens * ours) @ m)
 
 
+def random_members(spark, n, sources):
+    rnd = np.random.default_rng(7)
+    p, tokens = rnd.dirichlet([0.5, 0.5, 0.5], n), rnd.integers(1, 500, n)
+    of = [f"s{int(x)}" for x in (rnd.random(n) ** 3) * sources]
+    rows = [(s, int(t), [float(x) for x in q]) for s, t, q in zip(of, tokens, p)]
+    return p, tokens, of, spark.createDataFrame(rows, "source string, tokens bigint, posteriors array<double>")
+
+
+def test_step_is_that_of_the_largest_eigenvalue_or_little_less(spark):
+    p, tokens, of, members = random_members(spark, 300, 12)
+    names = sorted(set(of))
+    fit = mixing.fit_rates(members, ["x", "y", "z"], {"x": 0.8, "y": 0.2}, dict.fromkeys(names, 1 / len(names)), rounds=0)
+    m = np.concatenate([p, np.array([[s == x for x in names] for s in of], float)], axis=1)
+    scale = np.maximum(fit.targets, mixing.SMALLEST * tokens.sum())
+    largest = np.linalg.eigvalsh((m * tokens[:, None]).T @ m / np.sqrt(np.outer(scale, scale)))[-1]
+    assert 0.8 <= fit.step * (largest + fit.ridge) <= 1 + 1e-9
+    assert set(mixing.missed(fit)) <= set(fit.names) and "domain:x" in mixing.missed(fit)
+
+
+def test_many_sources(spark):
+    """Nothing grows with the square of the targets: 8,000 sources would make 512 MB of it."""
+    p, tokens, of, members = random_members(spark, 12_000, 8000)
+    totals = {}
+    for s, t in zip(of, tokens.tolist()):
+        totals[s] = totals.get(s, 0) + t
+    shares = mixing.tempered(totals, 0.8)
+    fit = mixing.fit_rates(members, ["x", "y", "z"], {"x": 0.4, "y": 0.3, "z": 0.3}, shares, rounds=12)
+    start = np.concatenate([tokens @ p, [totals[s] for s in shares]])
+    scale = np.maximum(fit.targets, mixing.SMALLEST * tokens.sum())
+    loss = lambda at: (((at - fit.targets) ** 2) / scale).sum()
+    assert loss(fit.reached) < 0.5 * loss(start)
+
+
+def test_targets_that_cannot_be_met_are_told(spark, make_docs, caplog):
+    docs = make_docs([(i, "nice words " * 3) for i in range(8)])
+    labels = spark.createDataFrame([(i, "good") for i in range(8)], "doc_id bigint, domain string")
+    with caplog.at_level("WARNING"):
+        rows = mixing.mix(docs, labels, {"good": 1.0}, {"nowhere": 1.0}).collect()
+    assert len(rows) == 8 and "nowhere" not in caplog.text
+    members = spark.createDataFrame([("a", 10, [1.0])], "source string, tokens bigint, posteriors array<double>")
+    fit = mixing.fit_rates(members, ["x"], {"x": 1.0}, {"a": 0.5, "b": 0.5}, rounds=30)
+    assert set(mixing.missed(fit)) >= {"source:b"}
+
+
 def test_odd_tables(spark, make_docs):
     labels = [(0, "good"), (1, "bad"), (2, None), (99, "good"), *((i, ("good", "bad")[i % 2]) for i in range(20, 30))]
     labels = spark.createDataFrame(labels, "doc_id bigint, domain string")
