@@ -266,3 +266,21 @@ def test_a_domain_of_many_tables_is_not_paired(spark):
     assert lineage.layer_links(registry).count() == 3 * n  # not n * n
     roles = lineage.layer_roles(registry).groupBy("is_root", "is_sink").count().collect()
     assert {tuple(x) for x in roles} == {(True, False, n), (False, True, n)}
+
+
+def test_references_are_moved_by_child_and_by_target_only(spark):
+    reg = registry(spark, [("d", t) for t in "xyz"])
+    urn = {r.table: r.urn for r in reg.collect()}
+    fks = [(urn["z"], "x"), (urn["z"], "x"), (urn["z"], "y"), (urn["y"], "x"), ("nobody", "x"), (None, "x"), (urn["x"], None)]
+    fks = spark.createDataFrame(fks, "urn string, target_table string")
+    names = spark.createDataFrame([tuple(r) for r in reg.select("urn", "table").collect()], "urn string, table string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        edges = lineage.fk_edges(names, fks)
+        assert pairs(edges) == [("d.x", "d.y"), ("d.x", "d.z"), ("d.y", "d.z")]
+        assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
