@@ -284,3 +284,20 @@ def test_references_are_moved_by_child_and_by_target_only(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_downstream_does_not_join_names_for_numbers(spark, monkeypatch):
+    def numbered(*_):
+        raise AssertionError("names were joined")
+
+    monkeypatch.setattr(lineage, "numbered", numbered)
+    starts, edges = frames(spark, ["a", "b", None], [("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", None), (None, "a"), ("c", "c")])
+    got = sorted(map(tuple, lineage.downstream(edges, starts, hops=None).collect()))
+    assert got == [("a", "b", 1), ("a", "c", 2), ("b", "a", 2), ("b", "c", 1)]
+
+
+def test_names_that_share_a_hash_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(lineage.F, "xxhash64", lambda *c: F.length(c[0]).cast("bigint"))
+    starts, edges = frames(spark, ["a", "bb"], [("a", "bb"), ("bb", "cc"), ("dd", "a")])
+    got = sorted(map(tuple, lineage.downstream(edges, starts, hops=None).collect()))
+    assert got == [("a", "bb", 1), ("a", "cc", 2), ("bb", "cc", 1)]
