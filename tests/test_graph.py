@@ -301,3 +301,25 @@ def test_names_that_share_a_hash_stay_apart(spark, monkeypatch):
     starts, edges = frames(spark, ["a", "bb"], [("a", "bb"), ("bb", "cc"), ("dd", "a")])
     got = sorted(map(tuple, lineage.downstream(edges, starts, hops=None).collect()))
     assert got == [("a", "bb", 1), ("a", "cc", 2), ("bb", "cc", 1)]
+
+
+def test_ends_are_grouped_without_a_join_of_links(spark, monkeypatch):
+    plans, write = {}, graph.cut
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(graph, "cut", seen)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        links = [(1, 5), (2, 5), (3, 5), (3, 6), (5, 7), (5, 8), (6, 8), (4, 9)]
+        links, weights = graph.reduced(spark.createDataFrame(links, "src bigint, dst bigint"))
+        assert sorted(map(tuple, links.collect())) == [(1, 5), (3, 5), (3, 6), (5, 7), (5, 8), (6, 8)]
+        assert [tuple(r) for r in weights.collect()] == [(1, 2)]
+        assert plans["sinks"].count("SortMergeJoin") == 1 and "SortMergeJoin" not in plans["neighbours"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
