@@ -26,13 +26,9 @@ def _common(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / (100.0 + percent) - 1e-9).cast("bigint")
 
 
-def _prefix(size: int, percent: int) -> int:
-    return size + percent * size // -100 + 1
-
-
-def _head(size: int, percent: int) -> int:
-    """How many elements of a set are looked up: its prefix, and some to take the place of hot ones."""
-    return min(size, _prefix(size, percent) + size // 40 + 2)
+def _part(percent: int) -> int:
+    """Hashes below this are the part of a set that is looked at first: half as many again as similar sets may differ by."""
+    return int(min(1.0, 1.5 * (1 - percent / 100) + 0.02) * ((1 << 64) - 1))
 
 
 def _row_key(doc_id: str, text: str) -> Column:
@@ -49,24 +45,25 @@ def _digest(elements: np.ndarray) -> tuple[int, int]:
 
 
 def signed_sets(docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, row_key, size, d0, d1, head`` of each row: its set's size and digest, and the first of its elements."""
+    """``doc_id, row_key, size, d0, d1, part`` of each row: its set's size and digest, and its elements of the lowest hashes."""
+    most = np.uint64(_part(percent))
 
     def signed(batches: Batches) -> Batches:
         for batch in in_parts(batches, 2):
-            sizes, digests, heads = [], [], []
+            sizes, digests, parts = [], [], []
             for utf8 in batch.column(2).to_pylist():
                 h = _elements(utf8, words)
                 sizes.append(len(h))
                 digests.append(_digest(h))
-                heads.append(h[: _head(len(h), percent) if len(h) else 0].view(np.int64))
+                parts.append(h[: np.searchsorted(h, most, "right")].view(np.int64))
             d0, d1 = zip(*digests)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(heads, pa.list_(pa.int64()))],
-                ["doc_id", "row_key", "size", "d0", "d1", "head"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(parts, pa.list_(pa.int64()))],
+                ["doc_id", "row_key", "size", "d0", "d1", "part"],
             )
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), _row_key(doc_id, text).alias("row_key"), utf8_of(text).alias("utf8"))
-    return batches_of(rows, signed, "doc_id bigint, row_key bigint, size bigint, d0 bigint, d1 bigint, head array<bigint>")
+    return batches_of(rows, signed, "doc_id bigint, row_key bigint, size bigint, d0 bigint, d1 bigint, part array<bigint>")
 
 
 class _Sets:
@@ -99,59 +96,48 @@ class _Sets:
         return found if n[0] == n[1] else cut(found.dropDuplicates(["node"]), "sets")
 
 
-def _index(nodes: DataFrame, sets: _Sets, percent: int, hot_from: int) -> DataFrame:
-    """``hash, node, size, rank``: the prefix of each set, as far as other sets have its elements.
+def _alone(elements: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``node`` of those of ``sizes(node, size)`` that have more of ``elements(node, hash)`` to themselves than a similar set may lack.
+
+    ``elements`` has of each set the hashes of the same range, so an element of two sets is there twice."""
+    own = elements.groupBy("hash").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).filter("df = 1")
+    own = cut(own.groupBy("node").agg(F.count(F.lit(1)).alias("own")), "own-elements")
+    size = F.col("size")
+    return own.join(sizes, "node").filter(F.col("own") > size - _least(size, percent)).select("node")
+
+
+def _candidates(nodes: DataFrame, parts: DataFrame, sets: _Sets, percent: int, hot_from: int) -> DataFrame:
+    """``node, size, elements`` of the sets that may have a similar one: their elements that are in another of these sets.
 
-    The order of elements: those in ``hot_from`` heads or more after all others, then by hash. Of two similar sets, each has a
-    common element in its prefix. Sets of which too many elements are hot for their head are read again, whole.
+    A set goes if it has too many elements that no other has, first by ``parts(node, hash)``, then by all elements of the sets left.
+    The order of elements: those of no other set, which are not listed, then by hash, then those in ``hot_from`` sets or more,
+    the rarer first.
     """
-    elements = nodes.select("node", "size", F.posexplode("head").alias("pos", "hash"))
+    sizes = nodes.select("node", "size")
+    met = cut(nodes.select("node").join(_alone(parts, sizes, percent), "node", "left_anti"), "met")
+    whole = sets.of(met)
+    gone = cut(_alone(whole.select("node", F.explode("elements").alias("hash")), sizes, percent), "gone")
+    elements = whole.join(gone, "node", "left_anti").select("node", F.explode("elements").alias("hash"))
     counts = cut(elements.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared-elements")
-    seen = cut(elements.join(counts, "hash").select("hash", "node", "size", "pos", (F.col("df") >= hot_from).alias("hot")), "seen")
-    size = F.col("size")
-    prefix = size - _least(size, percent) + 1
-    hot = seen.filter("hot").groupBy("node").agg(F.sort_array(F.collect_list("pos")).alias("hot_at"), F.max("size").alias("size"))
-    head = F.least(size, prefix + F.floor(size / 40) + 2)
-    hot = cut(hot.withColumn("open", (head < size) & (head - F.size("hot_at") < prefix)).drop("size"), "hot")
-
-    def ranked(rows: DataFrame) -> DataFrame:
-        """Ranks in the order, of sets whose heads are enough: hot elements count only where the head is the whole set."""
-        before = F.size(F.filter("hot_at", lambda x: x < F.col("pos")))
-        rank = F.when(F.col("hot"), F.when(head == size, size - F.size("hot_at") + before)).otherwise(F.col("pos") - F.coalesce(before, F.lit(0)))
-        known = rows.join(hot, "node", "left").filter(~F.coalesce("open", F.lit(False)))
-        return known.select("hash", "node", "size", rank.cast("bigint").alias("rank")).filter(F.col("rank") < prefix)
-
-    known = ranked(seen)
-    short = cut(hot.filter("open").select("node"), "open")
-    if short.isEmpty():
-        return cut(known, "entries")
-    whole = sets.of(short).join(nodes.select("node", "size"), "node")
-    listed = whole.select("node", F.explode("elements").alias("hash")).join(counts.filter(F.col("df") >= hot_from).select("hash"), "hash")
-    with_hot = whole.join(listed.groupBy("node").agg(F.collect_list("hash").alias("hot")), "node", "left").select("node", "elements", "hot")
-
-    def ordered(batches: Batches) -> Batches:
-        for batch in batches:
-            for node, own, last in zip(*(c.to_pylist() for c in batch.columns)):
-                own = np.array(own, np.int64)
-                late = np.isin(own, np.array(last or [], np.int64))
-                own = np.concatenate([own[~late], own[late]])
-                n = _prefix(len(own), percent)
-                columns = [own[:n], np.full(n, node), np.full(n, len(own)), np.arange(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "node", "size", "rank"])
-
-    added = cut(batches_of(with_hot, ordered, "hash bigint, node bigint, size bigint, rank bigint"), "open-entries")
-    fresh = cut(added.select("hash").distinct().join(counts.select("hash"), "hash", "left_anti"), "fresh")
-    once = elements.join(fresh, "hash").select("hash", "node", "size", "pos", F.lit(False).alias("hot"))
-    return cut(known.union(ranked(once)).union(added), "entries")
+    place = F.struct(F.when(F.col("df") >= hot_from, F.col("df")).otherwise(0).alias("hot"), "hash")
+    listed = elements.join(counts, "hash").groupBy("node").agg(F.sort_array(F.collect_list(place)).alias("places"))
+    listed = listed.join(sizes, "node").select("node", "size", F.col("places.hash").alias("elements"))
+    return cut(listed.filter(F.size("elements") >= _least(F.col("size"), percent)), "candidates")
 
 
 class _Pairs:
-    """Blocks of the index, by element and class of sizes, and the sets that look into them."""
+    """Blocks of the prefix index, by element and class of sizes, and the sets that look into them.
+
+    Of two similar sets, each has a common element in its prefix."""
 
-    def __init__(self, entries: DataFrame, percent: int):
-        self.percent = percent
-        self.prefixes = cut(entries.groupBy("node").agg(F.collect_list("hash").alias("prefix")), "prefixes")
+    def __init__(self, sets: DataFrame, percent: int):
+        """``sets(node, size, elements)``: the elements that are not listed are the first in the order."""
+        self.sets, self.percent = sets, percent
         size, rank = F.col("size"), F.col("rank")
+        own = size - F.size("elements")
+        self.prefix = F.slice("elements", F.lit(1), (size - _least(size, percent) + 1 - own).cast("int"))
+        entries = sets.select("node", "size", own.alias("own"), F.posexplode(self.prefix).alias("pos", "hash"))
+        entries = cut(entries.select("hash", "node", "size", (F.col("own") + F.col("pos")).alias("rank")), "entries")
         of_size = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(STEP)))
         self.index = entries.select("hash", of_size(size).alias("block"), F.col("node").alias("b"), size.alias("b_size"), rank.alias("b_rank"))
         # With the element at this rank as the first in common, sets of more elements have too few in common: blocks of these are skipped.
@@ -168,9 +154,8 @@ class _Pairs:
         left = F.least(a - F.col("a_rank"), b - F.col("b_rank"))
         return (b <= a) & (b >= _least(a, self.percent)) & (left >= _common(a, b, self.percent)) & (F.col("a") != F.col("b"))
 
-
     def plausible(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs(a, b, a_size, b_size, ...)`` whose prefixes have enough in common.
+        """Those of ``pairs(a, b, a_size, b_size)`` whose prefixes have enough in common.
 
         A prefix is longer than one common element needs, the more so the more the sizes are alike: similar sets have one
         in common, and one for each place by which both prefixes are longer.
@@ -178,18 +163,19 @@ class _Pairs:
         size = lambda n: F.col(f"{n}_size")
         need = _common(size("a"), size("b"), self.percent)
         spare = F.least(*(need - _least(size(n), self.percent) + 1 for n in ("a", "b")))
-        of = lambda n: self.prefixes.select(F.col("node").alias(n), F.col("prefix").alias(f"{n}_prefix"))
+        of = lambda n: self.sets.select(F.col("node").alias(n), self.prefix.alias(f"{n}_prefix"))
         both = pairs.join(of("a"), "a").join(of("b"), "b")
         return both.filter(F.size(F.array_intersect("a_prefix", "b_prefix")) >= spare).select(*pairs.columns)
 
-
-def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b, both, near`` of ``pairs(a, b)``: how many elements they have in common, and whether they are similar."""
-    of = lambda n: sets.select(F.col("node").alias(n), F.col("elements").alias(f"{n}_elements"))
-    both = F.size(F.array_intersect("a_elements", "b_elements")).cast("bigint")
-    sizes = F.size("a_elements") + F.size("b_elements")
-    found = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", both.alias("both"), sizes.alias("sizes"))
-    return found.select("a", "b", "both", (100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).alias("near"))
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """``a, b``: those of ``pairs(a, b, a_size, b_size)``, which may be repeated, that are similar."""
+        pairs = cut(pairs.select("a", "b", "a_size", "b_size").distinct(), "pairs")
+        pairs = cut(self.plausible(pairs), "plausible-pairs")
+        of = lambda n: self.sets.select(F.col("node").alias(n), F.col("elements").alias(f"{n}_elements"))
+        found = pairs.join(of("a"), "a").join(of("b"), "b")
+        found = found.withColumn("both", F.size(F.array_intersect("a_elements", "b_elements")).cast("bigint"))
+        near = 100 * F.col("both") >= self.percent * (F.col("a_size") + F.col("b_size") - F.col("both"))
+        return cut(found.filter(near).select("a", "b"), "links")
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
@@ -199,69 +185,48 @@ def _with_roots(rows: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
     return rows
 
 
-def _more_sets(known: DataFrame | None, sets: _Sets, pairs: DataFrame) -> DataFrame:
-    """``known(node, elements)`` and the sets of ``pairs(a, b)`` that are not there yet."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    if known is None:
-        return sets.of(wanted)
-    wanted = cut(wanted.join(known.select("node"), "node", "left_anti"), "unread")
-    return known if wanted.isEmpty() else known.union(sets.of(wanted))
+def _one_of_each(index: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each block, as if drawn by lot."""
+    drawn = F.struct(F.xxhash64("hash", "b").alias("lot"), *(c for c in index.columns if c not in keys))
+    return index.groupBy(*keys).agg(F.min(drawn).alias("first")).select(*keys, "first.*").drop("lot")
 
 
-def linked(nodes: DataFrame, sets: _Sets, percent: int, hot_from: int) -> DataFrame:
-    """``node, root`` of the nodes that are similar to another one; root is the smallest that links lead to."""
-    pairs = _Pairs(_index(nodes, sets, percent, hot_from), percent)
-    keys = ["hash", "block"]
-    apart = pairs.fits() & (F.col("a_root") != F.col("b_root"))
-    # Each block's sets first meet its smallest; large groups of near copies come together by as many comparisons as they have members.
-    leaders = cut(pairs.index.groupBy(*keys).agg(F.min(F.struct("b", "b_size", "b_rank")).alias("first")).select(*keys, "first.*"), "leaders")
-    met = pairs.probes.join(leaders, keys).filter(pairs.fits()).select("a", "b", "a_size", "b_size").distinct()
-    met = cut(pairs.plausible(cut(met, "star-pairs")).select("a", "b"), "star-pairs")
-    known = _more_sets(None, sets, met)
-    stars = cut(_overlaps(met, known, percent), "stars")
-    roots = cut(components(stars.filter("near").select("a", "b")), "roots")
+def linked(candidates: DataFrame, percent: int) -> DataFrame:
+    """``node, root`` of the nodes of ``candidates(node, size, elements)`` that are similar to another one; root is the smallest
+    that links lead to."""
+    pairs = _Pairs(candidates, percent)
+    keys, columns = ["hash", "block"], ["a", "b", "a_size", "b_size"]
+
+    def meet(probes: DataFrame, index: DataFrame, leaders: DataFrame, fit: Column) -> DataFrame:
+        """Each block's leader with the sets that look into the block, and with the smaller ones in it."""
+        looking = leaders.select(*keys, *(F.col(c).alias(f"a{c[1:]}") for c in leaders.columns if c not in keys))
+        met = probes.join(leaders, keys).filter(fit).select(*columns)
+        return met.union(index.join(looking, keys).filter(fit).select(*columns))
+
+    # Each block's sets first meet one of them, in each block another: groups of near copies come together by as many comparisons as they
+    # have entries, also where many members are not similar to one another.
+    leaders = cut(_one_of_each(pairs.index, keys), "leaders")
+    links = pairs.similar(meet(pairs.probes, pairs.index, leaders, pairs.fits()))
+    roots = cut(components(links), "roots")
+
     # Pairs in one component need no more; of any other pair in a block, one set is not in the component of the block's first.
-    first = cut(_with_roots(leaders.select(*keys, "b"), roots, "b").select(*keys, F.col("b_root").alias("first_root")), "block-roots")
-    probes = cut(_with_roots(pairs.probes, roots, "a").join(first, keys), "probes")
-    index = cut(_with_roots(pairs.index, roots, "b").join(first, keys), "index")
+    apart = pairs.fits() & (F.col("a_root") != F.col("b_root"))
+
+    def rooted(rows: DataFrame, n: str) -> DataFrame:
+        block_roots = _with_roots(leaders.select(*keys, "b"), roots, "b").select(*keys, F.col("b_root").alias("first_root"))
+        return cut(_with_roots(rows, roots, n).join(block_roots, keys), "rooted")
+
+    # What is left of a block meets one of these.
+    probes, index = rooted(pairs.probes, "a").drop("first_root"), rooted(pairs.index, "b")
+    others = cut(_one_of_each(index.filter("b_root <> first_root").drop("first_root"), keys), "leaders")
+    links = links.union(pairs.similar(meet(probes, index.drop("first_root"), others, apart)))
+    roots = cut(components(links), "roots")
+    probes, index = rooted(pairs.probes, "a"), rooted(pairs.index, "b")
     drop = lambda df: df.drop("first_root")
     one = drop(probes.filter("a_root <> first_root")).join(drop(index), keys)
     two = drop(probes.filter("a_root = first_root")).join(drop(index.filter("b_root <> first_root")), keys)
-    columns = ["a", "b", "a_size", "b_size", "a_root", "b_root"]
-    cross = one.filter(apart).select(*columns).union(two.filter(apart).select(*columns)).distinct()
-    cross = cut(cross.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "cross-pairs")
-    cross = cut(pairs.plausible(cross), "cross-pairs")
-    if cross.isEmpty():
-        return roots
-
-    # What a set has in common with another follows, within bounds, from what the set most like it has in common with the one most like the other.
-    like = stars.filter("near").select(F.col("a").alias("node"), F.col("b").alias("model"), "both")
-    like = like.groupBy("node").agg(F.max(F.struct("both", "model")).alias("best")).select("node", "best.*")
-    like = like.join(nodes.select(F.col("node").alias("model"), F.col("size").alias("model_size")), "model")
-    like = cut(like, "models")
-    for c in ("a", "b"):
-        own = like.select(F.col("node").alias(c), F.col("model").alias(f"{c}_model"), F.col("both").alias(f"{c}_both"), F.col("model_size").alias(f"{c}_model_size"))
-        cross = cross.join(own, c, "left")
-        cross = cross.withColumn(f"{c}_more", F.coalesce(F.col(f"{c}_size") - F.col(f"{c}_both"), F.lit(0)))
-        cross = cross.withColumn(f"{c}_less", F.coalesce(F.col(f"{c}_model_size") - F.col(f"{c}_both"), F.lit(0)))
-        cross = cross.withColumn(f"{c}_model", F.coalesce(f"{c}_model", c)).drop(f"{c}_both", f"{c}_model_size")
-    cross = cut(cross, "modelled")
-    models = cut(cross.select(F.col("a_model").alias("a"), F.col("b_model").alias("b")).distinct(), "model-pairs")
-    known = _more_sets(known, sets, models)
-    models = cut(_overlaps(models, known, percent), "model-overlaps")
-    links = stars.filter("near").select("a", "b").union(models.filter("near").select("a", "b"))
-    roots = cut(components(links), "roots")
-    rest = _with_roots(cross.drop("a_root", "b_root"), roots, "a", "b").filter("a_root <> b_root")
-    rest = rest.join(models.select(F.col("a").alias("a_model"), F.col("b").alias("b_model"), "both"), ["a_model", "b_model"])
-    need = _common(F.col("a_size"), F.col("b_size"), percent)
-    rest = rest.withColumn("sure", F.col("both") - F.col("a_less") - F.col("b_less") >= need)
-    rest = cut(rest.filter(F.col("both") + F.col("a_more") + F.col("b_more") >= need).select("a", "b", "sure"), "unsettled")
-    links = links.union(rest.filter("sure").select("a", "b"))
-    unsure = rest.filter("NOT sure").select("a", "b")
-    if not unsure.isEmpty():
-        known = _more_sets(known, sets, unsure)
-        links = links.union(cut(_overlaps(unsure, known, percent).filter("near").select("a", "b"), "verified"))
-    return cut(components(links), "roots")
+    found = pairs.similar(one.filter(apart).select(*columns).union(two.filter(apart).select(*columns)))
+    return roots if found.isEmpty() else cut(components(links.union(found)), "roots")
 
 
 def similar_documents(
@@ -275,16 +240,22 @@ def similar_documents(
     links with nothing, not even another empty one. Rows of one id count one by one; null ids are no candidates for the smallest. Repeated rows stay;
     an empty table gives an empty one. N-grams are told apart by 64-bit hashes, whole sets by 128 bits.
 
-    Equal sets are one node. Rare elements come first in the order of elements, and only the prefixes of sets are indexed. Lists are cut
-    into blocks of like sizes; a set at its rank skips the blocks whose sets could have too little in common with it. Every pair that is met is
-    settled, by its intersection or by bounds that follow from those of the sets most like the two, unless links join the two already.
-    ``hot_from`` is about the longest list that need be compared with itself; it changes the order, not the result.
+    Equal sets are one node. Sets of which too many elements are in no other set go before any pair is met; of the others only the
+    prefixes are indexed, frequent elements last in the order of elements. Lists are cut into blocks of like sizes; a set at its rank
+    skips the blocks whose sets could have too little in common with it. Every pair that is met is settled by its intersection,
+    unless links join the two already. ``hot_from`` is about the longest list that need be compared with itself; it changes the
+    order, not the result.
     """
-    signed = cut(signed_sets(docs, words, percent, doc_id, text), "signed")
+    signed = signed_sets(docs, words, percent, doc_id, text).withColumn("node", F.monotonically_increasing_id())
+    signed = cut(signed, "signed")
     same = signed.filter("size > 0").groupBy("d0", "d1")
-    nodes = same.agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("head").alias("head"))
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    found = linked(nodes, _Sets(docs, nodes.drop("head", "first_id"), words, doc_id, text), percent, hot_from)
+    nodes = same.agg(F.min("node").alias("node"), F.min(F.struct("node", "row_key", "size")).alias("of"), F.min("doc_id").alias("first_id"))
+    nodes = cut(nodes.select("node", "d0", "d1", "of.row_key", "of.size", "first_id"), "nodes")
+    kept = nodes.select("node")
+    if nodes.count() <= MOST_BROADCAST:
+        kept = F.broadcast(kept)
+    parts = signed.select("node", "part").join(kept, "node", "left_semi").select("node", F.explode("part").alias("hash"))
+    found = linked(_candidates(nodes, parts, _Sets(docs, nodes, words, doc_id, text), percent, hot_from), percent)
     named = nodes.select("node", "d0", "d1", "first_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = cut(named.join(least, "root").select("d0", "d1", "component_id"), "classes")

@@ -98,3 +98,24 @@ def test_other_thresholds(make_docs):
 def test_empty_table(make_docs):
     assert jaccard.similar_documents(make_docs([])).count() == 0
     assert got(jaccard.similar_documents(make_docs([None, ""]))) == brute([(0, None), (1, "")])
+
+
+def test_pairs_follow_the_documents(make_docs, monkeypatch):
+    """Texts with half a passage in common, and near copies of one text of which a third are similar to few others."""
+    rnd = random.Random(5)
+    passage, hub = fresh(rnd, 70, "p"), fresh(rnd, 150, "h")
+    texts = [passage + fresh(rnd, 60) for _ in range(150)]
+    texts += [edited(rnd, hub, rnd.choice([1, 2, 4])) for _ in range(150)]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    rnd.shuffle(rows)
+    written, cut = [], jaccard.cut
+
+    def counted(df, label):
+        out = cut(df, label)
+        if "pairs" in label:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", counted)
+    assert got(jaccard.similar_documents(make_docs(rows))) == brute(rows)
+    assert 0 < sum(written) <= 30 * len(rows), written
